@@ -11,27 +11,29 @@ def top(value: Column, *order: Column) -> Column:
     return F.max_by(value, F.struct(*order))
 
 
-def ordinals(keys: DataFrame, by: list[str], column: str, out: str, bits: int = 21) -> DataFrame:
-    """0-based rank of each distinct non-negative ``column`` value within ``by``.
-
-    A plain window over ``by`` would sort a whole group in one task. The value is read as digits of ``bits`` bits
-    instead: values are counted per prefix, and every window covers the children of one prefix, at most 2**bits rows.
-    ``keys`` must hold each (by, column) once."""
-    shift = bits
-    prefixes = []
-    while shift < 63:
-        prefixes.append((f"_p{shift}", F.shiftrightunsigned(F.col(column), shift)))
-        shift += bits
-    ranked = keys.select(*by, column, *[e.alias(n) for n, e in prefixes])
-    names = [n for n, _ in prefixes]
-    inner = Window.partitionBy(*by, *names).orderBy(column)
-    ranked = ranked.withColumn("_rank", F.row_number().over(inner).cast("long") - 1)
-    counts = keys.select(*by, *[e.alias(n) for n, e in prefixes]).groupBy(*by, *names).agg(F.count("*").alias("_n"))
+def totals_before(rows: DataFrame, by: list[str], column: str, value: str, out: str, bits: int = 21) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of the same ``by`` whose ``column`` is smaller.
+
+    A plain window over ``by`` would sort a whole group in one task. The non-negative ``column`` is read as digits of
+    ``bits`` bits instead: values are summed per prefix, and every window covers the children of one prefix, at most
+    2**bits rows. ``rows`` must hold each (by, column) once."""
+    prefixes = {f"_p{shift}": F.shiftrightunsigned(F.col(column), shift) for shift in range(bits, 63, bits)}
+    names = list(prefixes)
+    keyed = rows.withColumns(prefixes)
+
+    def before(parents: list[str], order: str):
+        return Window.partitionBy(*by, *parents).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    ranked = keyed.withColumn(out, F.coalesce(F.sum(value).over(before(names, column)), F.lit(0)))
     for depth, name in enumerate(names):
-        parents = names[depth + 1:]
-        level = counts.groupBy(*by, *names[depth:]).agg(F.sum("_n").alias("_n")) if depth else counts
-        before = Window.partitionBy(*by, *parents).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        offset = level.select(*by, *names[depth:], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-        ranked = (ranked.join(offset, [*by, *names[depth:]])
-                  .withColumn("_rank", F.col("_rank") + F.col("_off")).drop("_off"))
-    return ranked.select(*by, column, F.col("_rank").alias(out))
+        level = keyed.groupBy(*by, *names[depth:]).agg(F.sum(value).alias("_n"))
+        offset = level.withColumn("_off", F.coalesce(F.sum("_n").over(before(names[depth + 1:], name)), F.lit(0)))
+        ranked = (ranked.join(offset.drop("_n"), [*by, *names[depth:]])
+                  .withColumn(out, F.col(out) + F.col("_off")).drop("_off"))
+    return ranked.drop(*names)
+
+
+def ordinals(keys: DataFrame, by: list[str], column: str, out: str, bits: int = 21) -> DataFrame:
+    """0-based rank of each distinct non-negative ``column`` value within ``by``; ``keys`` holds each pair once."""
+    ones = keys.select(*by, column, F.lit(1).cast("long").alias("_one"))
+    return totals_before(ones, by, column, "_one", out, bits).select(*by, column, out)

@@ -26,7 +26,8 @@ PLACE = [EV, "side", "X", "Y", "Z", "rel", "sig"]
 def densities(ws: Workspace, coords: DataFrame, p: Params, hot_cell: int = HOT_CELL) -> DataFrame:
     """``coords`` with rho (own energy plus half the energy within dc, summed in double and rounded once), dense and
     the reach eff of every point."""
-    places = coords.groupBy(*PLACE).agg(F.sum(F.col("E").cast("double")).alias("esum"), F.min("idx").alias("idx"))
+    places = ws.save(coords.groupBy(*PLACE).agg(F.sum(F.col("E").cast("double")).alias("esum"),
+                                                F.min("idx").alias("idx")), "density_places")
     near = (range_join(ws, places.drop("esum"), places.drop("idx"), p, p.dc, hot_cell)
             .groupBy(*PLACE).agg(F.sum("esum2").alias("near")))
     own = F.col("E").cast("double")
@@ -123,7 +124,8 @@ def number_clusters(ws: Workspace, seeds: DataFrame, rooted: DataFrame, p: Param
 def cluster(ws: Workspace, pts: DataFrame, p: Params = DEFAULT, drop_small: bool = True,
             hot_cell: int = HOT_CELL) -> DataFrame:
     """Label of every point of the level: event_id, idx, label (-1: not active, outlier, or in a dropped cluster)."""
-    dens = ws.save(densities(ws, coordinates(pts, p), p, hot_cell), "densities")
+    coords = ws.save(coordinates(pts, p), "coordinates")
+    dens = ws.save(densities(ws, coords, p, hot_cell), "densities")
     linked = nearest_higher(ws, dens, p, hot_cell=hot_cell)
     seeds, rooted = seeds_and_roots(ws, linked)
     labels = rooted.join(number_clusters(ws, seeds, rooted, p, drop_small), [*KEYS, "root"], "left")

@@ -40,6 +40,19 @@ def attributes(unit_target: DataFrame, un: DataFrame) -> DataFrame:
                     (-F.col("lead.neg")).alias("lead_unit")))
 
 
+def given(tables: EventTables, assignment: DataFrame) -> Targets:
+    """Targets of a given unit -> target assignment (event_id, unit, target), taken without the test."""
+    cells = unit_cells(tables.tra, tables.atom)
+    rows = (assignment.select(EV, "unit", "target", F.lit(0.0).alias("E"))
+            .unionByName(cells.select(EV, "unit", F.lit(None).cast("long").alias("target"), "E")))
+    unit_target = (rows.groupBy(EV, "unit").agg(F.max("target").alias("target"), F.sum("E").alias("E_unit"))
+                   .withColumns({"merged_at": F.lit(-1), "partner": F.lit(-1).cast("long")}))
+    target_cell = (cells.join(assignment, [EV, "unit"]).groupBy(EV, "rh", "target").agg(F.sum("E").alias("E")))
+    energy = unit_target.groupBy(EV, "target").agg(F.sum("E_unit").alias("E"))
+    found = attributes(unit_target, tables.un).join(energy, [EV, "target"])
+    return Targets(found, unit_target, target_cell, assignment.select(EV, F.lit(0).alias("n_iterations")).distinct())
+
+
 def build(ws: Workspace, tables: EventTables, frac: float = DEFAULT_FRAC, pieces: bool = True) -> Targets:
     """Targets of all events: units merged by the ideal-clustering test, never across interactions."""
     un = tables.un.select(EV, "unit", F.struct("bx", "evt").alias("grp"))

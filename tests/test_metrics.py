@@ -79,7 +79,7 @@ def cases():
 
 @pytest.fixture(scope="module")
 def run(spark, ws, cases):
-    tables = cases.tables(spark)
+    tables = cases.tables(spark, ws)
     truth = Truth(ws, tables)
     parts = []
     for level, rows in cases.labels.items():

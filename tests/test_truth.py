@@ -49,7 +49,7 @@ def toys():
 
 @pytest.fixture(scope="module")
 def built(spark, ws, toys):
-    tables = toys.tables(spark)
+    tables = toys.tables(spark, ws)
     b = targets.build(ws, tables)
     return dict(tables=tables, built=b, t=by_event(b.targets, "target"), u=by_event(b.unit_target, "unit"),
                 rounds={r["event_id"]: r["n_iterations"] for r in b.rounds.collect()})
