@@ -25,6 +25,8 @@ def session(master: str | None = None, app: str = "showerframe", **conf) -> Spar
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME, **conf}.items():
+    # Call sites of every column expression are not needed and cost driver time in long plans.
+    quiet = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for key, value in {**RUNTIME, **quiet, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
