@@ -40,9 +40,9 @@ def attributes(unit_target: DataFrame, un: DataFrame) -> DataFrame:
                     (-F.col("lead.neg")).alias("lead_unit")))
 
 
-def given(tables: EventTables, assignment: DataFrame) -> Targets:
+def given(ws: Workspace, tables: EventTables, assignment: DataFrame) -> Targets:
     """Targets of a given unit -> target assignment (event_id, unit, target), taken without the test."""
-    cells = unit_cells(tables.tra, tables.atom)
+    cells = ws.save(unit_cells(tables.tra, tables.atom), "unit_cells")
     rows = (assignment.select(EV, "unit", "target", F.lit(0.0).alias("E"))
             .unionByName(cells.select(EV, "unit", F.lit(None).cast("long").alias("target"), "E")))
     unit_target = (rows.groupBy(EV, "unit").agg(F.max("target").alias("target"), F.sum("E").alias("E_unit"))

@@ -5,6 +5,7 @@ operator; the queries of the merging and of the full plans use real targets."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,21 @@ from showerframe.workspace import Workspace
 EV = "event_id"
 
 
+class Written:
+    """The tables of a sample, of which ``names``, those that a plan reads several times, are written when first asked
+    for, so that they are scanned and not derived again."""
+
+    def __init__(self, ws: Workspace, tables, *names: str):
+        self._ws, self._tables, self._names = ws, tables, names
+
+    def __getattr__(self, name: str):
+        df = getattr(self._tables, name)
+        if name in self._names:
+            df = self._ws.save(df, name)
+        setattr(self, name, df)
+        return df
+
+
 class Context:
     """Lazily derived inputs of one query."""
 
@@ -38,20 +54,25 @@ class Context:
     def tables(self):
         return derived.sample(self.spark, self.sf_dir)
 
+    @cached_property
+    def stored(self) -> Written:
+        return Written(self.ws, self.tables, "un", "lc", "rh")
+
     @cached_property
     def merged(self) -> targets.Targets:
-        return targets.build(self.ws, self.tables, pieces=False)
+        return targets.build(self.ws, self.stored, pieces=False)
 
     @cached_property
     def interactions(self) -> targets.Targets:
         """One target per interaction, named by its smallest unit number."""
         unit = F.col("unit")
         first = F.when(unit % 5 == 4, unit).otherwise(F.col("evt") * 5)
-        return targets.given(self.tables, self.tables.un.select(EV, "unit", first.alias("target")))
+        return targets.given(self.ws, self.tables, self.tables.un.select(EV, "unit", first.alias("target")))
 
     @cached_property
     def truth(self) -> Truth:
-        return Truth(self.ws, self.tables, built=self.interactions)
+        given = self.interactions
+        return Truth(self.ws, self.tables, built=replace(given, targets=self.ws.save(given.targets, "targets")))
 
     @cached_property
     def cell_objects(self) -> objects.Objects:
@@ -307,16 +328,18 @@ def merge_rounds(c):
 
 @query
 def natural_pieces(c):
-    return targets.natural_pieces(c.ws, c.tables, c.merged.unit_target)
+    tables = Written(c.ws, c.tables, "un", "atom", "tra")
+    return targets.natural_pieces(c.ws, tables, targets.build(c.ws, tables, pieces=False).unit_target)
 
 
 @query
 def truth_totals(c):
-    return truth_summary(c.tables, targets.build(c.ws, c.tables))
+    tables = Written(c.ws, c.tables, "un", "atom", "tra")
+    return truth_summary(tables, targets.build(c.ws, tables))
 
 
 def _ideal(c, level):
-    return Truth(c.ws, c.tables, built=c.merged).ideal_labels(level)
+    return Truth(c.ws, c.stored, built=c.merged).ideal_labels(level)
 
 
 @query
@@ -471,7 +494,7 @@ def summary_pivot(c):
 @query
 def summary_merged(c):
     """The same three clusterings against merged targets."""
-    return _three_runs(c, Truth(c.ws, c.tables, built=c.merged))
+    return _three_runs(c, Truth(c.ws, c.stored, built=c.merged))
 
 
 # Density clustering
@@ -515,17 +538,17 @@ def cluster_labels_final(c):
 
 @query
 def cluster_labels_lc(c):
-    return density.cluster(c.ws, points(c.tables, "lc"))
+    return density.cluster(c.ws, points(c.stored, "lc"))
 
 
 @query
 def cluster_labels_lc_all(c):
-    return density.cluster(c.ws, points(c.tables, "lc_all"))
+    return density.cluster(c.ws, points(c.stored, "lc_all"))
 
 
 @query
 def cluster_labels_rh(c):
-    return density.cluster(c.ws, points(c.tables, "rh"))
+    return density.cluster(c.ws, points(c.stored, "rh"))
 
 
 # Partitions
@@ -554,19 +577,19 @@ def closure_agg(c):
 
 @query
 def closure_raw(c):
-    return closure_plan.run(c.ws, c.tables).raw
+    return closure_plan.run(c.ws, c.stored).raw
 
 
 @query
 def closure_final(c):
-    return closure_plan.run(c.ws, c.tables, collection=derived.WIDE).final
+    return closure_plan.run(c.ws, c.stored, collection=derived.WIDE).final
 
 
 @query
 def score_settings(c):
     """Two settings, both ideal references and the stored collection against merged targets."""
     listed = [{"name": "default"}, {"name": "wide", "dc": 1.5, "outlierDistance": 4.0, "seedingDistance": 3.5}]
-    return score(c.ws, c.tables, listed, "lc", derived.MAIN, Truth(c.ws, c.tables, built=c.merged))
+    return score(c.ws, c.stored, listed, "lc", derived.MAIN, Truth(c.ws, c.stored, built=c.merged))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
