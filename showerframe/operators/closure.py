@@ -4,13 +4,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from showerframe.workspace import Workspace
+
 EV = "event_id"
 COUNTERS = ("n_lc", "lc_agree", "clusters_a", "clusters_b", "identical_clusters", "outliers_a", "outliers_b")
 
 
-def canonical(labels: DataFrame) -> DataFrame:
+def canonical(ws: Workspace, labels: DataFrame) -> DataFrame:
     """``labels`` (event_id, idx, label) with every label replaced by the smallest index of its cluster."""
     names = labels.filter(F.col("label") >= 0).groupBy(EV, "label").agg(F.min("idx").alias("canon"))
+    names = ws.save(names, "names")
     return labels.join(names, [EV, "label"], "left").select(EV, "idx", F.coalesce("canon", F.lit(-1)).alias("label"))
 
 

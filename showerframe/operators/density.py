@@ -30,6 +30,7 @@ def densities(ws: Workspace, coords: DataFrame, p: Params, hot_cell: int = HOT_C
                                                 F.min("idx").alias("idx")), "density_places")
     near = (range_join(ws, places.drop("esum"), places.drop("idx"), p, p.dc, hot_cell)
             .groupBy(*PLACE).agg(F.sum("esum2").alias("near")))
+    near = ws.save(near, "near")  # a place with many copies is then a join key that can be split
     own = F.col("E").cast("double")
     out = coords.join(near, PLACE).withColumn("rho", real(own * 0.5 + F.col("near") * 0.5, p.f32))
     # pow in double, rounded once. At r = 0 the threshold is infinite.

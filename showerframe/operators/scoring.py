@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from showerframe.operators.ledger import KEY, target_struct
 from showerframe.operators.objects import Objects
 from showerframe.schema import SUM_KEYS
+from showerframe.workspace import Workspace
 
 COUNTED = ("n_targets", "n_targets_obj", "n_obj", "n_pu_obj", "n_noise_obj", "events")
 
@@ -75,9 +76,11 @@ class Scored:
         return _total(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(grid), keys)
 
 
-def evaluate(objects: Objects, ledger: DataFrame, targets: DataFrame, events: DataFrame) -> Scored:
-    share_rows = shares(objects, ledger)
-    assigned = assign(share_rows, objects.roster)
+def evaluate(ws: Workspace, objects: Objects, ledger: DataFrame, targets: DataFrame, events: DataFrame) -> Scored:
+    """Both consumers of the shares need different columns of them, so Catalyst would run the join for each; the shares
+    are written once instead, and so are the assigned objects."""
+    share_rows = ws.save(shares(objects, ledger), "shares")
+    assigned = ws.save(assign(share_rows, objects.roster), "assigned")
     return Scored(share_rows, assigned, collected(share_rows, assigned, targets), events.select(KEY))
 
 

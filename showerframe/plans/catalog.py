@@ -62,25 +62,30 @@ class Context:
     def merged(self) -> targets.Targets:
         return targets.build(self.ws, self.stored, pieces=False)
 
+    @cached_property
+    def with_units(self) -> Written:
+        return Written(self.ws, self.tables, "un")
+
     @cached_property
     def interactions(self) -> targets.Targets:
         """One target per interaction, named by its smallest unit number."""
         unit = F.col("unit")
         first = F.when(unit % 5 == 4, unit).otherwise(F.col("evt") * 5)
-        return targets.given(self.ws, self.tables, self.tables.un.select(EV, "unit", first.alias("target")))
+        tables = self.with_units
+        return targets.given(self.ws, tables, tables.un.select(EV, "unit", first.alias("target")))
 
     @cached_property
     def truth(self) -> Truth:
         given = self.interactions
-        return Truth(self.ws, self.tables, built=replace(given, targets=self.ws.save(given.targets, "targets")))
+        return Truth(self.ws, self.with_units, built=replace(given, targets=self.ws.save(given.targets, "targets")))
 
     @cached_property
     def cell_objects(self) -> objects.Objects:
-        return objects.from_labels(derived.cell_labels(self.tables.rh), "rh")
+        return objects.from_labels(self.ws.save(derived.cell_labels(self.tables.rh), "labels"), "rh")
 
     @cached_property
     def group_objects(self) -> objects.Objects:
-        return objects.from_labels(derived.group_labels(self.tables.lc), "lc")
+        return objects.from_labels(self.ws.save(derived.group_labels(self.tables.lc), "labels"), "lc")
 
     @cached_property
     def scored(self) -> scoring.Scored:
@@ -556,7 +561,7 @@ def cluster_labels_rh(c):
 
 @query
 def canonical_labels(c):
-    return closure.canonical(derived.group_labels(c.tables.lc))
+    return closure.canonical(c.ws, derived.group_labels(c.tables.lc))
 
 
 def _compared(c):

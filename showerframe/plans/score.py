@@ -41,11 +41,13 @@ class Truth:
         return ledger.dominant(self.ledger("rh" if level == "rh" else "lc"), members)
 
     def evaluate(self, objs: objects.Objects, events: DataFrame | None = None) -> scoring.Scored:
-        return scoring.evaluate(objs, self.ledger(objs.level), self.targets.targets,
+        return scoring.evaluate(self.ws, objs, self.ledger(objs.level), self.targets.targets,
                                 self.tables.event if events is None else events)
 
     def score_labels(self, labels: DataFrame, level: str) -> scoring.Scored:
-        return self.evaluate(objects.from_labels(labels, level))
+        """The labels are written, so that their join with the ledger starts from a shuffle on both sides, which
+        adaptive execution can split at a hot member."""
+        return self.evaluate(objects.from_labels(self.ws.save(labels, "labels"), level))
 
     def score_collection(self, collection: str) -> scoring.Scored:
         """Only the events that store the collection count, with their targets."""
@@ -53,7 +55,7 @@ class Truth:
         events = rows.select(EV).distinct()
         objs = objects.from_tracksters(self.tables.trackster_lc, collection)
         found = self.targets.targets.join(events, EV, "left_semi")
-        return scoring.evaluate(objs, self.ledger("lc"), found, events)
+        return scoring.evaluate(self.ws, objs, self.ledger("lc"), found, events)
 
 
 def score(ws: Workspace, tables: EventTables, settings: list[dict], level: str = "lc",

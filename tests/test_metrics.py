@@ -88,7 +88,7 @@ def run(spark, ws, cases):
         own = Truth(ws, tables.only_events(events), built=truth.targets)
         own._ledgers = {lv: truth.ledger(lv) for lv in ("rh", "lc")}
         found = truth.targets.targets.join(events, "event_id", "left_semi")
-        parts.append(scoring.evaluate(objects.from_labels(labels, level), truth.ledger(level), found, events))
+        parts.append(scoring.evaluate(ws, objects.from_labels(labels, level), truth.ledger(level), found, events))
     sums = ws.save(parts[0].sums(True).unionByName(parts[1].sums(True)), "sums")
     wide = {r["event_id"]: r for r in summary.wide(sums, by=("event_id",)).collect()}
     best = by_event(scoring.best_targets(parts[0].assigned), "obj")
@@ -144,7 +144,7 @@ def test_bin_edges_belong_to_the_upper_bin(m):
     assert math.isnan(row["eps_HAD_E0-5"])
 
 
-def test_group_level_equals_cell_level(run, cases, spark, m):
+def test_group_level_equals_cell_level(run, cases, spark, ws, m):
     ev = cases.names["shared_lc"]
     labels = spark.createDataFrame([(ev, 0, 0), (ev, 1, 1), (ev, 2, 1)], "event_id long, idx long, label long")
     objs = objects.from_labels(labels, "lc")
@@ -154,7 +154,7 @@ def test_group_level_equals_cell_level(run, cases, spark, m):
     truth = run["truth"]
     events = labels.select("event_id").distinct()
     found = truth.targets.targets.join(events, "event_id", "left_semi")
-    direct = scoring.evaluate(objects.from_cell_weights(cells), truth.ledger("rh"), found, events).sums()
+    direct = scoring.evaluate(ws, objects.from_cell_weights(cells), truth.ledger("rh"), found, events).sums()
     want = run["sums"].filter(F.col("event_id") == ev)
     a, b = ({(r["cls"], r["ebin"]): [r[k] for k in SUM_KEYS] for r in df.collect()} for df in (direct, want))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
