@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from showerframe.functions.ranking import ordinals, top
 from showerframe.functions.scalars import number, real
 from showerframe.operators.chains import roots
+from showerframe.operators.crowding import sums_within
 from showerframe.operators.neighbours import HOT_CELL, range_join
 from showerframe.operators.points import coordinates
 from showerframe.params import DEFAULT, Params
@@ -28,8 +29,11 @@ def densities(ws: Workspace, coords: DataFrame, p: Params, hot_cell: int = HOT_C
     the reach eff of every point."""
     places = ws.save(coords.groupBy(*PLACE).agg(F.sum(F.col("E").cast("double")).alias("esum"),
                                                 F.min("idx").alias("idx")), "density_places")
-    near = (range_join(ws, places.drop("esum"), places.drop("idx"), p, p.dc, hot_cell)
-            .groupBy(*PLACE).agg(F.sum("esum2").alias("near")))
+    if fullest_cell(places, p, p.dc) > hot_cell:
+        near = sums_within(ws, places.drop("idx"), p, p.dc)
+    else:
+        near = (range_join(ws, places.drop("esum"), places.drop("idx"), p, p.dc, hot_cell)
+                .groupBy(*PLACE).agg(F.sum("esum2").alias("near")))
     near = ws.save(near, "near")  # a place with many copies is then a join key that can be split
     own = F.col("E").cast("double")
     out = coords.join(near, PLACE).withColumn("rho", real(own * 0.5 + F.col("near") * 0.5, p.f32))
@@ -86,18 +90,23 @@ def nearest_higher(ws: Workspace, dens: DataFrame, p: Params, radii: list[float]
 def search_radii(places: DataFrame, p: Params, hot_cell: int = HOT_CELL) -> list[float]:
     """Radii of the nearest-higher search: the full reach alone where cells are thinly filled, smaller ones before it
     while the fullest cell of the full-reach grid would still hold more than ``hot_cell`` places."""
-    width = p.reach * 2
-    fullest = (places.groupBy(*KEYS, "sig", F.floor(F.col("X") / (width * F.col("rel"))).alias("cx"),
-                              F.floor(F.col("Y") / (width * F.col("rel"))).alias("cy"),
-                              F.floor(F.col("Z") / width).alias("cz")).count()
-               .agg(F.max("count").alias("n")).first()["n"] or 0)
+    fullest = fullest_cell(places, p, p.reach)
     radii = [p.reach]
-    while fullest > hot_cell and len(radii) < 6:
+    while fullest > hot_cell and radii[0] > p.reach / 2**20:
         radii.insert(0, radii[0] / 2)
         fullest //= 4
     return radii
 
 
+def fullest_cell(places: DataFrame, p: Params, radius: float) -> int:
+    """Largest number of places in one cell of twice ``radius``: one aggregate, one row back."""
+    width = radius * 2
+    cells = places.groupBy(*KEYS, "sig", F.floor(F.col("X") / (width * F.col("rel"))).alias("cx"),
+                           F.floor(F.col("Y") / (width * F.col("rel"))).alias("cy"),
+                           F.floor(F.col("Z") / width).alias("cz")).count()
+    return cells.agg(F.max("count").alias("n")).first()["n"] or 0
+
+
 def seeds_and_roots(ws: Workspace, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(seeds: keys, idx) and (root of every point: keys, idx, root)."""
     written = ws.save(linked.select(*KEYS, "idx", "parent", (F.col("dense") & (F.col("parent") < 0)).alias("seed")),
