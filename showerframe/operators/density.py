@@ -88,13 +88,12 @@ def nearest_higher(ws: Workspace, dens: DataFrame, p: Params, radii: list[float]
 
 
 def search_radii(places: DataFrame, p: Params, hot_cell: int = HOT_CELL) -> list[float]:
-    """Radii of the nearest-higher search: the full reach alone where cells are thinly filled, smaller ones before it
-    while the fullest cell of the full-reach grid would still hold more than ``hot_cell`` places."""
-    fullest = fullest_cell(places, p, p.reach)
+    """Radii of the nearest-higher search: the full reach alone where cells are thinly filled; otherwise it starts at a
+    radius whose fullest cell holds few places and doubles from there."""
     radii = [p.reach]
-    while fullest > hot_cell and radii[0] > p.reach / 2**20:
-        radii.insert(0, radii[0] / 2)
-        fullest //= 4
+    if fullest_cell(places, p, p.reach) > hot_cell:
+        while fullest_cell(places, p, radii[0]) > max(hot_cell // 32, 1) and radii[0] > p.reach / 2**20:
+            radii.insert(0, radii[0] / 2)
     return radii
 
 

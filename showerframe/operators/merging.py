@@ -138,13 +138,15 @@ def separate(ws: Workspace, cells: DataFrame, bases: DataFrame, cell_keys: list[
         active = ws.save(edges.filter(F.col("next").isNotNull()).select(EV).distinct(), "active")
         for parts, df in ((done_members, members), (done_objects, objects), (done_cells, state)):
             parts.append(df.join(active, EV, "left_anti"))
-        moves = ws.save(_moves(ws, edges), "moves")
+        with ws.child() as tmp:
+            moves = ws.save(_moves(tmp, edges), "moves")
         members = ws.save(_move_members(members.join(active, EV, "left_semi"), moves, it), "members")
         state = ws.save(
             state.join(active, EV, "left_semi")
             .join(moves.filter(F.col("comp") != F.col("obj")).select(EV, "obj", "comp"), [EV, "obj"], "left")
             .groupBy(EV, *cell_keys, F.coalesce("comp", "obj").alias("obj"), "grp").agg(F.sum("E").alias("E")),
             "cells")
+        ws.release(edges, moves)
     else:
         raise RuntimeError("ideal-clustering test did not converge")
     finished = _union(done_objects)

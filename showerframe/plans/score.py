@@ -45,9 +45,9 @@ class Truth:
                                 self.tables.event if events is None else events)
 
     def score_labels(self, labels: DataFrame, level: str) -> scoring.Scored:
-        """The labels are written, so that their join with the ledger starts from a shuffle on both sides, which
-        adaptive execution can split at a hot member."""
-        return self.evaluate(objects.from_labels(self.ws.save(labels, "labels"), level))
+        """``labels`` should be a stored or written table: their join with the ledger then starts from a shuffle on
+        both sides, which adaptive execution can split at a hot member."""
+        return self.evaluate(objects.from_labels(labels, level))
 
     def score_collection(self, collection: str) -> scoring.Scored:
         """Only the events that store the collection count, with their targets."""
@@ -67,10 +67,11 @@ def score(ws: Workspace, tables: EventTables, settings: list[dict], level: str =
     runs: dict[str, scoring.Scored] = {}
     pts = points(tables, level)
     for setting in settings:
-        labels = density.cluster(ws, pts, Params.from_setting(setting))
+        with ws.child() as tmp:
+            labels = ws.save(density.cluster(tmp, pts, Params.from_setting(setting)), "labels")
         runs[setting.get("name", "setting")] = truth.score_labels(labels, level)
     for lv in ("rh", "lc"):
-        runs[f"ideal_{lv}"] = truth.score_labels(truth.ideal_labels(lv), lv)
+        runs[f"ideal_{lv}"] = truth.score_labels(ws.save(truth.ideal_labels(lv), "labels"), lv)
     if collection:
         runs[f"stored:{collection}"] = truth.score_collection(collection)
     sums = reduce(DataFrame.unionByName, [r.sums().withColumn("setting", F.lit(n)) for n, r in runs.items()])

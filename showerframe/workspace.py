@@ -55,6 +55,10 @@ class Workspace:
         saved = self.save(df.observe(seen, *[c.alias(k) for k, c in counters.items()]), name)
         return saved, {k: v or 0 for k, v in seen.get.items()}
 
+    def child(self) -> "Workspace":
+        """A workspace for tables that are not needed once a result is saved here: ``with ws.child() as tmp: ...``."""
+        return Workspace(self.spark, self.path)
+
     def release(self, *tables: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
         for table in tables:

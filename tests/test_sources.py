@@ -196,3 +196,18 @@ def test_toy_tables_are_checked(spark, ws):
     tables = t.tables(spark, ws)
     with pytest.raises(ValueError, match="tra: missing columns \\['E'\\]"):
         type(tables)(**{**tables.__dict__, "tra": tables.tra.drop("E")})
+
+
+def test_workspace_folder_and_cleanup(spark, tmp_path):
+    from showerframe import Workspace
+
+    with Workspace(spark, str(tmp_path / "shared")) as ws:
+        a = ws.save(spark.range(3), "a")
+        with ws.child() as tmp:
+            b, seen = tmp.save_counting(a.filter("id > 0"), "b", n=F.count("*"))
+            assert b.count() == 2 and seen == {"n": 2} and tmp.path.startswith(ws.path)
+            folder = tmp.path
+        assert not (tmp_path / folder).exists() and a.count() == 3
+        ws.release(a)
+        assert not list((tmp_path / "shared").glob("*/0001-a"))
+    assert not list((tmp_path / "shared").iterdir())
