@@ -498,7 +498,7 @@ def oracles() -> dict[str, str]:
         "combine_sums": f"SELECT cls, ebin, {totals} FROM gc_sums GROUP BY cls, ebin",
         "summary_metrics": metric_sql("gc_sums"),
         "mean_over_samples": f"""SELECT metric, CASE WHEN metric = 'events' THEN sum(value)
-            WHEN count(*) FILTER (NOT isnan(value)) > 0 THEN sum(value) FILTER (NOT isnan(value)) / count(*) FILTER (NOT isnan(value))
+            WHEN count(*) FILTER (NOT isnan(value)) > 0 THEN sum(value ORDER BY sample) FILTER (NOT isnan(value)) / count(*) FILTER (NOT isnan(value))
             ELSE 'NaN'::DOUBLE END AS value
           FROM ({metric_sql('(SELECT event_id % 3 AS sample, * FROM gc_sums)', 'sample')}) GROUP BY metric""",
         "summary_pivot": f"""SELECT metric, max(value) FILTER (setting = 'cells') AS cells, max(value) FILTER (setting = 'groups')

@@ -18,6 +18,9 @@ def _root(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_DIR, None)
     if configured:
         return configured
+    context_dir = spark._jsc.sc().getCheckpointDir()  # set on the context instead of in the configuration
+    if context_dir.isDefined():
+        return context_dir.get()
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
