@@ -6,15 +6,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from showerframe.llm import url_filter
+from showerframe.llm.language_id import op1_language_id
 from showerframe.llm.near_dedup import op6_near_dedup
+from showerframe.llm.quality import op7_quality_rules
+from showerframe.llm.shipping import shipped
+from showerframe.llm.url_filter import op9_url_filter
 
-_QUERIES = (op6_near_dedup,)
+_QUERIES = (op1_language_id, op6_near_dedup, op7_quality_rules, op9_url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: shipped(f) for f in _QUERIES} | {"pipeline": shipped(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express on whole tables; tests hold the others against brute force."""
-    return {}
+    return {"op9_url_filter": url_filter.SQL}
