@@ -1,32 +1,52 @@
 """A corpus pipeline: quality rules, near-duplicate removal, removal of repeated passages, decontamination, packing.
 
-Each stage takes what its predecessor kept, written as Parquet and read again."""
+Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of the
+documents table; a null text counts as empty. Every stage reads all rows and whole texts."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from showerframe.llm import near_dedup
+from showerframe.llm import decontaminate, near_dedup, packing, quality, suffix_array
 from showerframe.llm.common import scratch, table
 
-#: Near duplicates of the pipeline: five words a shingle, similarity 0.8 or more.
-NEAR = {"width": 5, "num": 4, "den": 5}
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the trained classifier reject go."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    return near_dedup.keep_one(docs, **NEAR)
+    """Of each group linked by a similarity of 0.8 or more on five-word shingles, the document with the smallest id stays."""
+    return near_dedup.keep_one(docs, width=5, num=4, den=5)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes under a 400-byte string that also starts elsewhere go; all documents stay, some with a shorter text."""
+    return suffix_array.remove_repeats(docs)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, re-parameterised or not, go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("MinHash near-dedup", near_duplicates)]
+STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("suffix-array dedup", repeated_passages),
+          ("benchmark decontamination", benchmark_items), ("best-fit packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over the documents table; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
     ws = scratch(spark)
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         docs = ws.save(stage(spark, docs, sf_dir), "stage")
     return docs
 
 
-#: The stages learn models and hash, which SQL cannot express; tests hold each against a plain version.
+#: The stages learn models, hash and tokenize, which SQL cannot express; tests hold them against plain versions.
 ORACLE_SQL = None

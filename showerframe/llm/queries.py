@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from showerframe.llm import url_filter
+from showerframe.llm.decontaminate import op4_decontaminate
 from showerframe.llm.language_id import op1_language_id
 from showerframe.llm.near_dedup import op6_near_dedup
+from showerframe.llm.packing import op5_packing
 from showerframe.llm.quality import op7_quality_rules
 from showerframe.llm.shipping import shipped
 from showerframe.llm.suffix_array import op10_suffix_array
 from showerframe.llm.suffix_tree import op3_suffix_tree
 from showerframe.llm.url_filter import op9_url_filter
 
-_QUERIES = (op1_language_id, op3_suffix_tree, op6_near_dedup, op7_quality_rules, op9_url_filter, op10_suffix_array)
+_QUERIES = (op1_language_id, op3_suffix_tree, op4_decontaminate, op5_packing, op6_near_dedup, op7_quality_rules, op9_url_filter, op10_suffix_array)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -65,19 +65,19 @@ def merge_suffixes(rule: Rule, core: np.ndarray, low: np.ndarray, high: np.ndarr
     return np.concatenate(members), np.concatenate(offsets)
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
     """``docs`` with every byte under a repeated window removed from its text, all other columns and rows unchanged. A
     character that is covered only in part stays; a null text stays null. ``chars``, if it is a column, becomes the new
     number of code points wherever the text changed."""
     spark = docs.sparkSession
     ws = scratch(spark)
-    found = repeats.find(ws, RULE, merge_suffixes, docs.select(F.lit(0).cast("long").alias("key"), F.col(text).alias("text")))
+    found = repeats.find(ws, RULE, merge_suffixes, docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
     spans = repeats.spans_of(found)
     copied = F.col("copies") > 1
     special = ws.save(found.nodes.join(spans, "node", "left").filter(copied | F.col("lows").isNotNull())
                       .select("name", copied.alias("copied"), "lows", "highs"), "special")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    marked = repeats.named(RULE, docs.select(row, F.col(text).alias("text"))).select("row", "name", "text")
+    marked = repeats.named(RULE, docs.select(row, F.col(text).alias("text")))
     joined = marked.join(special.withColumnRenamed("name", "special"), F.col("name") == F.col("special"), "left")
     cut = joined.select("row", "text", "copied", "lows", "highs").mapInArrow(
         _cut_text, f"row {joined.schema['row'].dataType.simpleString()}, new_text string, new_size long")
