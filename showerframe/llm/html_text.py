@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from showerframe.llm.common import Slice, table
 
 #: Pages that are learnt from, about, chosen by a hash of the id.
-TRAIN_PAGES = 250
+TRAIN_PAGES = 200
 PATHS, WORDS = 512, 1024
 PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN = 12, 6, 4, 12
 BATCH = 64
@@ -191,16 +191,28 @@ def features(pages: list[list[Block]]) -> Features:
                     (words.code >> np.uint64(54)).astype(int), words.first, numbers, [len(p) for p in pages])
 
 
-def _mean(weights: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _sums(weights: np.ndarray, bucket: np.ndarray, first: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Rows of ``weights`` added up per block, times the block's ``share``."""
     total = np.zeros((len(bucket) + 1, weights.shape[1]), np.float64)
     np.cumsum(weights[bucket], axis=0, out=total[1:])
-    return ((total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]).astype(np.float32)
+    return ((total[first[1:]] - total[first[:-1]]) * share[:, None]).astype(np.float32)
+
+
+def _inputs(model: dict, path: np.ndarray, path_first: np.ndarray, word: np.ndarray, word_first: np.ndarray,
+            numbers: np.ndarray, word_share: np.ndarray) -> np.ndarray:
+    """Vectors of blocks: path elements add up, so that one foreign element counts the same at any depth; words average."""
+    return np.concatenate([_sums(model["path"], path, path_first, np.ones(len(numbers), np.float32)),
+                           _sums(model["word"], word, word_first, word_share), numbers], 1)
+
+
+def _word_share(n: np.ndarray) -> np.ndarray:
+    return (1 / np.maximum(n, 1)).astype(np.float32)
 
 
 def fresh_model() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(5)
     n = PATH_SIZE + WORD_SIZE + NUMBERS
-    model = {"path": rng.normal(0, 0.3, (PATHS, PATH_SIZE)), "word": rng.normal(0, 0.05, (WORDS, WORD_SIZE)),
+    model = {"path": rng.normal(0, 0.3, (PATHS, PATH_SIZE)), "word": rng.normal(0, 0.02, (WORDS, WORD_SIZE)),
              "out": rng.normal(0, 0.3, (2 * HIDDEN, 1)), "bias": np.zeros(1)}
     for side in ("f", "b"):
         model["w" + side] = rng.normal(0, 1 / np.sqrt(n + HIDDEN), (n + HIDDEN, 4 * HIDDEN))
@@ -267,8 +279,7 @@ def _batch(inputs: np.ndarray, sizes: list[int]):
 
 def probabilities(model: dict, f: Features) -> np.ndarray:
     """Probability of every block to be article text. Pages of similar length are read together."""
-    inputs = np.concatenate([_mean(model["path"], f.path, f.path_first), _mean(model["word"], f.word, f.word_first),
-                             f.numbers], 1)
+    inputs = _inputs(model, f.path, f.path_first, f.word, f.word_first, f.numbers, _word_share(np.diff(f.word_first)))
     out = np.zeros(len(inputs))
     first = np.r_[0, np.cumsum(f.sizes)].astype(int)
     order = [p for p in sorted(range(len(f.sizes)), key=lambda p: f.sizes[p]) if f.sizes[p]]
@@ -286,7 +297,7 @@ def probabilities(model: dict, f: Features) -> np.ndarray:
 
 
 def varied(pages: list[list[Block]], seed: int = 3) -> list[list[Block]]:
-    """Each page as it is, and once more with another container of the article and with foreign blocks at random places."""
+    """Each page as it is, and twice more with another container of the article and with foreign blocks at random places."""
     rng = np.random.default_rng(seed)
     containers = ["article", "main", "div.content", "div.post.body", "section.article", "div.entry.content", "div.main.content",
                   "article.post", "div.story"]
@@ -303,7 +314,7 @@ def varied(pages: list[list[Block]], seed: int = 3) -> list[list[Block]]:
              ("section", "p"), ("section", "h2"), ("dl", "dd"), ("figure", "figcaption"), ("div",), ("table", "tbody", "tr", "td")]
     texts = [b.text for page in pages for b in page] or [""]
     out = list(pages)
-    for page in pages:
+    for page in [*pages, *pages]:
         box = containers[rng.integers(len(containers))]
         new = []
         for b in page:
@@ -335,7 +346,8 @@ def fit(pages: list[list[Block]]) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(9)
     mean, square = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
     step = 0
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
         shuffled = sorted(rng.permutation(len(pages)).tolist(), key=lambda p: f.sizes[p] + rng.random() * 5)
         groups = [shuffled[k:k + 16] for k in range(0, len(shuffled), 16)]
         for g in rng.permutation(len(groups)).tolist():
@@ -344,8 +356,10 @@ def fit(pages: list[list[Block]]) -> dict[str, np.ndarray]:
             path_at = _ranges(f.path_first, own)
             word_at = _ranges(f.word_first, own)
             n_path, n_word = np.diff(f.path_first)[own], np.diff(f.word_first)[own]
-            live = np.concatenate([_local_mean(model["path"], f.path[path_at], n_path),
-                                   _local_mean(model["word"], f.word[word_at], n_word), f.numbers[own]], 1)
+            # half of the blocks are read without their words, so that the network does not lean on them
+            share = _word_share(n_word) * (rng.random(len(own)) < 0.5)
+            live = _inputs(model, f.path[path_at], np.r_[0, np.cumsum(n_path)], f.word[word_at], np.r_[0, np.cumsum(n_word)],
+                           f.numbers[own], share.astype(np.float32))
             x, mask, back, flip = _batch(live, [f.sizes[p] for p in chosen])
             forward, tape_f = _lstm(x, mask, model["wf"], model["cf"], True)
             reverse, tape_b = _lstm(back, mask, model["wb"], model["cb"], True)
@@ -360,15 +374,17 @@ def fit(pages: list[list[Block]]) -> dict[str, np.ndarray]:
             grads["wf"], grads["cf"], dxf = _lstm_back(x, model["wf"], tape_f, d_both[:, :, :HIDDEN])
             grads["wb"], grads["cb"], dxb = _lstm_back(back, model["wb"], tape_b, d_back)
             dx = (dxf + np.take_along_axis(dxb, flip[:, :, None], 1))[mask]
-            for name, bucket, n, cut in (("path", f.path[path_at], n_path, slice(0, PATH_SIZE)),
-                                         ("word", f.word[word_at], n_word, slice(PATH_SIZE, PATH_SIZE + WORD_SIZE))):
+            for name, bucket, n, part in (("path", f.path[path_at], n_path, dx[:, :PATH_SIZE]),
+                                          ("word", f.word[word_at], n_word,
+                                           dx[:, PATH_SIZE:PATH_SIZE + WORD_SIZE] * share[:, None])):
                 grads[name] = np.zeros_like(model[name])
-                np.add.at(grads[name], bucket, np.repeat(dx[:, cut] / np.maximum(n, 1)[:, None], n, axis=0))
+                np.add.at(grads[name], bucket, np.repeat(part, n, axis=0))
+            grads["word"] += 1e-4 * model["word"]
             step += 1
             for k, grad in grads.items():
                 mean[k] += 0.1 * (grad - mean[k])
                 square[k] += 0.01 * (grad * grad - square[k])
-                model[k] -= (RATE * mean[k] / (1 - 0.9 ** step)
+                model[k] -= (rate * mean[k] / (1 - 0.9 ** step)
                              / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32).reshape(model[k].shape)
     return model
 
@@ -379,10 +395,6 @@ def _ranges(first: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.repeat(first[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
-def _local_mean(weights: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return _mean(weights, bucket, np.r_[0, np.cumsum(n)].astype(int))
-
-
 def _fit_group(group: pa.Table) -> pa.Table:
     rows = sorted(x for x in group.column("html").to_pylist() if x)
     model = fit([blocks_of(x) for x in rows])
