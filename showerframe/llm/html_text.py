@@ -398,7 +398,7 @@ def _ranges(first: np.ndarray, own: np.ndarray) -> np.ndarray:
 def _fit_group(group: pa.Table) -> pa.Table:
     rows = sorted(x for x in group.column("html").to_pylist() if x)
     model = fit([blocks_of(x) for x in rows])
-    return pa.table({"name": list(model), "shape": [list(v.shape) for v in model.values()],
+    return pa.table({"name": list(model), "shape": pa.array([list(v.shape) for v in model.values()], pa.list_(pa.int32())),
                      "data": pa.array([v.astype(np.float32).tobytes() for v in model.values()], pa.binary())})
 
 

@@ -82,20 +82,24 @@ class Encoder:
             self._ids = np.concatenate([self._ids, *found])
             self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and where each text's begin (one more than texts)."""
-        if len(self._number) > REMEMBERED:
+    def parts(self, parts: list[str], limit: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each part behind a blank, in one array, and where each part's begin (one more than parts)."""
+        if len(self._number) > limit:
             self._clear()
-        whole = [bool(_SPACES.search(t)) or any(s in t for s in self._special) for t in texts]
-        split = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
-        inner = [p for parts in split for p in parts[1:]]
-        new = set(inner) - self._number.keys()
+        new = set(parts) - self._number.keys()
         if new:
             self._learn(sorted(new))
-        number = np.fromiter(map(self._number.__getitem__, inner), np.int64, len(inner))
+        number = np.fromiter(map(self._number.__getitem__, parts), np.int64, len(parts))
         size = np.diff(self._first)[number]
         total = np.r_[0, np.cumsum(size)]
-        ids = self._ids[np.repeat(self._first[number] - total[:-1], size) + np.arange(total[-1])]
+        return self._ids[np.repeat(self._first[number] - total[:-1], size) + np.arange(total[-1])], total
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text's begin (one more than texts)."""
+        whole = [bool(_SPACES.search(t)) or any(s in t for s in self._special) for t in texts]
+        split = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
+        inner = [p for parts in split for p in parts[1:]]
+        ids, total = self.parts(inner)
         heads = self._encode([t if w else (p[0] if p else "") for t, w, p in zip(texts, whole, split)])
         out, first, at = [], [0], 0
         for head, parts in zip(heads, split):

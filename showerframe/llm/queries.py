@@ -10,6 +10,7 @@ from showerframe.llm import url_filter
 from showerframe.llm.decontaminate import op4_decontaminate
 from showerframe.llm.html_text import op2_html_text
 from showerframe.llm.language_id import op1_language_id
+from showerframe.llm.lm_score import op8_lm_score
 from showerframe.llm.near_dedup import op6_near_dedup
 from showerframe.llm.packing import op5_packing
 from showerframe.llm.quality import op7_quality_rules
@@ -18,7 +19,7 @@ from showerframe.llm.suffix_array import op10_suffix_array
 from showerframe.llm.suffix_tree import op3_suffix_tree
 from showerframe.llm.url_filter import op9_url_filter
 
-_QUERIES = (op1_language_id, op2_html_text, op3_suffix_tree, op4_decontaminate, op5_packing, op6_near_dedup, op7_quality_rules, op9_url_filter, op10_suffix_array)
+_QUERIES = (op1_language_id, op2_html_text, op3_suffix_tree, op4_decontaminate, op5_packing, op6_near_dedup, op7_quality_rules, op8_lm_score, op9_url_filter, op10_suffix_array)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
