@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from showerframe.llm.common import Slice, byte_symbols, mix64, prefix_hash, ranges_hash, slices, table
+from showerframe.llm.common import Slice, byte_symbols, mix64, prefix_hash, ranges_hash, scratch, slices, table
 
 #: Tokens of a window; an item with fewer is one window as a whole, if it has at least SHORTEST.
 WIDTH, SHORTEST = 13, 6
@@ -90,7 +90,9 @@ def template(piece: Slice) -> Template:
     fresh = opens | (stops[start] > stops[previous_end])
     head = data[start] if len(start) else data[:0]
     second = data[np.minimum(start + 1, max(n - 1, 0))] if len(start) else data[:0]
-    capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    small = ((second >= 97) & (second <= 122)) | (second >= 0x80)
+    # a capital before a small letter; words all in capitals are words
+    capital = (small & (head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     number = (head >= 48) & (head <= 57)
     behind = np.r_[False, number[:-1]] & ~opens if len(start) else number
     unit = behind & (_UNITS[np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)] == value)
@@ -194,9 +196,9 @@ def _marked(index, drop: bool, text: str):
                 yield batch.filter(pa.array([not h for h in found], pa.bool_()))
                 continue
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([len(h) for h in found], pa.int64()),
+                [batch.column("key"), batch.column("row"), pa.array([len(h) for h in found], pa.int64()),
                  pa.array([sum(h.values()) for h in found], pa.int64()), pa.array([min(h, default=None) for h in found], pa.int64())],
-                ["key", "n_items", "n_windows", "first_item"])
+                ["key", "row", "n_items", "n_windows", "first_item"])
     return run
 
 
@@ -207,21 +209,22 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
     ``PLAIN`` plain tokens. Null keys are carried, repeated rows judged one by one; an empty benchmark contaminates nothing;
     other columns are not read; texts are read whole."""
     context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(index) for index in benchmark_blocks(items)]
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    schema = "key long, n_items long, n_windows long, first_item long"
-    passes = [source.mapInArrow(_marked(context.broadcast(index), False, "text"), schema) for index in benchmark_blocks(items)]
-    if not passes:
-        out = source.select("key", F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("n_windows"),
+    if len(blocks) > 1:  # written, since row numbers of a second reading need not be the same
+        source = scratch(docs.sparkSession).save(source.withColumn("row", F.monotonically_increasing_id()), "source")
+    else:
+        source = source.withColumn("row", F.lit(0).cast("long"))
+    schema = "key long, row long, n_items long, n_windows long, first_item long"
+    nothing = source.select("key", "row", F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("n_windows"),
                             F.lit(None).cast("long").alias("first_item"))
-    elif len(passes) == 1:
-        out = passes[0]
-    else:  # each pass sees every row in the same order of the same scan: add up row by row
-        rows = [p.withColumn("row", F.monotonically_increasing_id()) for p in passes]
-        out = rows[0]
-        for more in rows[1:]:
+    passes = [source.mapInArrow(_marked(index, False, "text"), schema) for index in blocks] or [nothing]
+    out = passes[0]
+    if len(passes) > 1:
+        for more in passes[1:]:
             out = out.unionByName(more)
         out = out.groupBy("key", "row").agg(F.sum("n_items").alias("n_items"), F.sum("n_windows").alias("n_windows"),
-                                            F.min("first_item").alias("first_item")).drop("row")
+                                            F.min("first_item").alias("first_item"))
     bad = F.col("n_items") > 0
     return out.select(F.col("key").alias(key), bad.alias("contaminated"), "n_items", "n_windows", "first_item", (~bad).alias("kept"))
 

@@ -269,10 +269,12 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
              den: int = 5) -> DataFrame:
     """``docs`` with one row of each class, unchanged: the one with the smallest key; of rows with the same key, the first."""
     row = "near_dedup_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    ws = scratch(docs.sparkSession)
+    # written, since row numbers of a second reading need not be the same
+    numbered = ws.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     classes = near_groups(numbered, key=row, text=text, width=width, num=num, den=den)
     own = numbered.select(row, F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.col(row).alias("c")).alias("o"))
-    joined = scratch(docs.sparkSession).save(classes.filter(F.col("component_id").isNotNull()).join(own, row), "rows")
+    joined = ws.save(classes.filter(F.col("component_id").isNotNull()).join(own, row), "rows")
     best = joined.groupBy("component_id").agg(F.count("*").alias("size"), F.min("o").alias("best")).filter("size > 1")
     lost = joined.join(best, "component_id").filter(F.col("o") != F.col("best")).select(row)
     return numbered.join(lost, row, "left_anti").drop(row)
