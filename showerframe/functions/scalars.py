@@ -20,6 +20,20 @@ def number(value: float, f32: bool) -> Column:
     return real(F.lit(float(value)), f32)
 
 
+_UNIT = float(2**40)
+
+
+def units(energy: Column) -> Column:
+    """Energy as a whole number of 2**-40, whose sums are exact in any order. Single-precision values from 2**-16 to 2**13
+    are kept to the last bit, smaller and larger ones to 2**-40 and to 17 digits."""
+    return F.round(energy.cast("double") * _UNIT).try_cast("decimal(28,0)")
+
+
+def exact(total: Column) -> Column:
+    """A sum of ``units`` as a double, rounded once."""
+    return total.cast("double") / _UNIT
+
+
 def by_detector(det: Column, values) -> Column:
     """One value per accepted detector id, NULL elsewhere."""
     first, *rest = list(zip(DETECTORS, values))

@@ -24,8 +24,8 @@ def both_labels(a: DataFrame, b: DataFrame, consider: DataFrame | None = None) -
     return rows if consider is None else rows.join(consider.select(EV, "idx"), [EV, "idx"], "left_semi")
 
 
-def compare(rows: DataFrame) -> DataFrame:
-    """Counters per event of ``both_labels`` rows.
+def compare(rows: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Counters per event of ``both_labels`` rows, and of all ``events`` if given, also those without a considered point.
 
     Everything follows from the table of (a, b) counts, which is aggregated before it moves: a cluster of ``a`` is
     identical to one of ``b`` exactly if each is the other's only counterpart."""
@@ -50,6 +50,8 @@ def compare(rows: DataFrame) -> DataFrame:
              outliers_b=F.when((b < 0) & (a >= 0), n).otherwise(0)),
         part(clusters_a, clusters_a=one), part(clusters_b, clusters_b=one),
         part(identical, identical_clusters=one, lc_agree=n)]
+    if events is not None:
+        parts.append(part(events))
     total = parts[0]
     for more in parts[1:]:
         total = total.unionByName(more)

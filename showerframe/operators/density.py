@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from showerframe.functions.ranking import ordinals, top
-from showerframe.functions.scalars import number, real
+from showerframe.functions.scalars import exact, number, real, units
 from showerframe.operators.chains import roots
 from showerframe.operators.crowding import sums_within
 from showerframe.operators.neighbours import HOT_CELL, range_join
@@ -21,24 +21,24 @@ from showerframe.workspace import Workspace
 
 EV = "event_id"
 KEYS = [EV, "side"]
-PLACE = [EV, "side", "X", "Y", "Z", "rel", "sig"]
-
-
-def densities(ws: Workspace, coords: DataFrame, p: Params, hot_cell: int = HOT_CELL) -> DataFrame:
-    """``coords`` with rho (own energy plus half the energy within dc, summed in double and rounded once), dense and
-    the reach eff of every point."""
-    places = ws.save(coords.groupBy(*PLACE).agg(F.sum(F.col("E").cast("double")).alias("esum"),
-                                                F.min("idx").alias("idx")), "density_places")
-    if fullest_cell(places, p, p.dc) > hot_cell:
-        near = sums_within(ws, places.drop("idx"), p, p.dc)
-    else:
-        near = (range_join(ws, places.drop("esum"), places.drop("idx"), p, p.dc, hot_cell)
-                .groupBy(*PLACE).agg(F.sum("esum2").alias("near")))
+SPOT = [EV, "side", "X", "Y", "Z"]
+PLACE = [*SPOT, "rel", "sig"]
+
+
+def densities(ws: Workspace, coords: DataFrame, p: Params) -> DataFrame:
+    """``coords`` with rho (own energy plus half the energy within dc), dense and the reach eff of every point.
+
+    Energies are added as whole numbers of a small unit and rounded once, so rho depends neither on the order in which
+    rows arrive nor on what other events hold."""
+    places = ws.save(coords.groupBy(*PLACE).agg(F.sum(units(F.col("E"))).alias("esum")), "density_places")
+    near = sums_within(ws, places, p, p.dc).withColumn("near", exact(F.col("near")))
     near = ws.save(near, "near")  # a place with many copies is then a join key that can be split
     own = F.col("E").cast("double")
     out = coords.join(near, PLACE).withColumn("rho", real(own * 0.5 + F.col("near") * 0.5, p.f32))
-    # pow in double, rounded once. At r = 0 the threshold is infinite.
-    q = F.when(F.col("r") > 0, real(number(p.rhocPivotRadius, p.f32) / F.col("r"), p.f32).cast("double"))
+    # pow in double, rounded once. On the axis the quotient is infinite, and the exponent decides.
+    pivot = p.rhocPivotRadius
+    on_axis = float("nan") if pivot == 0 else float("inf") if pivot > 0 else float("-inf")
+    q = F.when(F.col("r") > 0, real(number(pivot, p.f32) / F.col("r"), p.f32).cast("double")).otherwise(F.lit(on_axis))
     power = real(F.pow(q, number(p.rhocEtaExponent, p.f32).cast("double")), p.f32)
     threshold = real(number(p.rhoc, p.f32) * power, p.f32)
     return (out.withColumn("dense", F.coalesce(F.col("rho") >= threshold, F.lit(False)))
@@ -58,31 +58,36 @@ def nearest_higher(ws: Workspace, dens: DataFrame, p: Params, radii: list[float]
     """``dens`` with parent: the nearest higher point within eff, ties to the higher rho, then the higher tag, then
     the lower index; -1 if there is none.
 
-    A point below the highest one of its place has that point at distance 0. Only the highest points search other
-    places, in growing radii: two searchers closer than a radius cannot both survive it, since one is higher than the
-    other, so the wide rounds start from few points even where points are crowded."""
-    best = (dens.groupBy(*PLACE).agg(F.max(F.struct("rho", "tag", (-F.col("idx")).alias("neg"))).alias("b"))
-            .select(*PLACE, F.col("b.rho").alias("rho"), F.col("b.tag").alias("tag"), (-F.col("b.neg")).alias("idx")))
-    places = ws.save(best, "places")
+    A point below the highest one of its position, whatever their sigmas, has that point at distance 0. Only the highest
+    points search elsewhere, in growing radii, each as far as its own reach. Of two that search and differ in height, the
+    lower one finds the other as soon as the radius covers their distance, so wide rounds start from few points even where
+    points are crowded."""
+    def tops(place: list[str]) -> DataFrame:
+        return (dens.groupBy(*place).agg(F.max(F.struct("rho", "tag", (-F.col("idx")).alias("neg"))).alias("b"))
+                .select(*place, F.col("b.rho").alias("rho"), F.col("b.tag").alias("tag"), (-F.col("b.neg")).alias("idx")))
+
+    places = ws.save(tops(PLACE), "places")
+    spots = ws.save(tops(SPOT), "spots")
     cand = dens.select(*PLACE, "idx", "rho", "tag", "eff").join(
-        places.select(*PLACE, F.col("rho").alias("rho2"), F.col("tag").alias("tag2"), F.col("idx").alias("idx2")), PLACE)
+        spots.select(*SPOT, F.col("rho").alias("rho2"), F.col("tag").alias("tag2"), F.col("idx").alias("idx2")), SPOT)
     cand = ws.save(cand.withColumn("below", higher() & (F.lit(0) <= F.col("eff"))), "candidates")
     below = cand.filter("below").select(*KEYS, "idx", F.col("idx2").alias("parent"))
-    # The others equal the highest point of their place but for their reach: one search per place and reach.
+    # The others equal the highest point of their position but for sigma and reach: one search for each.
     level = cand.filter(~F.col("below"))
+    one = ["idx", "sig", "eff"]
     search = ws.save(level.select(*PLACE, "rho", "tag", "eff", F.col("idx2").alias("idx")).distinct(), "search")
     links = []
     for radius in radii or search_radii(places, p, hot_cell):
         hit = (range_join(ws, search, places, p, radius, hot_cell)
                .filter(higher() & (F.col("d") <= F.col("eff")))
-               .groupBy(*KEYS, "idx", "eff")
+               .groupBy(*KEYS, *one)
                .agg(top(F.col("idx2"), -F.col("d"), F.col("rho2"), F.col("tag2"), -F.col("idx2")).alias("parent")))
         links.append(ws.save(hit, "links"))
         if radius >= p.reach:
             break
-        search = ws.save(search.join(links[-1], [*KEYS, "idx", "eff"], "left_anti"), "search")
+        search = ws.save(search.filter(F.col("eff") > radius).join(links[-1], [*KEYS, *one], "left_anti"), "search")
     linked = reduce(DataFrame.unionByName, links).withColumnRenamed("idx", "idx2")
-    others = (level.select(*KEYS, "idx2", "eff", "idx").join(linked, [*KEYS, "idx2", "eff"], "left")
+    others = (level.select(*KEYS, "idx2", "sig", "eff", "idx").join(linked, [*KEYS, "idx2", "sig", "eff"], "left")
               .select(*KEYS, "idx", F.coalesce("parent", F.lit(-1)).alias("parent")))
     return dens.join(below.unionByName(others), [*KEYS, "idx"])
 
@@ -134,7 +139,7 @@ def cluster(ws: Workspace, pts: DataFrame, p: Params = DEFAULT, drop_small: bool
             hot_cell: int = HOT_CELL) -> DataFrame:
     """Label of every point of the level: event_id, idx, label (-1: not active, outlier, or in a dropped cluster)."""
     coords = ws.save(coordinates(pts, p), "coordinates")
-    dens = ws.save(densities(ws, coords, p, hot_cell), "densities")
+    dens = ws.save(densities(ws, coords, p), "densities")
     linked = nearest_higher(ws, dens, p, hot_cell=hot_cell)
     seeds, rooted = seeds_and_roots(ws, linked)
     labels = rooted.join(number_clusters(ws, seeds, rooted, p, drop_small), [*KEYS, "root"], "left")

@@ -86,24 +86,20 @@ def range_join(ws: Workspace, probes: DataFrame, places: DataFrame, p: Params, r
     a trailing 2. Nothing is collected or shuffled by pair: callers aggregate the pairs in the join's own stage.
 
     The work of a cell is probes x places, which adaptive execution cannot see in byte sizes. Cells holding more
-    than ``hot_cell`` probes are therefore counted first; the probes of such a cell are dealt out over as many salts
-    as it takes, and its places are repeated once per salt."""
+    than ``hot_cell`` probes are therefore counted first; the probes of a cell are dealt out over as many salts as it
+    takes, one for all thin cells, and its places are repeated once per salt."""
     probes = around_grid(probes, p, radius)
     places = on_grid(places, p, radius).select(
         EV, "side", "pair", "cx", "cy", "cz",
         *[F.col(c).alias(f"{c}2") for c in places.columns if c not in (EV, "side")])
-    hot, seen = ws.save_counting(
-        probes.groupBy(*GRID).agg(F.count("*").alias("n")).filter(F.col("n") > hot_cell)
-        .select(*GRID, F.ceil(F.col("n") / hot_cell).cast("int").alias("salts")),
-        "hot_cells", cells=F.count("*"))
-    keys = GRID
-    if seen["cells"]:
-        keys = [*GRID, "salt"]
-        count = F.coalesce("salts", F.lit(1))
-        probes = (probes.join(hot, GRID, "left")
-                  .withColumn("salt", F.pmod(F.xxhash64("X", "Y", "Z", "idx"), count).cast("int")).drop("salts"))
-        places = (places.join(hot, GRID, "left")
-                  .withColumn("salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("salts"))
+    hot = ws.save(probes.groupBy(*GRID).agg(F.count("*").alias("n")).filter(F.col("n") > hot_cell)
+                  .select(*GRID, F.ceil(F.col("n") / hot_cell).cast("int").alias("salts")), "hot_cells")
+    keys = [*GRID, "salt"]
+    count = F.coalesce("salts", F.lit(1))
+    probes = (probes.join(hot, GRID, "left")
+              .withColumn("salt", F.pmod(F.xxhash64("X", "Y", "Z", "idx"), count).cast("int")).drop("salts"))
+    places = (places.join(hot, GRID, "left")
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("salts"))
     pairs = probes.join(places, keys).withColumn("d", distance(p)).filter(F.col("d") <= number(radius, p.f32))
     return pairs.drop("pair", "cx", "cy", "cz", "salt")
 

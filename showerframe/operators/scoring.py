@@ -72,7 +72,7 @@ class Scored:
         keys = [KEY] if by_event else []
         parts = [object_sums(self.assigned), target_sums(self.collected), event_sums(self.events)]
         rows = [_all_keys(p, keys) for p in parts]
-        grid = _all_keys(_grid(self.events), keys)
+        grid = _all_keys(_grid(self.events.select(*keys) if by_event else self.events.sparkSession.range(1), keys), keys)
         return _total(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(grid), keys)
 
 
@@ -124,16 +124,23 @@ def event_sums(events: DataFrame) -> DataFrame:
 
 
 def combine(*sums: DataFrame, by: tuple = ()) -> DataFrame:
-    """Total of sums of disjoint sets of events (jobs, batches, single events)."""
-    first, *rest = sums
+    """Total of sums of disjoint sets of events (jobs, batches, single events). Without ``by`` the grid is always dense."""
+    first, *rest = (s.select(*by, "cls", "ebin", *SUM_KEYS) for s in sums)
+    if not by:
+        rest.append(no_sums(first.sparkSession))
     for other in rest:
         first = first.unionByName(other)
     return _total(first, list(by))
 
 
-def _grid(events: DataFrame) -> DataFrame:
+def no_sums(spark) -> DataFrame:
+    """The sums of no event: a dense grid of zeros."""
+    return _all_keys(_grid(spark.range(1), []), [])
+
+
+def _grid(rows: DataFrame, keys: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(b).alias("ebin")) for c in range(2) for b in range(4)])
-    return events.select(KEY, F.explode(cells).alias("g")).select(KEY, "g.cls", "g.ebin")
+    return rows.select(*keys, F.explode(cells).alias("g")).select(*keys, "g.cls", "g.ebin")
 
 
 def _all_keys(df: DataFrame, keys: list[str]) -> DataFrame:

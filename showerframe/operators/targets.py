@@ -64,6 +64,8 @@ def build(ws: Workspace, tables: EventTables, frac: float = DEFAULT_FRAC, pieces
     sep = merging.separate(ws, cells, bases, ["rh"], frac)
     unit_target = sep.members.select(EV, F.col("base").alias("unit"), F.col("obj").alias("target"),
                                      F.col("E_base").alias("E_unit"), "merged_at", "partner")
+    unit_target = ws.save(unit_target, "unit_target")
+    target_cell = ws.save(sep.cells.withColumnRenamed("obj", "target"), "target_cell")
     found = (sep.objects.drop("grp", "head").withColumnRenamed("obj", "target")
              .join(attributes(unit_target, tables.un), [EV, "target"]))
     if pieces:
@@ -71,8 +73,7 @@ def build(ws: Workspace, tables: EventTables, frac: float = DEFAULT_FRAC, pieces
                  .withColumn("n_pieces", F.coalesce("n_pieces", F.lit(0))))
     else:
         found = found.withColumn("n_pieces", F.lit(1).cast("long"))
-    return Targets(ws.save(found, "targets"), unit_target,
-                   sep.cells.withColumnRenamed("obj", "target"), sep.rounds)
+    return Targets(ws.save(found, "targets"), unit_target, target_cell, sep.rounds)
 
 
 def atom_targets(atom: DataFrame, unit_target: DataFrame) -> DataFrame:

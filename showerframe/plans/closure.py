@@ -31,15 +31,17 @@ def run(ws: Workspace, tables: EventTables, params: Params = DEFAULT, collection
     raw = final = None
     if tables.assign is not None:
         stored = tables.assign.select(EV, F.col("lc").alias("idx"), "label")
-        have = pts.join(stored.select(EV).distinct(), EV, "left_semi")
+        events = ws.save(stored.select(EV).distinct(), "events")
+        have = pts.join(events, EV, "left_semi")
         with ws.child() as tmp:
             labels = density.cluster(tmp, have, params, drop_small=False)
-            raw = ws.save(closure.compare(closure.both_labels(labels, stored, active)), "closure_raw")
+            raw = ws.save(closure.compare(closure.both_labels(labels, stored, active), events), "closure_raw")
     if collection and tables.trackster_lc is not None:
         stored = closure.collection_labels(tables.lc, tables.trackster_lc, collection)
-        have = pts.join(stored.select(EV).distinct(), EV, "left_semi")
+        events = ws.save(stored.select(EV).distinct(), "events")
+        have = pts.join(events, EV, "left_semi")
         with ws.child() as tmp:
             labels = density.cluster(tmp, have, params, drop_small=True)
-            final = ws.save(closure.compare(closure.both_labels(labels, stored, active)), "closure_final")
+            final = ws.save(closure.compare(closure.both_labels(labels, stored, active), events), "closure_final")
     return Closure(None if raw is None else closure.aggregate(raw), None if final is None else closure.aggregate(final),
                    raw, final)

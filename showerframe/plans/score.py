@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from showerframe.operators import density, ledger, objects, scoring, summary, targets
 from showerframe.operators.points import points
 from showerframe.params import Params
-from showerframe.schema import DEFAULT_FRAC, EventTables
+from showerframe.schema import DEFAULT_FRAC, SCHEMAS, EventTables
 from showerframe.workspace import Workspace
 
 EV = "event_id"
@@ -50,10 +50,12 @@ class Truth:
         return self.evaluate(objects.from_labels(labels, level))
 
     def score_collection(self, collection: str) -> scoring.Scored:
-        """Only the events that store the collection count, with their targets."""
-        rows = self.tables.trackster_lc.filter(F.col("collection") == collection)
-        events = rows.select(EV).distinct()
-        objs = objects.from_tracksters(self.tables.trackster_lc, collection)
+        """Only the events that store the collection count, with their targets; there may be none."""
+        stored = self.tables.trackster_lc
+        if stored is None:
+            stored = self.ws.spark.createDataFrame([], SCHEMAS["trackster_lc"])
+        events = stored.filter(F.col("collection") == collection).select(EV).distinct()
+        objs = objects.from_tracksters(stored, collection)
         found = self.targets.targets.join(events, EV, "left_semi")
         return scoring.evaluate(self.ws, objs, self.ledger("lc"), found, events)
 

@@ -24,6 +24,11 @@ BRANCHES = [f"{g}_{f}" for g, fields in GROUPS.items() for f in fields] + ["even
 INDEX = {"lc": "lc", "rh": "rh", "at": "atom", "un": "unit"}  # groups whose array position is the key
 RENAMED = {("tra", "at"): "atom"}
 
+# An event is an entry of a file: its id is made of the ordinals of folder, file and entry. The number that an event
+# carries may repeat from file to file and is kept as an attribute only.
+ENTRY_BITS, FILE_BITS = 32, 12
+FOLDER_STEP = 1 << (ENTRY_BITS + FILE_BITS)
+
 
 def write_tables(tables: EventTables, path: str) -> None:
     """One Parquet folder per table; collections are partitions, so selecting one prunes files."""
@@ -35,8 +40,9 @@ def write_tables(tables: EventTables, path: str) -> None:
 
 
 def read_tables(spark: SparkSession, *paths: str) -> EventTables:
-    """Sample stored by ``write_tables``; several folders make one sample, in the order given. Optional tables are
-    those that every folder has."""
+    """Sample stored by ``write_tables``; several folders make one sample, in the order given. The ids of each folder's
+    events move to a range of its own, so events of different folders stay apart whatever ids they were stored with.
+    Optional tables are those that every folder has."""
     fs_conf = spark._jsparkSession.sessionState().newHadoopConf()
 
     def exists(path: str) -> bool:
@@ -45,7 +51,16 @@ def read_tables(spark: SparkSession, *paths: str) -> EventTables:
 
     def one(name: str, ordinal: int, path: str) -> DataFrame:
         df = spark.read.parquet(f"{path}/{name}")
-        return df.withColumn("file_ordinal", F.lit(ordinal).cast("long")) if name == "event" else df
+        if len(paths) == 1:
+            return df
+        fits = F.col(EV).between(0, FOLDER_STEP - 1)
+        moved = F.when(fits, F.col(EV) + ordinal * FOLDER_STEP).otherwise(
+            F.raise_error(F.lit(f"event ids of one folder have to lie below {FOLDER_STEP}")).cast("long"))
+        df = df.withColumn(EV, moved)
+        if name == "event":
+            file = F.col("file_ordinal") if "file_ordinal" in df.columns else F.lit(0)
+            df = df.withColumn("file_ordinal", (file + ordinal * (1 << FILE_BITS)).cast("long"))
+        return df
 
     found = {}
     for name in REQUIRED + OPTIONAL:
@@ -76,14 +91,22 @@ def collections_of(record: DataFrame) -> list[str]:
 
 def from_records(record: DataFrame, collections: list[str] | None = None) -> EventTables:
     """Long tables of nested records (one row per event, one array per field). ``collections`` keeps the named ones;
-    names that are not stored are ignored."""
+    names that are not stored are ignored.
+
+    Records are told apart by ``file_ordinal`` and ``entry``; without the latter, by the event number. Two records with
+    the same pair are an error."""
     check_columns(record, BRANCHES, "event record")
     if "entry" not in record.columns:
         record = record.withColumn("entry", F.col("event").cast("long"))
     if "file_ordinal" not in record.columns:
         record = record.withColumn("file_ordinal", F.lit(0).cast("long"))
-    record = record.withColumn(EV, F.col("event").cast("long"))
-    tables = {"event": record.select(EV, "file_ordinal", "entry")}
+    place = record.groupBy("file_ordinal", "entry").count().filter("count > 1").first()
+    if place:
+        raise ValueError(f"several records at file_ordinal {place[0]}, entry {place[1]}: give each its own entry")
+    fits = (F.col("entry").between(0, (1 << ENTRY_BITS) - 1) & F.col("file_ordinal").between(0, (1 << FILE_BITS) - 1))
+    record = record.withColumn(EV, F.when(fits, F.col("file_ordinal") * (1 << ENTRY_BITS) + F.col("entry")).otherwise(
+        F.raise_error(F.lit("file_ordinal or entry out of range")).cast("long")))
+    tables = {"event": record.select(EV, "file_ordinal", "entry", F.col("event").cast("long").alias("number"))}
     for group, fields in GROUPS.items():
         name = {"at": "atom"}.get(group, group)
         rows = record.select(EV, F.posexplode(F.arrays_zip(*[F.col(f"{group}_{f}").alias(f) for f in fields])))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from showerframe.operators.summary import metric_names
 from showerframe.params import Params
+from showerframe.schema import BIN_TAGS
 
 
 def read_settings(path: str) -> list[dict]:
@@ -41,12 +42,9 @@ def pivot(long_summary: DataFrame, settings: list[str]) -> DataFrame:
 
 
 def render(long_summary: DataFrame, names: list[str]) -> str:
-    """Console table without the metrics per energy bin, which only the result file holds."""
+    """Markdown table, one row per setting, without the metrics per energy bin, which only the result file holds."""
     table = to_dict(long_summary)
-    names = [n for n in names if n in table]
-    width = max([12] + [len(n) + 2 for n in names])
-    lines = [" " * 28 + "".join(f"{n:>{width}}" for n in names)]
-    for metric in metric_names():
-        if not metric.rpartition("_")[2].startswith("E") or metric.endswith("_EM"):
-            lines.append(f"{metric:28}" + "".join(f"{table[n][metric]:>{width}.4f}" for n in names))
-    return "\n".join(lines)
+    shown = [m for m in metric_names() if not any(m.endswith(tag) for tag in BIN_TAGS)]
+    cells = [["setting", *shown]] + [[n, *(f"{table[n][m]:.5g}" for m in shown)] for n in names if n in table]
+    rows = ["| " + " | ".join(r) + " |" for r in cells]
+    return "\n".join([rows[0], "|-" * len(cells[0]) + "|", *rows[1:]])

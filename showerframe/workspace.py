@@ -40,7 +40,9 @@ class Workspace:
             self._local_roots[app] = _root(spark)
         self.path = f"{(root or self._local_roots[app]).rstrip('/')}/showerframe-{uuid.uuid4().hex}"
         self._count = 0
-        self._paths: dict[int, str] = {}
+        if root is None:  # what nobody closes goes with the session
+            target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that scans the written table."""
@@ -48,7 +50,7 @@ class Workspace:
         path = f"{self.path}/{self._count:04d}-{name}"
         df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(saved)] = path
+        saved._written_at = path
         return saved
 
     def save_counting(self, df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, dict]:
@@ -65,13 +67,12 @@ class Workspace:
     def release(self, *tables: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
         for table in tables:
-            path = self._paths.pop(id(table), None)
-            if path:
+            path = getattr(table, "_written_at", None)
+            if path and path.startswith(self.path):
                 self._delete(path)
 
     def close(self) -> None:
         self._delete(self.path)
-        self._paths.clear()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm

@@ -1,18 +1,19 @@
-"""Nested records, stored samples, ntuple reader, settings files and the command line."""
+"""Nested records, stored samples, settings files and the command line."""
 import json
 import math
-import sys
 
 import pytest
-from conftest import Toys
+from conftest import Sample
 from pyspark.sql import functions as F
 
 from showerframe import Params
 from showerframe.cli import main
 from showerframe.operators.closure import collection_labels
-from showerframe.sources import files, ntuple, settings
+from showerframe.plans.score import Truth
+from showerframe.sources import files, settings
 
-TWO = [(0, 0, 2.0), (1, 0, 2.0), (2, 1, 1.0), (3, 1, 3.0)]
+REAL = {"E": "float", "x": "float", "y": "float", "z": "float", "mask": "float", "noTruthE": "float", "depE": "float", "frac": "double",
+        "mult": "double"}
 
 
 def record(event, extra=True):
@@ -38,10 +39,8 @@ def record(event, extra=True):
 
 
 def records(spark, rows):
-    schema = ntuple.record_schema(("a", "b"), True)
-    names = [n for n in schema.names if n in rows[0]]
-    schema = type(schema)([schema[n] for n in names])
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+    kind = {n: "bigint" if not isinstance(v, list) else f"array<{REAL.get(n.split('_')[-1], 'bigint')}>" for n, v in rows[0].items()}
+    return spark.createDataFrame([tuple(r[n] for n in kind) for r in rows], ", ".join(f"{n} {t}" for n, t in kind.items()))
 
 
 @pytest.fixture(scope="module")
@@ -95,11 +94,27 @@ def test_stored_samples_round_trip(spark, folder):
     t = files.read_tables(spark, folder)
     assert t.tra.count() == 8 and t.assign is not None
     both = files.read_tables(spark, folder, folder)
-    assert both.event.count() == 4 and both.event.filter("file_ordinal = 1").count() == 2
+    assert both.event.select("event_id").distinct().count() == both.event.count() == 4
+    assert both.event.select("file_ordinal").distinct().count() == 2
+    joined = both.tra.join(both.atom, ["event_id", "atom"])
+    assert joined.count() == 16 and joined.agg(F.sum("E")).first()[0] == 2 * t.tra.agg(F.sum("E")).first()[0]
     plan = t.trackster_lc.filter("collection = 'a'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(collection" in plan
 
 
+def test_equal_event_numbers_stay_apart(spark, folder, ws):
+    """Two samples with the same numbers score as the sum of both."""
+    one, two = (files.read_tables(spark, *[folder] * k) for k in (1, 2))
+    sums = [Truth(ws, t).score_collection("b").sums() for t in (one, two)]
+    a, b = ({(r["cls"], r["ebin"]): r.asDict() for r in s.collect()} for s in sums)
+    assert all(b[k][c] == pytest.approx(2 * v) for k, row in a.items() for c, v in row.items() if c not in ("cls", "ebin"))
+    rows = [{**record(7), "file_ordinal": k, "entry": 0} for k in (0, 1)]
+    t = files.from_records(records(spark, rows))
+    assert t.event.select("event_id").distinct().count() == 2 and [r[0] for r in t.event.select("number").collect()] == [7, 7]
+    with pytest.raises(ValueError, match="several records"):
+        files.from_records(records(spark, [record(7), record(7)]))
+
+
 def test_event_ranges_follow_file_order(spark, folder):
     t = files.read_tables(spark, folder)
     assert files.take_events(t) is t
@@ -108,57 +123,6 @@ def test_event_ranges_follow_file_order(spark, folder):
     assert [r[0] for r in later.event.select("event_id").collect()] == [12] and later.rh.count() == 4
 
 
-FAKE = '''
-import json, numpy
-class Tree:
-    def __init__(self, rows): self.rows = rows; self.num_entries = len(rows)
-    def keys(self): return list(self.rows[0])
-    def arrays(self, names, library, entry_start, entry_stop):
-        part = self.rows[entry_start:entry_stop]
-        out = {}
-        for n in names:
-            a = numpy.empty(len(part), dtype=object)
-            for i, r in enumerate(part): a[i] = numpy.asarray(r[n]) if isinstance(r[n], list) else r[n]
-            out[n] = a
-        return out
-def open(path):
-    with __builtins__["open"](path) as f: rows = json.load(f)
-    class File(dict):
-        def __missing__(self, tree): return Tree(rows)
-    return File()
-'''
-
-
-def test_ntuple_reader(spark, tmp_path):
-    """The reader against a stand-in for the optional package, which is not installed here."""
-    module = tmp_path / "uproot.py"
-    module.write_text(FAKE)
-    spark.sparkContext.addPyFile(str(module))
-    sys.path.insert(0, str(tmp_path))
-    try:
-        paths = []
-        for k in range(2):
-            path = tmp_path / f"n{k}.json"
-            path.write_text(json.dumps([record(10 * k + e) for e in range(3)]))
-            paths.append(str(path))
-        ntuple.register(spark)
-        df = (spark.read.format("ntuple").option("paths", ",".join(paths)).option("max_events", 2)
-              .option("entry_start", 1).option("entries_per_partition", 1).load())
-        assert df.rdd.getNumPartitions() == 4 and "ts_b_lc" in df.columns
-        t = files.from_records(df)
-        got = t.event.orderBy("file_ordinal", "entry").collect()
-        assert [tuple(r) for r in got] == [(1, 0, 1), (2, 0, 2), (11, 1, 1), (12, 1, 2)]
-        assert t.tra.agg(F.sum("E")).first()[0] == 32.0
-        one = spark.read.format("ntuple").option("paths", paths[0]).option("collections", "a").load()
-        assert files.collections_of(one) == ["a"]
-    finally:
-        sys.path.remove(str(tmp_path))
-        sys.modules.pop("uproot", None)
-    with pytest.raises(ValueError, match="missing"):
-        ntuple.check_branches({"event"}, "x")
-    assert ntuple.entry_ranges(10, 2, 5, 2) == [(2, 4), (4, 6), (6, 7)]
-
-
 def test_settings_files(tmp_path):
     path = tmp_path / "s.json"
     path.write_text(json.dumps([{"name": "a", "dc": 2.0, "sigmaT": [1, 2, 3]}, {}]))
@@ -180,20 +144,25 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert table["ideal_rh"]["eps_sig"] == 1 and table["near"]["events"] == 2 and len(table["near"]) == 46
     assert table["stored:b"]["noise_objects_per_event"] == 1 and math.isnan(table["near"]["K_pu"])
     text = capsys.readouterr().out
-    assert "K_EM" in text and "K_EM_E0-5" not in text
+    head = text.splitlines()[0].split(" | ")
+    assert "K_EM" in text and "K_EM_E0-5" not in text and len(text.splitlines()) == 6 and len(head) == 1 + 46 - 24
     main(["truth", folder, "--nev", "1"], spark)
-    assert "events                   1" in capsys.readouterr().out
+    assert json.loads(capsys.readouterr().out)["events"] == 1
     main(["closure", folder, "--collection", "b"], spark)
-    text = capsys.readouterr().out
-    assert text.startswith("raw {'n_lc': 8") and "final {" in text
+    raw, final = map(json.loads, capsys.readouterr().out.splitlines())
+    assert (raw["result"], raw["n_lc"], final["result"]) == ("raw", 8, "final:b")
+    main(["score", folder, "--collection", "absent", "-o", str(out)], spark)
+    assert json.loads(out.read_text())["stored:absent"]["K_sig"] == 1
+    with pytest.raises(SystemExit, match="several collections"):
+        main(["closure", folder], spark)
     with pytest.raises(SystemExit):
         main(["score", folder, "--level", "cells"], spark)
 
 
-def test_toy_tables_are_checked(spark, ws):
-    t = Toys()
-    t.add("a", 4, TWO)
-    tables = t.tables(spark, ws)
+def test_columns_of_tables_are_checked(spark, ws):
+    s = Sample()
+    s.event("any", {0: {0: 1.0}})
+    tables = s.tables(spark, ws)
     with pytest.raises(ValueError, match="tra: missing columns \\['E'\\]"):
         type(tables)(**{**tables.__dict__, "tra": tables.tra.drop("E")})
 
