@@ -411,6 +411,16 @@ def _select(columns: str, table: str, where: str = "") -> str:
     return f"SELECT {columns} FROM {table}" + (f" WHERE {where}" if where else "")
 
 
+def _metric_names() -> list[str]:
+    """Names of the 46 metrics."""
+    bins = ["E0-5", "E5-30", "E30-150", "E150-inf"]
+    per_class = ["K", "eps", "Phi", "K_floor", "lost_other", "lost_none"]
+    names = [f"{m}_{c}" for c in ("EM", "HAD") for m in per_class]
+    names += [f"{m}_{c}_{b}" for c in ("EM", "HAD") for b in bins for m in per_class[:3]]
+    counts = [f"{k}_per_event" for k in ("signal_objects", "pileup_objects", "noise_objects", "signal_targets")]
+    return names + ["K_sig", "eps_sig", "Phi_sig", "K_pu", "eps_pu", "events"] + counts
+
+
 def oracles() -> dict[str, str]:
     pts = "event_id, idx, E, x, y, z, layer, side, det, tag, active"
     sums = ", ".join(SUMS)
@@ -423,6 +433,12 @@ def oracles() -> dict[str, str]:
         "event_counts": """SELECT event_id, what, count(*) AS n FROM (SELECT event_id, 'lc' AS what FROM q_lc0
           UNION ALL SELECT event_id, 'rh' FROM q_rh0 UNION ALL SELECT event_id, 'unit' FROM q_un
           UNION ALL SELECT event_id, collection FROM (SELECT DISTINCT event_id, collection, ts FROM q_ts)) GROUP BY ALL""",
+        "event_union": """SELECT t.event_id + k * 17592186044416 AS event_id, t.event_id // 10 + k * 4096 AS file_ordinal,
+          count(*) AS n, sum(t.E) AS E FROM q_tra t JOIN q_atom a ON a.event_id = t.event_id AND a.atom = t.atom,
+          range(2) r(k) GROUP BY t.event_id, k""",
+        "absent_collection": f"""SELECT metric, CASE WHEN metric = 'K_sig' THEN 1.0 WHEN metric LIKE '%per_event' OR metric IN
+          ('eps_sig', 'Phi_sig', 'events') THEN 0.0 ELSE 'NaN'::DOUBLE END::DOUBLE AS value
+          FROM unnest({_metric_names()}) m(metric) WHERE (SELECT count(*) FROM q_event) > 0""",
         "trackster_offsets": """SELECT event_id, collection, ts, n_lc, (coalesce(sum(n_lc) OVER (PARTITION BY event_id, collection
           ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset"
           FROM (SELECT event_id, collection, ts, count(lc) AS n_lc FROM q_ts GROUP BY ALL)""",

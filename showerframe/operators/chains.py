@@ -18,16 +18,19 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     A state row holds the node reached after 2**k steps and the smallest node among those steps. ``mark`` is the
     smallest node on the next 2**k steps; once it is equal at both ends of every edge it names the component, cycles
     of any length included."""
-    state = edges.select("event_id", "obj", "next", F.col("next").alias("ptr"), F.col("obj").alias("low"))
-    previous = None
-    while True:
+    def doubled(state: DataFrame) -> DataFrame:
         ahead = state.select("event_id", F.col("obj").alias("ptr"), F.col("ptr").alias("ptr2"),
                              F.col("low").alias("low2"))
         mark = F.coalesce("low2", "ptr")
-        step = (state.join(ahead, ["event_id", "ptr"], "left")
+        return (state.join(ahead, ["event_id", "ptr"], "left")
                 .select("event_id", "obj", "next", F.coalesce("ptr2", "ptr").alias("ptr"),
                         F.least("low", mark).alias("low"), mark.alias("mark")))
-        step = ws.save(step, "components")
+
+    state = edges.select("event_id", "obj", "next", F.col("next").alias("ptr"), F.col("obj").alias("low"))
+    previous = None
+    while True:
+        # two doublings a round: most chains of merging objects are shorter than four
+        step = ws.save(doubled(doubled(state)), "components")
         other = step.select("event_id", F.col("obj").alias("next"), F.col("mark").alias("mark2"))
         open_edges = (step.join(other, ["event_id", "next"], "left")
                       .filter(F.col("mark") != F.coalesce("mark2", "next")))

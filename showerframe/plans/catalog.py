@@ -164,6 +164,17 @@ def event_counts(c):
     return reduce(DataFrame.unionByName, parts).groupBy(EV, "what").agg(F.count("*").alias("n"))
 
 
+@query
+def event_union(c):
+    """One stored sample read twice as two: equal ids stay apart, and every deposit meets the atoms of its own event."""
+    folder = f"{c.ws.path}/stored"
+    files.write_tables(c.tables, folder)
+    both = files.read_tables(c.spark, folder, folder)
+    met = both.tra.join(both.atom.select(EV, "atom", "unit"), [EV, "atom"])
+    return met.groupBy(EV).agg(F.count("*").alias("n"), F.sum("E").alias("E")).join(both.event, EV).select(
+        EV, "file_ordinal", "n", "E")
+
+
 @query
 def trackster_offsets(c):
     return files.offsets(c.tables.trackster_lc)
@@ -590,6 +601,13 @@ def closure_final(c):
     return closure_plan.run(c.ws, c.stored, collection=derived.WIDE).final
 
 
+@query
+def absent_collection(c):
+    """All metrics of a collection that no event stores."""
+    scored = Truth(c.ws, c.stored, built=c.merged).score_collection("absent")
+    return summary.summary(scored.sums())
+
+
 @query
 def score_settings(c):
     """Two settings, both ideal references and the stored collection against merged targets."""

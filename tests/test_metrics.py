@@ -210,7 +210,7 @@ def test_extreme_clusterings_of_a_whole_sample(derived_truth, ws):
     got = {n: summary.wide(derived_truth.score_labels(ws.save(df, "labels"), lv).sums()).first() for n, (df, lv) in runs.items()}
     assert got["ideal_rh"]["Phi_sig"] == 0 and got["ideal_lc"]["Phi_sig"] == 0 and got["ideal_rh"]["eps_sig"] > 0.5
     assert got["cells"]["Phi_sig"] > 0.05 and got["cells"]["K_sig"] <= got["sides"]["K_sig"]
-    assert got["sides"]["K_sig"] > 0.8
+    assert got["sides"]["K_sig"] > 2 * got["ideal_rh"]["K_sig"], got["sides"]["K_sig"]
 
 
 def test_samples_count_alike(spark):
