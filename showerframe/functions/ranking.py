@@ -16,8 +16,10 @@ def totals_before(rows: DataFrame, by: list[str], column: str, value: str, out:
 
     A plain window over ``by`` would sort a whole group in one task. The non-negative ``column`` is read as digits of
     ``bits`` bits instead: values are summed per prefix, and every window covers the children of one prefix, at most
-    2**bits rows. ``rows`` must hold each (by, column) once."""
-    prefixes = {f"_p{shift}": F.shiftrightunsigned(F.col(column), shift) for shift in range(bits, 63, bits)}
+    2**bits rows. ``rows`` must hold each (by, column) once; a negative or null ``column`` is an error."""
+    digits = F.when(F.col(column) >= 0, F.col(column).cast("long")).otherwise(
+        F.raise_error(F.lit(f"{column} must not be negative")).cast("long"))
+    prefixes = {f"_p{shift}": F.shiftrightunsigned(digits, shift) for shift in range(bits, 63, bits)}
     names = list(prefixes)
     keyed = rows.withColumns(prefixes)
 

@@ -230,6 +230,8 @@ def test_ordinals_rank_within_groups(spark):
     got = {(r["event_id"], r["v"]): r["n"] for r in
            ordinals(spark.createDataFrame(rows, "event_id long, v long"), ["event_id"], "v", "n").collect()}
     assert got == {**{r: i for i, r in enumerate(rows[:8])}, (2, 9): 0, (2, 2**30): 1}
+    with pytest.raises(Exception, match="negative"):
+        ordinals(spark.createDataFrame([(1, -3)], "event_id long, v long"), ["event_id"], "v", "n").collect()
 
 
 def test_renumbered_objects_are_dense(spark):
