@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from showerframe.llm.common import BLANK, Slice, byte_symbols, mix64, prefix_hash, ranges_hash, slices, table
 
 BITS = 14
+SLICE = 1_000_000  # bytes of text scored together
 BUCKETS = 1 << BITS
 #: Labelled rows that are learnt from, about; chosen by a hash of the id. A fifth of them calibrates.
 TRAIN_ROWS = 6_000
@@ -105,7 +106,7 @@ def features(piece: Slice, words) -> list[tuple[np.ndarray, np.ndarray]]:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, apart, text) to (label, apart, buckets, values): the sparse vector of each text."""
     for batch in batches:
-        for piece in slices(batch.column("text")):
+        for piece in slices(batch.column("text"), SLICE):
             parts = features(piece, piece.words())
             buckets, values = [], []
             for i in range(len(piece)):
@@ -164,9 +165,12 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, apart: np.nda
 
 def _fit_group(group: pa.Table) -> pa.Table:
     order = np.lexsort((group.column("size").to_numpy(), group.column("hash").to_numpy()))
-    group = group.take(pa.array(order))
-    x = [(np.array(a, np.int64), np.sqrt(np.array(v, np.float64)))
-         for a, v in zip(group.column("buckets").to_pylist(), group.column("values").to_pylist())]
+    buckets, values = (group.column(c).combine_chunks() for c in ("buckets", "values"))
+    first, length = buckets.offsets.to_numpy(), np.diff(buckets.offsets.to_numpy())
+    flat, share = buckets.values.to_numpy(), np.sqrt(values.values.to_numpy())
+    # views of the arrays that came, not lists of numbers
+    x = [(flat[first[k]:first[k] + length[k]], share[first[k]:first[k] + length[k]]) for k in order]
+    group = group.select(["label", "apart"]).take(pa.array(order))
     weights = fit(x, group.column("label").to_numpy().astype(float), group.column("apart").to_numpy())
     return pa.table({"weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
@@ -229,7 +233,7 @@ def judge(docs: DataFrame, weights: np.ndarray, *, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch.column("text")):
+            for piece in slices(batch.column("text"), SLICE):
                 out = judged(piece, shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(piece.first, len(piece)), *(pa.array(out[c]) for c in names[1:])], names)
@@ -244,7 +248,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, *, text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [judged(piece, shared.value)["kept"] for piece in slices(batch.column(text))]
+            kept = [judged(piece, shared.value)["kept"] for piece in slices(batch.column(text), SLICE)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
