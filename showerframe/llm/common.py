@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from showerframe.workspace import Workspace
 
 #: Bytes of text that one slice holds, unless a single text is longer.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: White space of the word rule: blank, and the control characters from tab to carriage return.
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
