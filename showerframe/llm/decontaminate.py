@@ -2,9 +2,9 @@
 
 Texts and benchmark items become sequences of tokens (runs of letters and digits, lower case) in which numbers, names and
 units of measure are replaced by typed placeholders. A document is contaminated by an item if a window of ``WIDTH`` tokens of
-its template equals one of the item's and the placeholders agree: over all windows the document shares with the item at one
-alignment, each value of the item stands for one value of the document and the other way round. So re-worded numbers and
-names do not hide a question, and sentences that merely have the same shape, with values in other places, are left alone.
+its template equals one of the item's and the placeholders agree: within the window each value of the item stands for one
+value of the document and the other way round. So re-worded numbers and names do not hide a question, and a window that
+merely has the same shape, with values in other places, does not count; nor does it speak against the item's other windows.
 
 The benchmark is the query set: its windows come in blocks of ``BLOCK``, each broadcast as sorted hashes and joined with all
 windows of all documents inside the scan, so no window of a document is ever shuffled. Its size per block is fixed."""
@@ -154,11 +154,8 @@ def hits(t: Template, index: Index, n_texts: int) -> list[dict[int, int]]:
                     shared.setdefault((d, int(index.item[k]), a - int(index.at[k])), []).append(a)
         for (d, item, shift), places in shared.items():
             values, slots = index.values[item]
-            covered = sorted({p for a in places for p in range(a, a + width)})
-            pairs = [(int(values[p - shift]), int(t.value[p])) for p in covered if slots[p - shift]]
-            good = len(places)
-            if not _agree(pairs):  # what is left are windows without values
-                good = sum(not any(slots[p - shift] for p in range(a, a + width)) for a in places)
+            good = sum(_agree([(int(values[p - shift]), int(t.value[p])) for p in range(a, a + width) if slots[p - shift]])
+                       for a in places)
             if good:
                 out[d][item] = out[d].get(item, 0) + good
     return out

@@ -85,6 +85,16 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(empty, items).count() == 0
 
 
+def test_one_edited_value_hides_no_other_window(spark):
+    docs = [(1, ITEMS[0][1].replace("from Berlin", "from Paris")), (2, ITEMS[0][1].replace("from Berlin", "from Paris").replace("120", "95")),
+            (3, "A train leaves Rome at 8 hours and covers 8 km before it meets Rome, who walks from Rome to Rome at dawn.")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(frame, items).collect()}
+    assert {k for k, r in got.items() if r.contaminated} == {1, 2} and got[1].n_windows >= 6
+    assert {r.doc_id for r in decontaminate.remove_contaminated(frame, items).collect()} == {3}
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     once = by_row(tuple(r) for r in decontaminate.contaminated(documents, items).collect())
