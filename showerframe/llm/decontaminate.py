@@ -6,6 +6,11 @@ its template equals one of the item's and the placeholders agree: within the win
 value of the document and the other way round. So re-worded numbers and names do not hide a question, and a window that
 merely has the same shape, with values in other places, does not count; nor does it speak against the item's other windows.
 
+What is a name cannot be told from one token, so each window is looked for in four forms (``Template.forms``): its literal
+tokens; numbers and units replaced; also capitalised words inside a sentence; also those that open one. Only the third
+depends on what stands before a token. A capitalised word that opens a sentence may stand for another one if it agrees like
+any value and neither is one of ``OPENERS``, words that commonly open sentences and are no names.
+
 The benchmark is the query set: its windows come in blocks of ``BLOCK``, each broadcast as sorted hashes and joined with all
 windows of all documents inside the scan, so no window of a document is ever shuffled. Its size per block is fixed."""
 from __future__ import annotations
@@ -31,6 +36,10 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb lbs oz t ml l gal s sec secs second
          "hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent pct "
          "meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds liter liters "
          "litre litres inch inches foot feet kb mb gb tb hz khz mhz w kw v a c f k").split()
+OPENERS = ("the a an this that these those it he she they we you i in on at of for from to by with as and or but if when while where "
+           "what which who whom whose why how there here is are was were does do did has have had can could should would my his her "
+           "its our your their not no so then each every some any all both after before since because although during under let "
+           "find given suppose calculate determine many much one two").split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F))
 
 _CLASS = np.zeros(256, np.uint8)            # 1 letter, 2 digit
@@ -39,6 +48,16 @@ _CLASS[[*range(65, 91), *range(97, 123)]] = 1
 _CLASS[48:58] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_SMALL = np.arange(1 << 16, dtype=np.uint16)  # two-byte characters to their small letters
+
+
+def _fill_small():
+    for c in range(0x80, 0x800):
+        if len(chr(c).lower()) == 1 and len(chr(c).lower().encode()) == 2:
+            _SMALL[int.from_bytes(chr(c).encode(), "big")] = int.from_bytes(chr(c).lower().encode(), "big")
+
+
+_fill_small()
 _STOP = np.zeros(256, bool)                 # behind these a capital letter is no name
 _STOP[[ord(c) for c in ".!?:\n\"(|"]] = True
 _ODD = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -51,13 +70,25 @@ def _hash_words(words: list[str]) -> np.ndarray:
 
 
 _UNITS = _hash_words(UNITS)
+_OPENERS = frozenset(_hash_words(OPENERS).tolist())
+
+
+def _lower(data: np.ndarray) -> np.ndarray:
+    """Small letters for A-Z and all two-byte characters of UTF-8."""
+    out = _LOWER[data]
+    at = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xDF))
+    if len(at):
+        pair = _SMALL[(data[at].astype(np.uint16) << np.uint16(8)) | data[at + 1]]
+        out[at], out[at + 1] = pair >> np.uint16(8), pair & np.uint16(255)
+    return out
 
 
 @dataclass
 class Template:
-    """Tokens of a slice: what stands in the template, the value itself, whether it is a placeholder, first token of each text."""
-    code: np.ndarray
+    """Tokens of a slice: the value itself; what stands in the template in each form, the values first; whether it may be a
+    placeholder (1 number or unit, 2 name inside a sentence, 3 capitalised word that opens one); first token of each text."""
     value: np.ndarray
+    forms: tuple[np.ndarray, ...]
     slot: np.ndarray
     first: np.ndarray
 
@@ -80,14 +111,15 @@ def template(piece: Slice) -> Template:
     after = np.r_[inside[1:], False] if n else inside
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    value = ranges_hash(prefix_hash(byte_symbols(_LOWER[data])), start, end)
+    value = ranges_hash(prefix_hash(byte_symbols(_lower(data))), start, end)
     first = np.searchsorted(start, piece.offsets)
     opens = np.zeros(len(start), bool)
     opens[first[:-1][first[:-1] < len(start)]] = True
     stops = np.zeros(n + 1, np.int64)
     np.cumsum(_STOP[data], out=stops[1:])
     previous_end = np.r_[0, end[:-1]] if len(end) else end
-    fresh = opens | (stops[start] > stops[previous_end])
+    stopped = stops[start] > stops[previous_end]
+    fresh = opens | stopped
     head = data[start] if len(start) else data[:0]
     second = data[np.minimum(start + 1, max(n - 1, 0))] if len(start) else data[:0]
     small = ((second >= 97) & (second <= 122)) | (second >= 0x80)
@@ -97,22 +129,34 @@ def template(piece: Slice) -> Template:
     behind = np.r_[False, number[:-1]] & ~opens if len(start) else number
     unit = behind & (_UNITS[np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)] == value)
     name = capital & ~fresh
-    code = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    return Template(code, value, number | unit | name, first)
+    measured = np.where(number, NUMBER, np.where(unit & ~stopped, UNIT, value))
+    inside_sentence = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
+    anywhere = np.where(capital & (measured == value), NAME, measured)
+    slot = np.where(number | unit, 1, np.where(name, 2, np.where(capital, 3, 0))).astype(np.uint8)
+    return Template(value, (value, measured, inside_sentence, anywhere), slot, first)
 
 
 def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of every window of ``width`` tokens that lies in one text and has enough plain tokens."""
-    n = len(t.code)
+    """First token and hash of every window of ``width`` tokens that lies in one text and has enough plain tokens, in each form
+    in which it differs from the forms before."""
+    n = len(t.value)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value = np.zeros(n - width + 1, np.uint64)
-    for k in range(width):
-        value += t.code[k:n - width + 1 + k] * _ODD[k]
-    plain = np.r_[0, np.cumsum(~t.slot)]
     text_end = np.repeat(t.first[1:], np.diff(t.first))[:n - width + 1]
-    at = np.flatnonzero((np.arange(n - width + 1) + width <= text_end) & (plain[width:] - plain[:-width] >= PLAIN))
-    return at, mix64(value[at] + np.uint64(width))
+    inside = np.arange(n - width + 1) + width <= text_end
+    at, codes, earlier = [], [], []
+    for form in t.forms:
+        value = np.zeros(n - width + 1, np.uint64)
+        for k in range(width):
+            value += form[k:n - width + 1 + k] * _ODD[k]
+        plain = np.r_[0, np.cumsum(t.slot == 0 if form is t.value else form == t.value)]
+        good = inside & (plain[width:] - plain[:-width] >= PLAIN)
+        for other in earlier:
+            good &= value != other
+        earlier.append(value)
+        at.append(np.flatnonzero(good))
+        codes.append(mix64(value[at[-1]] + np.uint64(width)))
+    return np.concatenate(at), np.concatenate(codes)
 
 
 @dataclass
@@ -127,14 +171,24 @@ class Index:
     def __post_init__(self):
         order = np.argsort(self.code, kind="stable")
         self.width, self.code, self.item, self.at = (x[order] for x in (self.width, self.code, self.item, self.at))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.code & np.uint64((1 << 20) - 1)] = True
+        self.mask = np.uint64((1 << max(20, (8 * len(self.code)).bit_length())) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[self.code & self.mask] = True
 
 
-def _agree(pairs: list[tuple[int, int]]) -> bool:
-    """Whether the pairs are a one-to-one assignment."""
+def _agree(values: np.ndarray, slots: np.ndarray, own: np.ndarray, own_slots: np.ndarray) -> bool:
+    """Whether the placeholders of an item's window and a document's are a one-to-one assignment."""
+    if np.array_equal(values, own):
+        return True
     forth, back = {}, {}
-    return all(forth.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
+    for a, s, b, r in zip(values.tolist(), slots.tolist(), own.tolist(), own_slots.tolist()):
+        if not s:
+            continue
+        if a != b and 3 in (s, r) and (a in _OPENERS or b in _OPENERS):
+            return False
+        if forth.setdefault(a, b) != b or back.setdefault(b, a) != a:
+            return False
+    return True
 
 
 def hits(t: Template, index: Index, n_texts: int) -> list[dict[int, int]]:
@@ -142,20 +196,20 @@ def hits(t: Template, index: Index, n_texts: int) -> list[dict[int, int]]:
     out: list[dict[int, int]] = [{} for _ in range(n_texts)]
     for width in np.unique(index.width).tolist():
         at, code = windows(t, width)
-        maybe = index.bits[code & np.uint64((1 << 20) - 1)]
+        maybe = index.bits[code & index.mask]
         at, code = at[maybe], code[maybe]
         low, high = np.searchsorted(index.code, code, "left"), np.searchsorted(index.code, code, "right")
         found = high > low
         text = np.searchsorted(t.first, at[found], "right") - 1
-        shared: dict[tuple[int, int, int], list[int]] = {}
+        shared: dict[tuple[int, int, int], set[int]] = {}
         for d, a, l, h in zip(text.tolist(), at[found].tolist(), low[found].tolist(), high[found].tolist()):
             for k in range(l, h):
                 if index.width[k] == width:
-                    shared.setdefault((d, int(index.item[k]), a - int(index.at[k])), []).append(a)
+                    shared.setdefault((d, int(index.item[k]), a - int(index.at[k])), set()).add(a)
         for (d, item, shift), places in shared.items():
             values, slots = index.values[item]
-            good = sum(_agree([(int(values[p - shift]), int(t.value[p])) for p in range(a, a + width) if slots[p - shift]])
-                       for a in places)
+            good = sum(_agree(values[a - shift:a - shift + width], slots[a - shift:a - shift + width],
+                              t.value[a:a + width], t.slot[a:a + width]) for a in places)
             if good:
                 out[d][item] = out[d].get(item, 0) + good
     return out
@@ -171,7 +225,7 @@ def benchmark_blocks(items: DataFrame, *, key: str = "item_id", text: str = "tex
     for row in items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).dropna().toLocalIterator():
         data = row.t.encode()
         t = template(Slice(0, np.frombuffer(data, np.uint8), np.array([0, len(data)])))
-        n = len(t.code)
+        n = len(t.value)
         if n < SHORTEST:
             continue
         width = min(WIDTH, n)

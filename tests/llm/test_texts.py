@@ -95,6 +95,22 @@ def test_one_edited_value_hides_no_other_window(spark):
     assert {r.doc_id for r in decontaminate.remove_contaminated(frame, items).collect()} == {3}
 
 
+def test_surroundings_and_case_hide_nothing(spark):
+    items = [(1, "What is the largest lake between the two mountain towns"), (2, "Tom has 3 apples. Tom buys 5 more from his neighbour and eats 2."),
+             (3, "Every winter the old Baker Émile sells 12 loaves to Rosa before 9 and gives the rest of them to Paul."),
+             (4, "A farmer counts 7 sheep and 9 goats near the river")]
+    docs = [(1, "see What is the largest lake between the two mountain towns"), (2, "Ann has 4 apples. Ann buys 6 more from his neighbour and eats 1."),
+            (3, items[2][1].lower()), (4, items[2][1].upper().replace(".", "").replace(",", "")),
+            (5, items[2][1].replace(" ", "\n")), (6, items[2][1].lower().replace("12", "15")), (7, "1. " + items[3][1].replace("7", "8")),
+            (8, "Ann has 4 apples. Bob buys 4 more from his neighbour and eats 1."),
+            (9, "Where is the largest lake between the two mountain towns")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.first_item for r in decontaminate.contaminated(frame, bench).collect() if r.contaminated}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3, 7: 4}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(frame, bench).collect()} == {8, 9}
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     once = by_row(tuple(r) for r in decontaminate.contaminated(documents, items).collect())
