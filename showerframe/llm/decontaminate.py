@@ -27,7 +27,7 @@ from showerframe.llm.common import Slice, byte_symbols, mix64, prefix_hash, rang
 
 #: Tokens of a window; an item with fewer is one window as a whole, if it has at least SHORTEST.
 WIDTH, SHORTEST = 13, 6
-#: Tokens of a window that must not be placeholders.
+#: Tokens of a window with placeholders that must be none; literal windows match whatever they are made of.
 PLAIN = 5
 #: Windows of the benchmark that one pass over the documents looks for.
 BLOCK = 500_000
@@ -137,8 +137,8 @@ def template(piece: Slice) -> Template:
 
 
 def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of every window of ``width`` tokens that lies in one text and has enough plain tokens, in each form
-    in which it differs from the forms before."""
+    """First token and hash of every window of ``width`` tokens that lies in one text, literal and in each form in which it
+    differs from the forms before and has enough plain tokens."""
     n = len(t.value)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -149,8 +149,8 @@ def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
         value = np.zeros(n - width + 1, np.uint64)
         for k in range(width):
             value += form[k:n - width + 1 + k] * _ODD[k]
-        plain = np.r_[0, np.cumsum(t.slot == 0 if form is t.value else form == t.value)]
-        good = inside & (plain[width:] - plain[:-width] >= PLAIN)
+        plain = np.r_[0, np.cumsum(form == t.value)]
+        good = inside & ((plain[width:] - plain[:-width] >= PLAIN) | (form is t.value))
         for other in earlier:
             good &= value != other
         earlier.append(value)
@@ -256,8 +256,8 @@ def _marked(index, drop: bool, text: str):
 def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, contaminated, n_items, n_windows, first_item, kept) for every row of ``docs``.
 
-    Null or empty texts and items match nothing, nor do items of fewer than ``SHORTEST`` tokens or windows with fewer than
-    ``PLAIN`` plain tokens. Null keys are carried, repeated rows judged one by one; an empty benchmark contaminates nothing;
+    Null or empty texts and items match nothing, nor do items of fewer than ``SHORTEST`` tokens; windows with fewer than
+    ``PLAIN`` plain tokens match literally only. Null keys are carried, repeated rows judged one by one; an empty benchmark contaminates nothing;
     other columns are not read; texts are read whole."""
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(index) for index in benchmark_blocks(items)]

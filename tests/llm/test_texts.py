@@ -111,6 +111,18 @@ def test_surroundings_and_case_hide_nothing(spark):
     assert {r.doc_id for r in decontaminate.remove_contaminated(frame, bench).collect()} == {8, 9}
 
 
+def test_literal_windows_of_numbers_and_names(spark):
+    items = [(1, "12 + 35 = 47, 8 + 9 = 17, 60 - 4 = 56, 7 x 7 = 49, 81 / 9 = 9"), (2, "Ann, Bob, Carla, Dieter, Emil, Fritz and Gustav"),
+             (3, "5 kg 3 g 2 mg")]
+    docs = [(k, f"see: {t} (end)") for k, t in items] + [(4, items[0][1].replace("7", "6")), (5, "Ina, Jan, Carla, Kurt, Lea, Max and Nora"),
+                                                         (6, "6 kg 4 g 3 mg")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.first_item for r in decontaminate.contaminated(frame, bench).collect() if r.contaminated}
+    assert got == {1: 1, 2: 2, 3: 3}
+    assert {r.doc_id for r in decontaminate.remove_contaminated(frame, bench).collect()} == {4, 5, 6}
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     once = by_row(tuple(r) for r in decontaminate.contaminated(documents, items).collect())
