@@ -11,12 +11,14 @@ tokens; numbers and units replaced; also capitalised words inside a sentence; al
 depends on what stands before a token. A capitalised word that opens a sentence may stand for another one if it agrees like
 any value and neither is one of ``OPENERS``, words that commonly open sentences and are no names.
 
-The benchmark is the query set: its windows come in blocks of ``BLOCK``, each broadcast as sorted hashes and joined with all
-windows of all documents inside the scan, so no window of a document is ever shuffled. Its size per block is fixed."""
+The benchmark is the query set: its rows are numbered, tasks find their windows, and these come in blocks of about ``BLOCK``,
+each broadcast as sorted hashes and joined with all windows of all documents inside the scan, so no window of a document is
+ever shuffled. One block at a time passes through the driver."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -161,12 +163,16 @@ def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Some windows of the benchmark, sorted by hash: item, position in it, width; and the items' values and placeholders."""
+    """Some windows of the benchmark, sorted by hash: item, position in it, width; and the items' ids, values and placeholders,
+    those of item i from ``first[i]`` on."""
     width: np.ndarray
     code: np.ndarray
     item: np.ndarray
     at: np.ndarray
-    values: dict[int, tuple[np.ndarray, np.ndarray]]
+    ids: list[int | None]
+    value: np.ndarray
+    slot: np.ndarray
+    first: np.ndarray
 
     def __post_init__(self):
         order = np.argsort(self.code, kind="stable")
@@ -207,85 +213,149 @@ def hits(t: Template, index: Index, n_texts: int) -> list[dict[int, int]]:
                 if index.width[k] == width:
                     shared.setdefault((d, int(index.item[k]), a - int(index.at[k])), set()).add(a)
         for (d, item, shift), places in shared.items():
-            values, slots = index.values[item]
-            good = sum(_agree(values[a - shift:a - shift + width], slots[a - shift:a - shift + width],
+            base = int(index.first[item]) - shift
+            good = sum(_agree(index.value[base + a:base + a + width], index.slot[base + a:base + a + width],
                               t.value[a:a + width], t.slot[a:a + width]) for a in places)
             if good:
                 out[d][item] = out[d].get(item, 0) + good
     return out
 
 
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(no, id, text) to one row for every item that is long enough: its tokens and windows as arrays of bytes."""
+    for batch in batches:
+        rows = []
+        for piece in slices(batch.column("text")):
+            t = template(piece)
+            for i in range(len(piece)):
+                low, high = int(t.first[i]), int(t.first[i + 1])
+                if high - low < SHORTEST:
+                    continue
+                value = t.value[low:high]
+                own = Template(value, (value, *(f[low:high] for f in t.forms[1:])), t.slot[low:high], np.array([0, high - low]))
+                width = min(WIDTH, high - low)
+                at, code = windows(own, width)
+                k = piece.first + i
+                rows.append((batch.column("no")[k].as_py(), batch.column("id")[k].as_py(), width, len(at), own.value.tobytes(),
+                             own.slot.tobytes(), at.astype(np.int64).tobytes(), code.tobytes()))
+        columns = list(zip(*rows)) or [()] * 8
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types)],
+                                         ["no", "id", "width", "n", "value", "slot", "at", "code"])
+
+
 def benchmark_blocks(items: DataFrame, *, key: str = "item_id", text: str = "text", block: int = BLOCK) -> Iterator[Index]:
-    """The windows of the benchmark in blocks. The items pass through the driver one partition after another."""
-    def built(parts: list[tuple]) -> Index:
-        values = {item: (v, s) for item, v, s, *_ in parts}
-        return Index(*(np.concatenate([p[k] for p in parts]) for k in (3, 4, 5, 6)), values)
-
-    parts, size = [], 0
-    for row in items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).dropna().toLocalIterator():
-        data = row.t.encode()
-        t = template(Slice(0, np.frombuffer(data, np.uint8), np.array([0, len(data)])))
-        n = len(t.value)
-        if n < SHORTEST:
-            continue
-        width = min(WIDTH, n)
-        at, code = windows(t, width)
-        parts.append((row.k, t.value, t.slot, np.full(len(at), width), code, np.full(len(at), row.k), at))
-        size += len(at)
+    """The windows of the benchmark in blocks. Every row is an item of its own, whatever its id, null or shared."""
+    ws = scratch(items.sparkSession)
+    # written, since row numbers of a second reading need not be the same
+    rows = ws.save(items.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+                   .withColumn("no", F.monotonically_increasing_id()), "items")
+    found = ws.save(rows.select("no", "id", "text").mapInArrow(
+        _item_windows, "no long, id long, width long, n long, value binary, slot binary, at binary, code binary"), "windows")
+
+    def built(low: int, high: int) -> Index:
+        part = found.filter(F.col("no").between(low, high)).toArrow().sort_by("no")
+        n = part.column("n").to_numpy()
+        joined = lambda c, kind: np.frombuffer(b"".join(part.column(c).to_pylist()), kind)
+        slot = part.column("slot").to_pylist()
+        return Index(np.repeat(part.column("width").to_numpy(), n), joined("code", np.uint64), np.repeat(np.arange(len(n)), n),
+                     joined("at", np.int64), part.column("id").to_pylist(), joined("value", np.uint64),
+                     np.frombuffer(b"".join(slot), np.uint8), np.cumsum([0, *(len(x) for x in slot)]))
+
+    low, size = None, 0
+    for row in found.select("no", "n").orderBy("no").toLocalIterator():
+        low = row.no if low is None else low
+        size += row.n
         if size >= block:
-            yield built(parts)
-            parts, size = [], 0
-    if size:
-        yield built(parts)
+            yield built(low, row.no)
+            low, size = None, 0
+    if low is not None:
+        yield built(low, row.no)
 
 
-def _marked(index, drop: bool, text: str):
+def _marked(index):
+    """(key, row, text) to (key, row, n_items, n_windows, first_item)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = index.value.ids
         for batch in batches:
-            found = [h for piece in slices(batch.column(text)) for h in hits(template(piece), index.value, len(piece))]
-            if drop:
-                yield batch.filter(pa.array([not h for h in found], pa.bool_()))
-                continue
+            found = [h for piece in slices(batch.column("text")) for h in hits(template(piece), index.value, len(piece))]
+            first = [min((ids[i] for i in h if ids[i] is not None), default=None) for h in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("row"), pa.array([len(h) for h in found], pa.int64()),
-                 pa.array([sum(h.values()) for h in found], pa.int64()), pa.array([min(h, default=None) for h in found], pa.int64())],
+                 pa.array([sum(h.values()) for h in found], pa.int64()), pa.array(first, pa.int64())],
                 ["key", "row", "n_items", "n_windows", "first_item"])
     return run
 
 
+def _clean(index, text: str):
+    """Batches without the rows that an item contaminates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [h for piece in slices(batch.column(text)) for h in hits(template(piece), index.value, len(piece))]
+            yield batch.filter(pa.array([not h for h in found], pa.bool_()))
+    return run
+
+
+_FOUND = "key long, row long, n_items long, n_windows long, first_item long"
+
+
+def _contaminated_rows(ws, source: DataFrame, blocks: Iterable[Index]) -> DataFrame | None:
+    """What ``_marked`` finds in (key, row, text), rows without a hit left out: written block by block, so that only one block
+    is held at a time."""
+    out = None
+    for index in blocks:
+        shared = source.sparkSession.sparkContext.broadcast(index)
+        part = ws.save(source.mapInArrow(_marked(shared), _FOUND).filter("n_items > 0"), "found")
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _one_or_many(items: DataFrame) -> tuple[Index | None, Iterator[Index] | None]:
+    """The only block of a benchmark, or all of them if there are several."""
+    blocks = benchmark_blocks(items)
+    first, second = next(blocks, None), next(blocks, None)
+    return (first, None) if second is None else (None, chain([first, second], blocks))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, contaminated, n_items, n_windows, first_item, kept) for every row of ``docs``.
 
     Null or empty texts and items match nothing, nor do items of fewer than ``SHORTEST`` tokens; windows with fewer than
-    ``PLAIN`` plain tokens match literally only. Null keys are carried, repeated rows judged one by one; an empty benchmark contaminates nothing;
-    other columns are not read; texts are read whole."""
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(index) for index in benchmark_blocks(items)]
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    if len(blocks) > 1:  # written, since row numbers of a second reading need not be the same
-        source = scratch(docs.sparkSession).save(source.withColumn("row", F.monotonically_increasing_id()), "source")
+    ``PLAIN`` plain tokens match literally only. Rows of the benchmark count one by one; ``first_item`` is the smallest id among
+    them, null if none has one. Null keys are carried, repeated rows judged one by one; an empty benchmark contaminates
+    nothing; other columns are not read; texts are read whole."""
+    spark = docs.sparkSession
+    source = docs.select(F.col(key).cast("long").alias("key"), F.lit(0).cast("long").alias("row"), F.col(text).alias("text"))
+    nothing = [F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("n_windows"), F.lit(None).cast("long").alias("first_item")]
+    only, blocks = _one_or_many(items)
+    if only is not None:
+        out = source.mapInArrow(_marked(spark.sparkContext.broadcast(only)), _FOUND)
+    elif blocks is None:
+        out = source.select("key", "row", *nothing)
     else:
-        source = source.withColumn("row", F.lit(0).cast("long"))
-    schema = "key long, row long, n_items long, n_windows long, first_item long"
-    nothing = source.select("key", "row", F.lit(0).cast("long").alias("n_items"), F.lit(0).cast("long").alias("n_windows"),
-                            F.lit(None).cast("long").alias("first_item"))
-    passes = [source.mapInArrow(_marked(index, False, "text"), schema) for index in blocks] or [nothing]
-    out = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("key", "row").agg(F.sum("n_items").alias("n_items"), F.sum("n_windows").alias("n_windows"),
-                                            F.min("first_item").alias("first_item"))
+        ws = scratch(spark)
+        # written, since row numbers of a second reading need not be the same
+        source = ws.save(source.withColumn("row", F.monotonically_increasing_id()), "source")
+        found = source.select("key", "row", *nothing).unionByName(_contaminated_rows(ws, source, blocks))
+        out = found.groupBy("key", "row").agg(F.sum("n_items").alias("n_items"), F.sum("n_windows").alias("n_windows"),
+                                              F.min("first_item").alias("first_item"))
     bad = F.col("n_items") > 0
     return out.select(F.col("key").alias(key), bad.alias("contaminated"), "n_items", "n_windows", "first_item", (~bad).alias("kept"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that no item contaminates, unchanged, with all their columns."""
-    context = docs.sparkSession.sparkContext
-    for index in benchmark_blocks(items):
-        docs = docs.mapInArrow(_marked(context.broadcast(index), True, text), docs.schema)
-    return docs
+    spark = docs.sparkSession
+    only, blocks = _one_or_many(items)
+    if only is not None:
+        return docs.mapInArrow(_clean(spark.sparkContext.broadcast(only), text), docs.schema)
+    if blocks is None:
+        return docs
+    ws = scratch(spark)
+    source = ws.save(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "source")
+    bad = _contaminated_rows(ws, source.select(F.lit(None).cast("long").alias("key"), "row", F.col("doc").getField(text).alias("text")), blocks)
+    return source.join(bad.select("row").distinct(), "row", "left_anti").select("doc.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,20 @@ def test_literal_windows_of_numbers_and_names(spark):
     assert {r.doc_id for r in decontaminate.remove_contaminated(frame, bench).collect()} == {4, 5, 6}
 
 
+@pytest.mark.parametrize("block", [10, 10**6])
+def test_items_without_or_with_shared_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate.benchmark_blocks, "__kwdefaults__", {"key": "item_id", "text": "text", "block": block})
+    items = [(None, "The first of all items has no id but words enough to be found by them"), (7, ITEMS[0][1]),
+             (7, "Short one with the id of 2 others"), (7, "Another text under the same id counts 3 pears, 4 plums and 5 quinces in a bowl of Dora")]
+    docs = [(k, "Well, " + t.replace("3", "8").replace("120", "95")) for k, (_, t) in enumerate(items)] + [(9, "clean text about nothing at all in here"), (None, None)]
+    frame = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, row string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.n_items, r.first_item) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got == {0: (True, 1, None), 1: (True, 1, 7), 2: (True, 1, 7), 3: (True, 1, 7), 9: (False, 0, None), None: (False, 0, None)}
+    kept = decontaminate.remove_contaminated(frame, bench)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {9, None}
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, documents, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     once = by_row(tuple(r) for r in decontaminate.contaminated(documents, items).collect())
