@@ -21,8 +21,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under a 400-byte string that also starts elsewhere go; all documents stay, some with a shorter text."""
-    return suffix_array.remove_repeats(docs)
+    """Repeated passages of over 50 words or at least 400 bytes go: stretches in which every 100-byte string also starts
+    elsewhere. All documents stay, some with a shorter text."""
+    return suffix_array.remove_repeats(docs, rule=suffix_array.PASSAGES)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

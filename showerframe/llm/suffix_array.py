@@ -19,6 +19,8 @@ from showerframe.llm.common import byte_symbols, mix64, prefix_hash, ranges_hash
 from showerframe.llm.repeats import Rule
 
 RULE = Rule(words=False, length=400, cover=128, gram=24)
+#: Finds every passage of over WORDS words: with the blanks between, 51 words of one letter have 101 bytes.
+PASSAGES, WORDS = Rule(words=False, length=100, cover=64, gram=16), 50
 
 
 def order_of(core: np.ndarray, right: list[bytes], unit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,22 +67,37 @@ def merge_suffixes(rule: Rule, core: np.ndarray, low: np.ndarray, high: np.ndarr
     return np.concatenate(members), np.concatenate(offsets)
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """``docs`` with every byte under a repeated window removed from its text, all other columns and rows unchanged. A
+def long_runs(rule: Rule, data: bytes, lows, highs) -> list[tuple[int, int]]:
+    """The runs, as (first, last start), that belong to a stretch of consecutive repeated windows of at least ``RULE.length``
+    bytes or over ``WORDS`` words, those cut at its ends included."""
+    out: list[list[int]] = []
+    for low, high in sorted(zip(lows, highs)):
+        if out and low <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return [(a, b) for a, b in out
+            if b + rule.length - a >= RULE.length or len(data[a:b + rule.length].split()) > WORDS]
+
+
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", chars: str = "n_chars",
+                   rule: Rule = RULE) -> DataFrame:
+    """``docs`` with every byte under a repeated window of ``rule`` (in bytes) removed from its text, if consecutive such windows
+    reach the length of ``RULE`` or over ``WORDS`` words; all other columns and rows unchanged. A
     character that is covered only in part stays; a null text stays null. ``chars``, if it is a column, becomes the new
     number of code points wherever the text changed."""
     spark = docs.sparkSession
     ws = scratch(spark)
-    found = repeats.find(ws, RULE, merge_suffixes, docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    found = repeats.find(ws, rule, merge_suffixes, docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
     spans = repeats.spans_of(found)
     copied = F.col("copies") > 1
     special = ws.save(found.nodes.join(spans, "node", "left").filter(copied | F.col("lows").isNotNull())
                       .select("name", copied.alias("copied"), "lows", "highs"), "special")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    marked = repeats.named(RULE, docs.select(row, F.col(text).alias("text")))
+    marked = repeats.named(rule, docs.select(row, F.col(text).alias("text")))
     joined = marked.join(special.withColumnRenamed("name", "special"), F.col("name") == F.col("special"), "left")
     cut = joined.select("row", "text", "copied", "lows", "highs").mapInArrow(
-        _cut_text, f"row {joined.schema['row'].dataType.simpleString()}, new_text string, new_size long")
+        _cut_text(rule), f"row {joined.schema['row'].dataType.simpleString()}, new_text string, new_size long")
     columns = []
     for c in docs.columns:
         value = F.col("row").getField(c)
@@ -92,29 +109,32 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return cut.select(*columns)
 
 
-def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        copied, lows, highs = (batch.column(c).to_pylist() for c in ("copied", "lows", "highs"))
-        texts, sizes = [], []
-        for piece in slices(batch.column("text")):
-            for i in range(len(piece)):
-                k = piece.first + i
-                data = piece.text(i)
-                if copied[k] and len(data) >= RULE.length:
-                    spans = [(0, len(data))]
-                elif lows[k]:
-                    spans = repeats.whole_characters(data, repeats.merged(RULE, lows[k], highs[k]))
-                else:
-                    spans = []
-                if spans:
-                    left = repeats.kept_bytes(RULE, piece, i, spans)[0].decode("utf-8", "replace")
-                    texts.append(left)
-                    sizes.append(len(left))
-                else:
-                    texts.append(None)
-                    sizes.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())],
-                                         ["row", "new_text", "new_size"])
+def _cut_text(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copied, lows, highs = (batch.column(c).to_pylist() for c in ("copied", "lows", "highs"))
+            texts, sizes = [], []
+            for piece in slices(batch.column("text")):
+                for i in range(len(piece)):
+                    k = piece.first + i
+                    data = piece.text(i)
+                    if copied[k] and (len(data) >= RULE.length or len(data.split()) > WORDS and rule.length < RULE.length):
+                        spans = [(0, len(data))]
+                    elif lows[k]:
+                        found = long_runs(rule, data, lows[k], highs[k])
+                        spans = repeats.whole_characters(data, repeats.merged(rule, *zip(*found))) if found else []
+                    else:
+                        spans = []
+                    if spans:
+                        left = repeats.kept_bytes(rule, piece, i, spans)[0].decode("utf-8", "replace")
+                        texts.append(left)
+                        sizes.append(len(left))
+                    else:
+                        texts.append(None)
+                        sizes.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())],
+                                             ["row", "new_text", "new_size"])
+    return run
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,17 @@ def test_stages_take_effect(spark):
             assert {r.doc_id for r in docs.collect()} == set(old)
 
 
+def test_passages_of_over_fifty_words_go(spark):
+    passages = [" ".join(chr(97 + i * i % 23) for i in range(51)), " ".join(f"w{i}" for i in range(60)), " ".join(f"short{i}" for i in range(30))]
+    rows = [(k, f"start {k} {p} end {k}", "n") for k, p in enumerate(p for p in passages for _ in range(2))] + [(9, None, "n"), (10, "alone", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    flags = brute.covered([(t or "").encode() for _, t, _ in rows], 100)
+    got = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert got == {k: t and (t if passages[2] in t else bytes(c for c, x in zip(t.encode(), f) if not x).decode())
+                   for (k, t, _), f in zip(rows, flags)}
+    assert all(p not in (t or "") for p in passages[:2] for t in got.values()) and len(got[0]) < 20
+
+
 def test_registered_queries():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
