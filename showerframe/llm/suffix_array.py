@@ -94,9 +94,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     special = ws.save(found.nodes.join(spans, "node", "left").filter(copied | F.col("lows").isNotNull())
                       .select("name", copied.alias("copied"), "lows", "highs"), "special")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    marked = repeats.named(rule, docs.select(row, F.col(text).alias("text")))
+    # the text moves once, inside its row
+    marked = repeats.named(rule, docs.select(row, F.col(text).alias("text"))).drop("text")
     joined = marked.join(special.withColumnRenamed("name", "special"), F.col("name") == F.col("special"), "left")
-    cut = joined.select("row", "text", "copied", "lows", "highs").mapInArrow(
+    cut = joined.select("row", F.col("row").getField(text).alias("text"), "copied", "lows", "highs").mapInArrow(
         _cut_text(rule), f"row {joined.schema['row'].dataType.simpleString()}, new_text string, new_size long")
     columns = []
     for c in docs.columns:
