@@ -24,7 +24,9 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict = {}
+_BITS, _PRIME = np.uint64(31), np.uint64(2**31 - 1)
+_PRIME_BASES = (1_180_591_621, 716_146_943)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +57,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash base, and of its inverse, modulo 2**64."""
+    """The first ``n`` powers of the base of ``sum_prefix``, and of its inverse, modulo 2**64."""
     if len(_powers.get("up", ())) < n:
         size = max(n, SLICE_BYTES + 1)
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -65,20 +67,74 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def prefix_hash(symbols: np.ndarray) -> np.ndarray:
-    """Prefix sums of symbol times power of the base; ``ranges_hash`` reads the hash of any range from them."""
+def sum_prefix(symbols: np.ndarray) -> np.ndarray:
+    """Like ``prefix_hash``, cheaper, modulo 2**64: equal ranges have equal sums, but some long arrangements of two symbols have,
+    too. Only good to choose among ranges, not to tell them apart."""
     up, _ = powers(len(symbols) + 1)
     out = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(symbols * up[:len(symbols)], out=out[1:])
     return out
 
 
-def ranges_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of symbol ranges, equal for equal ranges wherever they stand."""
+def sums_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, down = powers(len(prefix))
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo ``_PRIME``, or a little above; ``x`` is changed."""
+    high = x >> _BITS
+    x &= _PRIME
+    x += high
+    return x
+
+
+def prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both bases, the first ``n`` powers and inverse powers modulo ``_PRIME``."""
+    if len(_powers.get(("prime", 0, 0), ())) < n:
+        size = max(n, SLICE_BYTES + 1)
+        for k, base in enumerate(_PRIME_BASES):
+            for way, factor in enumerate((base, pow(base, -1, int(_PRIME)))):
+                p, done = np.ones(size, np.uint64), 1
+                while done < size:
+                    more = min(done, size - done)
+                    p[done:done + more] = p[:more] * np.uint64(pow(factor, done, int(_PRIME))) % _PRIME
+                    done += more
+                _powers["prime", k, way] = p.astype(np.uint32)
+    return [(_powers["prime", k, 0], _powers["prime", k, 1]) for k in range(2)]
+
+
+def prefix_hash(symbols: np.ndarray) -> np.ndarray:
+    """Prefix sums of symbol times power of the base, modulo a prime, for two independent bases that read different halves of the
+    symbols; ``ranges_hash`` reads the hash of any range from them."""
+    out = np.zeros((2, len(symbols) + 1), np.uint64)
+    for k, (up, _) in enumerate(prime_powers(len(symbols) + 1)):
+        x = symbols >> np.uint64(32) if k else symbols & _PRIME
+        x &= _PRIME
+        x *= up[:len(symbols)]
+        np.cumsum(_folded(x), out=out[k, 1:])
+        _folded(_folded(out[k]))
+    return out
+
+
+def ranges_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of symbol ranges, equal for equal ranges wherever they stand. Different ranges have 62 independent bits to differ
+    in, whatever their arrangement."""
+    halves = []
+    for k, (_, down) in enumerate(prime_powers(prefix.shape[1])):
+        x = prefix[k][end] + (_PRIME + _PRIME)
+        x -= prefix[k][start]
+        _folded(x)
+        x *= down[start]
+        _folded(_folded(x))
+        x -= _PRIME * (x >= _PRIME)
+        halves.append(x)
+    halves[0] <<= np.uint64(31)
+    halves[0] |= halves[1]
+    halves[0] += (end - start).astype(np.uint64) * np.uint64(_BASE)
+    return mix64(halves[0])
+
+
 def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _MIX[data]
 

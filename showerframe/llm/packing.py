@@ -10,8 +10,6 @@ Pieces of a length are numbered with counts per (length, part) first, so that a
 find their sequence by number in the plan."""
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,118 +20,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from showerframe.llm.common import partitions, scratch, table
+from showerframe.llm.vocabularies import BytePair, loaded, text_lists, vocabulary_path
 
 SIZE = 2048
 END = 0
-#: Distinct words whose ids a Python worker keeps; the memory starts anew when it is full.
-REMEMBERED = 400_000
 PIECE_CHARS = 2_000_000
-_SPACES = re.compile(r"\s\s")
-
-
-def vocabulary_path() -> str:
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-class Encoder:
-    """Token ids of whole texts by ``tokenizers``, word by word.
-
-    The vocabulary splits texts before every blank between two visible characters, so the ids of a text are the ids of its
-    parts, and parts are remembered. New parts are encoded together and told apart by the bytes their ids stand for. Texts
-    with two white spaces in a row, or with a special token, are encoded as they are."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
-        from tokenizers import Tokenizer
-        self._tokenizer = Tokenizer.from_file(path)
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
-        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self._bytes[i] = len(token)  # one character of a byte-level vocabulary is one byte
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self._number: dict[str, int] = {}
-        self._ids = np.zeros(0, np.uint32)
-        self._first = np.zeros(1, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> None:
-        plain = [p for p in parts if p and not p[-1].isspace() and not p[0].isspace()]
-        found, sizes = [], []
-        for i in range(0, len(plain), 20_000):
-            some = plain[i:i + 20_000]
-            ids = self._encode([" " + " ".join(some)])[0]
-            ends = np.cumsum([len(p.encode()) + 1 for p in some])
-            cut = np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1
-            found.append(ids)
-            sizes.append(np.diff(np.r_[0, cut]))
-        odd = sorted(set(parts) - set(plain))
-        for ids in self._encode([" " + p for p in odd]):
-            found.append(ids)
-            sizes.append([len(ids)])
-        for part in (*plain, *odd):
-            self._number[part] = len(self._number)
-        if found:
-            self._ids = np.concatenate([self._ids, *found])
-            self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(np.concatenate(sizes))]).astype(np.int64)
-
-    def parts(self, parts: list[str], limit: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each part behind a blank, in one array, and where each part's begin (one more than parts)."""
-        if len(self._number) > limit:
-            self._clear()
-        new = set(parts) - self._number.keys()
-        if new:
-            self._learn(sorted(new))
-        number = np.fromiter(map(self._number.__getitem__, parts), np.int64, len(parts))
-        size = np.diff(self._first)[number]
-        total = np.r_[0, np.cumsum(size)]
-        return self._ids[np.repeat(self._first[number] - total[:-1], size) + np.arange(total[-1])], total
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and where each text's begin (one more than texts)."""
-        whole = [bool(_SPACES.search(t)) or any(s in t for s in self._special) for t in texts]
-        split = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
-        inner = [p for parts in split for p in parts[1:]]
-        ids, total = self.parts(inner)
-        heads = self._encode([t if w else (p[0] if p else "") for t, w, p in zip(texts, whole, split)])
-        out, first, at = [], [0], 0
-        for head, parts in zip(heads, split):
-            n = max(len(parts) - 1, 0)
-            out += [head, ids[total[at]:total[at + n]]]
-            first.append(first[-1] + len(head) + int(total[at + n] - total[at]))
-            at += n
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(first)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
 
 
 def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = loaded(BytePair, path)
         for batch in batches:
-            keys, texts = batch.column("key"), [t or "" for t in batch.column("text").to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j]) <= PIECE_CHARS):
-                    n += len(texts[j])
-                    j += 1
-                ids, first = tokens.encode(texts[i:j])
+            keys = batch.column("key")
+            for i, texts in text_lists(batch.column("text"), PIECE_CHARS):
+                ids, first = tokens.encode(texts, special=True)
                 owner, piece, start, length, crc = [], [], [], [], []
-                for k in range(j - i):
+                for k in range(len(texts)):
                     own = np.append(ids[first[k]:first[k + 1]], np.uint32(END)).astype("<u4")
                     cuts = [*range(len(own) % size or size, len(own) + 1, size)] if len(own) > size else [len(own)]
                     low = 0
@@ -148,7 +50,6 @@ def _pieces(path: str, size: int):
                     [keys.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["key", "piece", "start", "length", "ids_crc32"])
-                i = j
     return run
 
 
@@ -289,4 +190,6 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places. A null or empty text is one piece, its end token; rows with equal ids are packed
+    one by one, ties between equal lengths go by id, piece and checksum; an empty table gives no rows, other columns are not read."""
     return pack(table(spark, sf_dir, "documents"))

@@ -26,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerframe.llm.common import Slice, byte_symbols, mix64, prefix_hash, ranges_hash, scratch, slices
+from showerframe.llm.common import Slice, byte_symbols, mix64, prefix_hash, ranges_hash, scratch, slices, sum_prefix, sums_hash
 from showerframe.workspace import Workspace
 
 #: Members of a core that are compared in one group; larger cores are counted window by window.
 CROWD = 50_000
 #: Members that one group of cores holds, about.
 GROUP = 20_000
+#: Bytes of the name of a text, the first ones of the SHA-256 of its symbols.
+NAME = 16
 
 
 @dataclass(frozen=True)
@@ -72,9 +74,8 @@ def sample(rule: Rule, symbols: np.ndarray, first: np.ndarray) -> Samples:
     if n < rule.length or not windows.sum():
         none = np.zeros(0, np.int64)
         return Samples(none, none, none.astype(np.uint64), none, none)
-    prefix = prefix_hash(symbols)
     at = np.arange(n - rule.gram + 1)
-    gram = ranges_hash(prefix, at, at + rule.gram)
+    gram = sums_hash(sum_prefix(symbols), at, at + rule.gram)  # chooses positions; tells nothing apart
     # hash above, position below: the smallest value names the leftmost smallest gram
     low = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     step = 1
@@ -88,15 +89,12 @@ def sample(rule: Rule, symbols: np.ndarray, first: np.ndarray) -> Samples:
     last = np.r_[new[1:], len(chosen)] - 1
     pos, text = chosen[new], text[new]
     base = first[text]
-    return Samples(text, pos - base, ranges_hash(prefix, pos, pos + rule.core), start[new] - base, start[last] - base)
+    return Samples(text, pos - base, ranges_hash(prefix_hash(symbols), pos, pos + rule.core), start[new] - base, start[last] - base)
 
 
-def _fingerprints(symbols: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """A 128-bit name of each text's symbol sequence."""
-    a = ranges_hash(prefix_hash(symbols), first[:-1], first[1:])
-    b = ranges_hash(prefix_hash(mix64(symbols ^ np.uint64(0xA0761D6478BD642F))), first[:-1], first[1:])
-    both = np.stack([a, b], 1).tobytes()
-    return [both[16 * i:16 * i + 16] for i in range(len(first) - 1)]
+def _whole(rule: Rule, piece: Slice) -> list[bytes]:
+    texts = [piece.text(i) for i in range(len(piece))]
+    return [b" ".join(t.split()) for t in texts] if rule.words else texts
 
 
 def kept_bytes(rule: Rule, piece: Slice, i: int, spans: list[tuple[int, int]], words=None) -> tuple[bytes, int]:
@@ -126,14 +124,11 @@ def _scan(rule: Rule):
                 symbols, first = (words.code, words.first) if rule.words else rule.symbols(piece)
                 found = sample(rule, symbols, first)
                 bounds = np.searchsorted(found.text, np.arange(len(piece) + 1))
-                if rule.words:
-                    whole = [b" ".join(piece.text(i).split()) for i in range(len(piece))]
-                else:
-                    whole = [piece.text(i) for i in range(len(piece))]
+                digests = [hashlib.sha256(x) for x in _whole(rule, piece)]
                 offsets = pa.array(bounds, pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("key").slice(piece.first, len(piece)), pa.array(_fingerprints(symbols, first), pa.binary()),
-                    pa.array(np.diff(first), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in whole]),
+                    batch.column("key").slice(piece.first, len(piece)), pa.array([d.digest()[:NAME] for d in digests], pa.binary()),
+                    pa.array(np.diff(first), pa.int64()), pa.array([d.hexdigest() for d in digests]),
                     pa.ListArray.from_arrays(offsets, pa.array(found.at, pa.int32())),
                     pa.ListArray.from_arrays(offsets, pa.array(found.core.view(np.int64)))],
                     ["key", "name", "n", "sha", "at", "core"])
@@ -147,14 +142,14 @@ def _named(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch.column("text")):
-                names = _fingerprints(*rule.symbols(piece))
+                names = [hashlib.sha256(x).digest()[:NAME] for x in _whole(rule, piece)]
                 part = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.binary())], [*part.schema.names, "name"])
     return run
 
 
 def named(rule: Rule, docs: DataFrame) -> DataFrame:
-    """``docs`` (with a column text) and ``name``, the fingerprint of each text."""
+    """``docs`` (with a column text) and ``name``, the name of each text."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "name binary"])
     return docs.mapInArrow(_named(rule), schema)
 
@@ -258,7 +253,7 @@ def _spelled(rule: Rule):
 
 @dataclass
 class Found:
-    """``scanned``: key, name, n, sha of every row. ``nodes``: name, copies, node. ``runs``: node, low, high of repeated
+    """Written tables. ``scanned``: key, name, n, sha of every row. ``nodes``: name, copies, node. ``runs``: node, low, high of repeated
     windows. ``texts``: node, name, text of the nodes that have candidates."""
     scanned: DataFrame
     nodes: DataFrame
@@ -285,14 +280,28 @@ def find(ws: Workspace, rule: Rule, resolver: Resolver, docs: DataFrame) -> Foun
     texts = named(rule, docs).join(wanted, ["name", "key"]).dropDuplicates(["name", "key"])
     texts = ws.save(texts.select("node", "name", "places", "text"), "texts")
     total = shared.filter(F.col("c") <= CROWD).agg(F.sum("c")).first()[0] or 0
+    ws.release(wanted, shared)
     groups = int(total // GROUP) + 1
     members = ws.save(texts.mapInArrow(_contexts(rule), _CONTEXT), "members")
     thin = (members.filter("not crowded").withColumn("task", F.pmod(F.xxhash64("core"), F.lit(groups)))
             .groupBy("task").applyInArrow(_resolve(rule, resolver), "node long, low long, high long"))
     spelled = members.filter("crowded").mapInArrow(_spelled(rule), "node long, start long, code long")
-    again = spelled.groupBy("code").agg(F.count("*").alias("c")).filter("c > 1").select("code")
+    # written, so that both sides of the join are plain shuffles and a window with very many starts can be split
+    again = ws.save(spelled.groupBy("code").agg(F.count("*").alias("c")).filter("c > 1").select("code"), "again")
     thick = spelled.join(again, "code").select("node", F.col("start").alias("low"), F.col("start").alias("high"))
-    return Found(scanned, nodes.select("name", "copies", "node"), ws.save(thin.unionByName(thick), "runs"), texts)
+    found = ws.save(thin.unionByName(thick), "runs")
+    ws.release(members, again)
+    return Found(scanned, nodes, found, texts)
+
+
+def spans_by_name(ws: Workspace, rule: Rule, resolver: Resolver, docs: DataFrame) -> DataFrame:
+    """(name, copied, lows, highs), written: the texts of ``docs`` (key, text) that occur several times or have repeated windows."""
+    found = find(ws, rule, resolver, docs)
+    copied = F.col("copies") > 1
+    out = ws.save(found.nodes.join(spans_of(found), "node", "left").filter(copied | F.col("lows").isNotNull())
+                  .select("name", copied.alias("copied"), "lows", "highs"), "special")
+    ws.release(found.scanned, found.nodes, found.runs, found.texts)
+    return out
 
 
 def spans_of(found: Found) -> DataFrame:
@@ -335,15 +344,20 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def report(rule: Rule, resolver: Resolver, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
+    """(key, n, n_removed, n_spans, kept_sha256) for every row of ``docs``.
+
+    A null text is empty; null keys are carried; repeated rows and equal texts under several keys repeat each other, so all of
+    them go if they have a window; there are no ties, since windows are judged on the input; an empty table gives no rows; other
+    columns are not read."""
     ws = scratch(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = find(ws, rule, resolver, source)
     cut = ws.save(found.texts.select("node", "text").join(spans_of(found), "node").mapInArrow(
         _cut(rule), "node long, n_removed long, n_spans long, sha string"), "cut")
+    ws.release(found.texts, found.runs)
     cut = cut.withColumnRenamed("sha", "cut_sha")
     # texts that nothing else tells apart from the rest: copies, and texts with runs
-    special = found.nodes.join(cut, "node", "left").filter((F.col("copies") > 1) | F.col("cut_sha").isNotNull())
+    special = found.nodes.select("name", "copies", "node").join(cut, "node", "left").filter((F.col("copies") > 1) | F.col("cut_sha").isNotNull())
     out = found.scanned.select("key", "name", "n", "sha").join(special, "name", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= rule.length)
     own_key = F.when(F.col("key") != -2**63, F.col("key"))

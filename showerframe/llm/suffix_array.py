@@ -7,6 +7,7 @@ samples whose name is unique are settled, the others are sorted by name and the
 and the remaining suffixes are merged by (bytes before the sample, name of the sample) and compared with their neighbours."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,11 +89,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     number of code points wherever the text changed."""
     spark = docs.sparkSession
     ws = scratch(spark)
-    found = repeats.find(ws, rule, merge_suffixes, docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    spans = repeats.spans_of(found)
-    copied = F.col("copies") > 1
-    special = ws.save(found.nodes.join(spans, "node", "left").filter(copied | F.col("lows").isNotNull())
-                      .select("name", copied.alias("copied"), "lows", "highs"), "special")
+    special = repeats.spans_by_name(ws, rule, merge_suffixes, docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     # the text moves once, inside its row
     marked = repeats.named(rule, docs.select(row, F.col(text).alias("text"))).drop("text")
@@ -138,6 +135,44 @@ def _cut_text(rule: Rule):
     return run
 
 
+def _reported(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copied, lows, highs = (batch.column(c).to_pylist() for c in ("copied", "lows", "highs"))
+            out: dict[str, list] = {c: [] for c in ("n", "n_removed", "n_spans", "kept_sha256", "kept")}
+            for piece in slices(batch.column("text")):
+                for i in range(len(piece)):
+                    k, data = piece.first + i, piece.text(i)
+                    if copied[k] and len(data) >= rule.length:
+                        spans = [(0, len(data))]
+                    else:
+                        spans = repeats.merged(rule, lows[k], highs[k]) if lows[k] else []
+                    left, gone = repeats.kept_bytes(rule, piece, i, spans)
+                    shown = repeats.kept_bytes(rule, piece, i, repeats.whole_characters(data, spans))[0] if spans else data
+                    for c, value in zip(out, (len(data), gone, len(spans), hashlib.sha256(left).hexdigest(), shown.decode("utf-8", "replace"))):
+                        out[c].append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(v) for v in out.values())], ["key", *out])
+    return run
+
+
+def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
+    """(key, n, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``: bytes, bytes under repeated strings, their
+    maximal runs, digest of the bytes that remain, and these as text, where a character that is covered in part is shown.
+
+    A null text is empty; null keys are carried; repeated rows and equal texts repeat each other, so all of them go if they are
+    long enough; there are no ties, since strings are judged on the input; an empty table gives no rows; other columns are not
+    read."""
+    ws = scratch(docs.sparkSession)
+    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    special = repeats.spans_by_name(ws, rule, merge_suffixes, source)
+    joined = repeats.named(rule, source).join(special.withColumnRenamed("name", "special"), F.col("name") == F.col("special"), "left")
+    out = joined.select("key", "text", "copied", "lows", "highs").mapInArrow(
+        _reported(rule), "key long, n long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return out.withColumnRenamed("key", key)
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.report(RULE, merge_suffixes, table(spark, sf_dir, "documents"), "doc_id", "text")
-    return out.withColumnRenamed("n", "n_bytes").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What is left of every document without its repeated strings of 400 bytes, in numbers, as a digest and as text. Null and
+    empty texts have zeros; equal texts of 400 bytes or more, repeated rows included, are removed whole."""
+    out = report(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))

@@ -57,5 +57,7 @@ def tree_repeats(rule: Rule, core: np.ndarray, low: np.ndarray, high: np.ndarray
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated windows of 35 words. Null and empty texts have no words; equal texts of
+    35 words or more, repeated rows included, are removed whole (``repeats.report``)."""
     out = repeats.report(RULE, tree_repeats, table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.withColumnRenamed("n", "n_words").select("doc_id", "n_words", "n_removed", "kept_sha256")

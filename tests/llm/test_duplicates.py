@@ -85,6 +85,40 @@ def test_repeated_windows_equal_plain(edge, documents, monkeypatch, by_words, cr
         columns = ["doc_id", "n", "n_removed", "kept_sha256"] if by_words else ["doc_id", "n", "n_removed", "n_spans", "kept_sha256"]
         got = [tuple(r) for r in repeats.report(rule, resolve, frame, "doc_id", "text").select(*columns).collect()]
         assert by_row(got) == by_row(want)
+        if not by_words:
+            out = suffix_array.report(frame).collect()
+            assert by_row((r.doc_id, r.n, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == by_row(want)
+            assert all(0 <= len(r.kept.encode()) - (r.n - r.n_removed) <= 6 * r.n_spans for r in out)
+
+
+def thue_morse(n, a, b):
+    """``n`` signs in Thue-Morse order: with odd powers modulo 2**64, swapping ``a`` and ``b`` changes no sum of 1,024 of them."""
+    return ["ab"[bin(i).count("1") % 2] == "a" and a or b for i in range(n)]
+
+
+def test_arrangements_of_two_symbols_stay_apart(spark):
+    """Different texts whose symbols cancel in sums of powers modulo 2**64 are different texts."""
+    from showerframe.llm import quality
+    from showerframe.llm.common import byte_symbols, prefix_hash, ranges_hash, sum_prefix, sums_hash
+    one, other = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    symbols, low, high = byte_symbols(np.frombuffer((one + other).encode(), np.uint8)), np.array([0, 1024]), np.array([1024, 2048])
+    assert len(set(sums_hash(sum_prefix(symbols), low, high).tolist())) == 1
+    assert len(set(ranges_hash(prefix_hash(symbols), low, high).tolist())) == 2
+    frame = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    flags = brute.covered([one.encode(), other.encode()], 400)
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_array.report(frame).collect()) == [(i + 1, sum(f)) for i, f in enumerate(flags)]
+    words = [" ".join(thue_morse(1024, "left", "right")), " ".join(thue_morse(1024, "right", "left"))]
+    flags = brute.covered([tuple(w.split()) for w in words], 35)
+    frame = spark.createDataFrame([(1, words[0]), (2, words[1])], "doc_id long, text string")
+    got = repeats.report(suffix_tree.RULE, suffix_tree.tree_repeats, frame, "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(i + 1, sum(f)) for i, f in enumerate(flags)]
+    tail = " ".join(f"w{i}" for i in range(30))
+    frame = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{other} {tail} {one} {one} x {one} y {one}")], "doc_id long, text string")
+    assert near_dedup.near_groups(spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")).select(
+        "component_id").distinct().count() == 2
+    rows = frame.unionByName(spark.createDataFrame([(3, f"{one}\n{other}")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r.n_dup_lines for r in quality.judge(rows, quality.train(rows, labels)).collect()} == {0}
 
 
 def test_repeats_of_an_empty_table(empty):

@@ -50,5 +50,5 @@ def test_passages_of_over_fifty_words_go(spark):
 
 def test_registered_queries():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and [n for n, _ in pipeline.STAGES] and near_dedup.BANDS

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from showerframe.llm import decontaminate, html_text, language_id, lm_score, packing, quality, url_filter
 from showerframe.llm.common import fold
+from showerframe.llm.vocabularies import vocabulary_path
 
 from . import brute
 from .conftest import EDGE, SF
@@ -71,16 +72,16 @@ ITEMS = [(1, "A train leaves Berlin at 9 hours and covers 120 km before it meets
 def test_decontamination(spark, empty):
     docs = [(1, "Before. " + ITEMS[0][1] + " after"), (2, "The same: " + ITEMS[0][1].replace("120", "95").replace("Anna", "Maria")),
             (3, "New cities: " + ITEMS[0][1].replace("Berlin", "Madrid")),
-            (4, "Mixed up: " + ITEMS[0][1].replace("from Berlin", "from Paris")),
+            (4, "Mixed up: " + ITEMS[0][1].replace("from Berlin", "from Paris")),  # other windows stay literal
             (5, "It is a short ITEM of seven plain small words, indeed."), (6, "clean text about nothing at all in particular here"),
             (7, None), (8, ""), (9, "too short"), (None, ITEMS[0][1])]
     frame = spark.createDataFrame([(*d, "k", 1) for d in docs], "doc_id long, text string, key string, n_items int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contaminated(frame, items).collect()}
-    assert {k for k, r in got.items() if r.contaminated} == {1, 2, 3, 5, None}
+    assert {k for k, r in got.items() if r.contaminated} == {1, 2, 3, 4, 5, None}
     assert got[1].first_item == 1 and got[5].first_item == 2 and all(r.kept != r.contaminated for r in got.values())
     kept = decontaminate.remove_contaminated(frame, items)
-    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {4, 6, 7, 8, 9}
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {6, 7, 8, 9}
     assert decontaminate.contaminated(frame, items.filter("false")).filter("contaminated").count() == 0
     assert decontaminate.contaminated(empty, items).count() == 0
 
@@ -147,20 +148,9 @@ def test_benchmark_in_blocks_gives_the_same(spark, documents, monkeypatch):
     assert by_row(tuple(r) for r in decontaminate.contaminated(documents, items).collect()) == once
 
 
-def test_ids_equal_the_tokenizer(documents):
-    from tokenizers import Tokenizer
-    plain, own = Tokenizer.from_file(packing.vocabulary_path()), packing.Encoder(packing.vocabulary_path())
-    texts = [t or "" for _, t, _ in EDGE] + [r.text for r in documents.select("text").limit(60).collect()]
-    texts += [" lead", "trail ", "a\nb \nc", "it's we'll", "\x1c x \x85y", "a \u2003b", "tab\t tab", "end\n"]
-    for _ in range(2):
-        ids, first = own.encode(texts)
-        for i, t in enumerate(texts):
-            assert ids[first[i]:first[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
-
-
 def test_packing_is_whole_and_tight(edge, documents, empty):
     from tokenizers import Tokenizer
-    plain = Tokenizer.from_file(packing.vocabulary_path())
+    plain = Tokenizer.from_file(vocabulary_path())
     for frame, rows in ((documents, [tuple(r) for r in documents.select("doc_id", "text").collect()]), (edge, [(k, t) for k, t, _ in EDGE])):
         got, pieces, total = packing.pack(frame).collect(), [], 0
         for k, t in rows:
@@ -218,12 +208,18 @@ def test_model_is_a_distribution_and_windows_agree(documents):
     texts = [r.text for r in documents.limit(40).collect()]
     import pyarrow as pa
     from showerframe.llm.common import slices
-    ids, first = lm_score.Words(packing.vocabulary_path()).ids(next(slices(pa.array(texts), 10**9)))
+    block = lm_score.Block(next(slices(pa.array(texts), 10**9)), vocabulary_path())
+    ids, first = block.ids, block.first
     model = lm_score.train_model(ids, first)
+    frequency = lm_score.frequencies(model["label"], np.bincount(ids, minlength=lm_score.VOCABULARY))
+
+    def log10_probability(m, share):
+        return lm_score.log10_classes(m, ids, first) + np.add.reduceat(share[ids], first[:-1]) / np.log(10)
+
     for c in range(lm_score.CLASSES):
         own = model["label"] == c
-        assert not own.any() or abs(np.exp(model["frequency"][own]).sum() - 1) < 1e-6
-    whole = lm_score.log10_probability(model, ids, first)
+        assert not own.any() or abs(np.exp(frequency[own]).sum() - 1) < 1e-6
+    whole = log10_probability(model, frequency)
     # token by token, each with the context its window has
     k = 3
     own = ids[first[k]:first[k + 1]]
@@ -232,10 +228,11 @@ def test_model_is_a_distribution_and_windows_agree(documents):
         start = p // lm_score.STEP * lm_score.STEP
         inputs, there, _, _ = lm_score.gathered(own, np.array([0, len(own)]), np.array([start]), np.array([0]))
         o = lm_score.forward(model, model["row"][inputs], there)[0][0, p - start].astype(float)
-        total += o[model["label"][own[p]]] - np.log(np.exp(o - o.max()).sum()) - o.max() + model["frequency"][own[p]]
+        total += o[model["label"][own[p]]] - np.log(np.exp(o - o.max()).sum()) - o.max() + frequency[own[p]]
     assert abs(whole[k] - total / np.log(10)) < 1e-3 * abs(whole[k])
     uniform = lm_score.train_model(np.zeros(0, np.int64), np.zeros(1, np.int64))
-    assert whole.sum() > lm_score.log10_probability(uniform, ids, first).sum()  # it has learnt something
+    even = lm_score.frequencies(uniform["label"], np.zeros(lm_score.VOCABULARY))
+    assert whole.sum() > log10_probability(uniform, even).sum()  # it has learnt something
 
 
 def test_main_text_of_all_pages(spark):
