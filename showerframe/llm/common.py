@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +36,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> Workspace:
     """Written tables of one operator, in the folder that all executors share."""
-    return Workspace(spark)
+    ws = Workspace(spark)
+    for kept in _collectors:
+        kept.append(ws)
+    return ws
+
+
+_collectors: list[list[Workspace]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[Workspace]]:
+    """The workspaces that operators open meanwhile, for a caller who knows when their results are no longer read."""
+    opened: list[Workspace] = []
+    _collectors.append(opened)
+    try:
+        yield opened
+    finally:
+        _collectors.remove(opened)
 
 
 def fold(doc_id, modulus: int):
