@@ -9,41 +9,49 @@ from pyspark.sql import functions as F
 from showerframe.workspace import Workspace
 
 
-def components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """Weakly connected components where every node has at most one outgoing edge.
-
-    ``edges``: event_id, obj, next, one row per ``obj``. Returns (event_id, obj, comp) for every node that an edge
-    touches, with ``comp`` the smallest node of the component.
+def started(edges: DataFrame) -> DataFrame:
+    """Doubling state of ``edges`` (event_id, obj, next; one row per ``obj``).
 
     A state row holds the node reached after 2**k steps and the smallest node among those steps. ``mark`` is the
     smallest node on the next 2**k steps; once it is equal at both ends of every edge it names the component, cycles
     of any length included."""
-    def doubled(state: DataFrame) -> DataFrame:
-        ahead = state.select("event_id", F.col("obj").alias("ptr"), F.col("ptr").alias("ptr2"),
-                             F.col("low").alias("low2"))
-        mark = F.coalesce("low2", "ptr")
-        return (state.join(ahead, ["event_id", "ptr"], "left")
-                .select("event_id", "obj", "next", F.coalesce("ptr2", "ptr").alias("ptr"),
-                        F.least("low", mark).alias("low"), mark.alias("mark")))
-
-    state = edges.select("event_id", "obj", "next", F.col("next").alias("ptr"), F.col("obj").alias("low"))
-    previous = None
+    return edges.select("event_id", "obj", "next", F.col("next").alias("ptr"), F.col("obj").alias("low"))
+
+
+def doubled(state: DataFrame) -> DataFrame:
+    ahead = state.select("event_id", F.col("obj").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
+    mark = F.coalesce("low2", "ptr")
+    return (state.join(ahead, ["event_id", "ptr"], "left")
+            .select("event_id", "obj", "next", F.coalesce("ptr2", "ptr").alias("ptr"),
+                    F.least("low", mark).alias("low"), mark.alias("mark")))
+
+
+def unsettled(step: DataFrame) -> DataFrame:
+    """Edges whose ends do not have one mark yet; without any, ``named`` is right."""
+    other = step.select("event_id", F.col("obj").alias("next"), F.col("mark").alias("mark2"))
+    return (step.join(other, ["event_id", "next"], "left")
+            .filter(F.col("mark") != F.coalesce("mark2", "next")).select("event_id", "obj"))
+
+
+def named(step: DataFrame) -> DataFrame:
+    """(event_id, obj, comp) of every node that an edge touches, ``comp`` the smallest node of its component."""
+    ends = (step.select("event_id", F.explode(F.array("obj", "next")).alias("obj"), "mark")
+            .groupBy("event_id", "obj").agg(F.min("mark").alias("mark")))
+    names = (step.groupBy("event_id", "mark").agg(F.least(F.min("obj"), F.min("next")).alias("comp")))
+    return ends.join(names, ["event_id", "mark"]).select("event_id", "obj", "comp")
+
+
+def components(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """Weakly connected components where every node has at most one outgoing edge (``started``, ``named``)."""
+    state, previous = started(edges), None
     while True:
         # two doublings a round: most chains of merging objects are shorter than four
         step = ws.save(doubled(doubled(state)), "components")
-        other = step.select("event_id", F.col("obj").alias("next"), F.col("mark").alias("mark2"))
-        open_edges = (step.join(other, ["event_id", "next"], "left")
-                      .filter(F.col("mark") != F.coalesce("mark2", "next")))
         if previous is not None:
             ws.release(previous)
-        if open_edges.isEmpty():
-            break
+        if unsettled(step).isEmpty():
+            return named(step)
         state = previous = step
-    ends = (step.select("event_id", "obj", "mark")
-            .unionByName(step.select("event_id", F.col("next").alias("obj"), "mark"))
-            .groupBy("event_id", "obj").agg(F.min("mark").alias("mark")))
-    names = (step.groupBy("event_id", "mark").agg(F.least(F.min("obj"), F.min("next")).alias("comp")))
-    return ends.join(names, ["event_id", "mark"]).select("event_id", "obj", "comp")
 
 
 def roots(ws: Workspace, forest: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,9 @@
 """Session construction and the runtime SQL settings the plans rely on."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution coalesces small shuffles, broadcasts sides whose measured size allows it and splits skewed
@@ -21,6 +24,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Tables bucketed by one key meet on more keys without an exchange, and no side is sent around instead.
+KEYED = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@contextmanager
+def keyed(spark: SparkSession) -> Iterator[None]:
+    """Settings for plans over tables that are bucketed by one key (``Workspace.save_by``), restored afterwards."""
+    before = {key: spark.conf.get(key, None) for key in KEYED}
+    try:
+        for key, value in KEYED.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def session(master: str | None = None, app: str = "showerframe", **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

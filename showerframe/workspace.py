@@ -40,6 +40,7 @@ class Workspace:
             self._local_roots[app] = _root(spark)
         self.path = f"{(root or self._local_roots[app]).rstrip('/')}/showerframe-{uuid.uuid4().hex}"
         self._count = 0
+        self._tables: list[str] = []
         if root is None:  # what nobody closes goes with the session
             target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
             target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
@@ -60,6 +61,20 @@ class Workspace:
         saved = self.save(df.observe(seen, *[c.alias(k) for k, c in counters.items()]), name)
         return saved, {k: v or 0 for k, v in seen.get.items()}
 
+    def save_by(self, df: DataFrame, name: str, key: str, buckets: int, **counters: Column) -> tuple[DataFrame, dict]:
+        """``save_counting`` into ``buckets`` files by the hash of ``key``: within ``keyed``, whatever groups or joins such tables
+        by keys that contain it needs no exchange."""
+        self._count += 1
+        path = f"{self.path}/{self._count:04d}-{name}"
+        table = f"showerframe_{uuid.uuid4().hex}"
+        seen = Observation(table)
+        observed = df.observe(seen, *[c.alias(k) for k, c in counters.items()]) if counters else df
+        observed.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+        self._tables.append(table)
+        saved = self.spark.table(table)
+        saved._written_at = path
+        return saved, {k: v or 0 for k, v in seen.get.items()} if counters else {}
+
     def child(self) -> "Workspace":
         """A workspace for tables that are not needed once a result is saved here: ``with ws.child() as tmp: ...``."""
         return Workspace(self.spark, self.path)
@@ -72,6 +87,9 @@ class Workspace:
                 self._delete(path)
 
     def close(self) -> None:
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables.clear()
         self._delete(self.path)
 
     def _delete(self, path: str) -> None:

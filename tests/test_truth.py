@@ -3,9 +3,10 @@ import pytest
 from conftest import Sample, by_event
 from pyspark.sql import functions as F
 
-from showerframe.operators import targets
+from showerframe.operators import merging, targets
 from showerframe.plans.score import Truth
 from showerframe.plans.truth import truth_summary
+from showerframe.session import keyed
 from showerframe.sources import derived
 
 SWALLOWED = {0: {0: 6.0, 1: 5.0}, 1: {1: 1.25}}
@@ -125,3 +126,26 @@ def test_energy_is_conserved(spark, ws):
     assert off.count() == 0
     total = tables.rh.agg(F.sum("E"), F.sum("noTruthE")).first()
     assert built.targets.agg(F.sum("E")).first()[0] + total[1] == pytest.approx(total[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("heavy", [0, 2])
+def test_large_events_take_the_other_loop_to_the_same_end(spark, ws, sample, built, monkeypatch, heavy):
+    """With a bound of 0 every event is dealt out by cell and object, with 2 only those of three cell rows or more."""
+    monkeypatch.setattr(merging, "HEAVY", heavy)
+    other = targets.build(ws, built["tables"])
+    for name in ("targets", "unit_target", "target_cell", "rounds"):
+        one, two = (sorted((tuple(r) for r in getattr(b, name).select(sorted(getattr(b, name).columns)).collect()), key=repr)
+                    for b in (built["built"], other))
+        assert [[pytest.approx(v) if isinstance(v, float) else v for v in r] for r in one] == [list(r) for r in two]
+
+
+def test_long_chains_of_links_are_doubled_again(spark, ws):
+    """Twenty objects, each of which joins the next: more than one step of pointer doubling, and one name at the end."""
+    n = 20
+    rows = [(0, k, k + 1, True, True, k) for k in range(n - 1)] + [(0, n - 1, None, False, True, n - 1)]
+    objects = spark.createDataFrame(rows, "event_id long, obj long, next long, fail boolean, live boolean, head long")
+    with keyed(spark):
+        bucketed, _ = ws.save_by(objects, "objects", "event_id", 4)
+        moves = {r["obj"]: r for r in merging._all_moves(ws, bucketed, 4).collect()}
+    assert {r["comp"] for r in moves.values()} == {0} and len(moves) == n and all(r["merged"] for r in moves.values())
+    assert [moves[k]["next_head"] for k in range(n)] == [*range(1, n), None]
