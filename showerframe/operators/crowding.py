@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from showerframe.functions.scalars import number
+from showerframe.operators.lanes import Lanes
 from showerframe.operators.neighbours import distance
 from showerframe.params import Params
 from showerframe.workspace import Workspace
@@ -22,13 +22,14 @@ CELL = [EV, "side", "sig", "Z", "cx", "cy"]
 SMALL = 256  # pairs of places that a pair of cells may stand for without being divided
 
 
-def _in_cells(places: DataFrame, width: float) -> DataFrame:
+def _in_cells(places: DataFrame, p: Lanes, widths: list[float]) -> DataFrame:
+    width = p.each(widths)
     return places.withColumns({"cx": F.floor(F.col("X").cast("double") / width),
                                "cy": F.floor(F.col("Y").cast("double") / width)})
 
 
-def _cells(places: DataFrame, width: float) -> DataFrame:
-    return _in_cells(places, width).groupBy(*CELL).agg(F.count("*").alias("n"), F.sum("esum").alias("s"))
+def _cells(places: DataFrame, p: Lanes, widths: list[float]) -> DataFrame:
+    return _in_cells(places, p, widths).groupBy(*CELL).agg(F.count("*").alias("n"), F.sum("esum").alias("s"))
 
 
 def _as(df: DataFrame, suffix: str) -> DataFrame:
@@ -36,54 +37,56 @@ def _as(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(EV, "side", *[F.col(c).alias(c + suffix) for c in df.columns if c not in (EV, "side")])
 
 
-def _threshold(p: Params, radius: float) -> Column:
+def _threshold(p: Lanes, radius) -> Column:
     """Transverse distance that corresponds to ``radius`` for the sigmas of a pair of cells."""
-    rel = [s / min(p.sigmaT) for s in sorted(set(p.sigmaT))]
-    out = F.lit(0.0)
-    for a, ra in enumerate(rel):
-        for b, rb in enumerate(rel):
-            out = F.when((F.col("sig_a") == a) & (F.col("sig_b") == b), radius * (ra + rb) / 2).otherwise(out)
-    return out
+    lanes = [F.array(*[F.array(*[F.lit(r * (a + b) / 2) for b in rel]) for a in rel]) for rel, r in zip(p.sigmas, p.values(radius))]
+    return F.element_at(F.element_at(p.pick(lanes), F.col("sig_a") + 1), F.col("sig_b") + 1)
 
 
-def _classify(pairs: DataFrame, p: Params, radius: float, width: float, small: int) -> DataFrame:
+def _classify(pairs: DataFrame, p: Lanes, radius, widths: list[float], small: int) -> DataFrame:
     """``pairs`` with kind: 2 within the radius, 1 to be divided, 0 to be measured; pairs beyond it are dropped. The
     margins exceed what float32 rounding of a distance can add or remove."""
-    near2, far2 = F.lit(0.0), F.lit(0.0)
+    near2, far2, width = F.lit(0.0), F.lit(0.0), p.each(widths)
     for axis in ("cx", "cy"):
         steps = F.abs(F.col(f"{axis}_a") - F.col(f"{axis}_b")).cast("double")
         gap, span = F.greatest(steps - 1, F.lit(0.0)) * width, (steps + 1) * width
         near2, far2 = near2 + gap * gap, far2 + span * span
     limit = _threshold(p, radius)
     outer, inner = limit * (1 + 1e-5) + 1e-6, limit * (1 - 1e-5) - 1e-6
-    layers = F.abs(F.col("Z_a") - F.col("Z_b")) <= number(radius, p.f32)
+    layers = F.abs(F.col("Z_a") - F.col("Z_b")) <= p.number(radius)
     return (pairs.filter(layers & (near2 <= outer * outer))
             .withColumn("kind", F.when((inner > 0) & (far2 <= inner * inner), 2)
                         .when(F.col("n_a") * F.col("n_b") > small, 1).otherwise(0)))
 
 
-def sums_within(ws: Workspace, places: DataFrame, p: Params, radius: float, small: int = SMALL) -> DataFrame:
-    """PLACE..., near: sum of ``esum`` over all places within ``radius``, the place itself included. ``places`` is a
-    written table of PLACE..., esum with each place once."""
-    width = radius * max(p.sigmaT) / min(p.sigmaT) * (1 + 1e-4) + 1e-5
-    cells = ws.save(_cells(places, width), "crowd_cells")
-    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    around = (_as(cells, "_a").withColumn("d", F.explode(steps))
-              .withColumns({"cx_b": F.col("cx_a") + F.col("d.x"), "cy_b": F.col("cy_a") + F.col("d.y")}).drop("d"))
-    pairs = around.join(_as(cells, "_b"), [EV, "side", "cx_b", "cy_b"])
+def sums_within(ws: Workspace, places: DataFrame, p: Params | Lanes, radius, small: int = SMALL) -> DataFrame:
+    """PLACE..., near: sum of ``esum`` over all places within ``radius`` (one, or one per lane), the place itself included.
+    ``places`` is a written table of PLACE..., esum with each place once."""
+    p = Lanes.of(p)
+    radii = p.values(radius)
+    widths = [r * rel[-1] * (1 + 1e-4) + 1e-5 for r, rel in zip(radii, p.sigmas)]
+    cells = ws.save(_cells(places, p, widths), "crowd_cells")
+    # layers farther apart than the radius never meet: the band of a layer is part of the key
+    band = F.floor(F.col("Z").cast("double") / p.each([r * (1 + 1e-4) + 1e-5 for r in radii]))
+    banded = cells.withColumn("cz", band)
+    near = (-1, 0, 1)
+    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in near for y in near for z in near])
+    around = (_as(banded, "_a").withColumn("d", F.explode(steps))
+              .withColumns({f"c{c}_b": F.col(f"c{c}_a") + F.col(f"d.{c}") for c in "xyz"}).drop("d", "cz_a"))
+    pairs = around.join(_as(banded, "_b"), [EV, "side", "cx_b", "cy_b", "cz_b"]).drop("cz_b")
     parts = []
     while True:
-        rows, seen = ws.save_counting(_classify(pairs, p, radius, width, small), "crowd_pairs",
+        rows, seen = ws.save_counting(_classify(pairs, p, radii, widths, small), "crowd_pairs",
                                       open=F.count_if(F.col("kind") == 1))
-        located = _in_cells(places, width)
+        located = _in_cells(places, p, widths)
         whole = ws.save(rows.filter("kind = 2").groupBy(EV, "side", *[F.col(f"{c}_a").alias(c) for c in CELL[2:]])
                         .agg(F.sum("s_b").alias("near")), "crowd_whole")
         parts.append(located.join(whole, CELL).select(*PLACE, "near"))
-        parts.append(_measured(located, rows.filter("kind = 0"), p, radius))
+        parts.append(_measured(located, rows.filter("kind = 0"), p, radii))
         if not seen["open"]:
             break
-        width /= 2
-        children = ws.save(_cells(places, width), "crowd_cells")
+        widths = [w / 2 for w in widths]
+        children = ws.save(_cells(places, p, widths), "crowd_cells")
         half = {c: F.floor(F.col(c) / 2) for c in ("cx", "cy")}
         kids = children.withColumns({"px": half["cx"], "py": half["cy"]})
         pairs = rows.filter("kind = 1").select(EV, "side", "sig_a", "Z_a", F.col("cx_a").alias("px_a"),
@@ -95,7 +98,7 @@ def sums_within(ws: Workspace, places: DataFrame, p: Params, radius: float, smal
     return reduce(DataFrame.unionByName, parts).groupBy(*PLACE).agg(F.sum("near").alias("near"))
 
 
-def _measured(located: DataFrame, rows: DataFrame, p: Params, radius: float) -> DataFrame:
+def _measured(located: DataFrame, rows: DataFrame, p: Lanes, radius) -> DataFrame:
     """Exact sums over the undecided pairs of cells, aggregated before they move on."""
     links = rows.select(EV, "side", *[f"{c}_{s}" for c in CELL[2:] for s in "ab"])
     probes = links.join(_as(located, "_a").withColumnsRenamed({"X_a": "X", "Y_a": "Y", "rel_a": "rel"}),
@@ -103,5 +106,5 @@ def _measured(located: DataFrame, rows: DataFrame, p: Params, radius: float) ->
     others = _as(located, "_b").withColumnsRenamed({"X_b": "X2", "Y_b": "Y2", "rel_b": "rel2"})
     met = (probes.join(others, [EV, "side", "sig_b", "Z_b", "cx_b", "cy_b"])
            .withColumns({"Z": F.col("Z_a"), "Z2": F.col("Z_b"), "sig": F.col("sig_a")}))
-    return (met.filter(distance(p) <= number(radius, p.f32))
+    return (met.filter(distance(p) <= p.number(radius))
             .groupBy(*PLACE).agg(F.sum("esum_b").alias("near")))

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from showerframe.functions.ranking import ordinals, top
-from showerframe.functions.scalars import exact, number, real, units
+from showerframe.functions.scalars import exact, real, units
 from showerframe.operators.chains import roots
 from showerframe.operators.crowding import sums_within
+from showerframe.operators.lanes import Lanes, lane
 from showerframe.operators.neighbours import HOT_CELL, range_join
-from showerframe.operators.points import coordinates
 from showerframe.params import DEFAULT, Params
 from showerframe.workspace import Workspace
 
@@ -25,25 +25,32 @@ SPOT = [EV, "side", "X", "Y", "Z"]
 PLACE = [*SPOT, "rel", "sig"]
 
 
-def densities(ws: Workspace, coords: DataFrame, p: Params) -> DataFrame:
+def densities(ws: Workspace, coords: DataFrame, p: Params | Lanes) -> DataFrame:
     """``coords`` with rho (own energy plus half the energy within dc), dense and the reach eff of every point.
 
     Energies are added as whole numbers of a small unit and rounded once, so rho depends neither on the order in which
     rows arrive nor on what other events hold."""
-    places = ws.save(coords.groupBy(*PLACE).agg(F.sum(units(F.col("E"))).alias("esum")), "density_places")
-    near = sums_within(ws, places, p, p.dc).withColumn("near", exact(F.col("near")))
+    p = Lanes.of(p)
+    shared = p.sharing()
+    some = [k for k, lanes in enumerate(shared) if lanes]  # one lane for all with equal coordinates and radius
+    own_lane = coords if len(some) == len(shared) else coords.filter(lane().isin(some))
+    places = ws.save(own_lane.groupBy(*PLACE).agg(F.sum(units(F.col("E"))).alias("esum")), "density_places")
+    near = sums_within(ws, places, p, [q.dc for q in p.all]).withColumn("near", exact(F.col("near")))
+    if len(some) < len(shared):
+        lanes = p.pick([F.array(*[F.lit(k) for k in own]).cast("array<int>") for own in shared])
+        near = near.withColumn("l", F.explode(lanes)).withColumn("side", F.pmod(F.col("side"), F.lit(2)) + 2 * F.col("l")).drop("l")
     near = ws.save(near, "near")  # a place with many copies is then a join key that can be split
     own = F.col("E").cast("double")
     out = coords.join(near, PLACE).withColumn("rho", real(own * 0.5 + F.col("near") * 0.5, p.f32))
     # pow in double, rounded once. On the axis the quotient is infinite, and the exponent decides.
-    pivot = p.rhocPivotRadius
-    on_axis = float("nan") if pivot == 0 else float("inf") if pivot > 0 else float("-inf")
-    q = F.when(F.col("r") > 0, real(number(pivot, p.f32) / F.col("r"), p.f32).cast("double")).otherwise(F.lit(on_axis))
-    power = real(F.pow(q, number(p.rhocEtaExponent, p.f32).cast("double")), p.f32)
-    threshold = real(number(p.rhoc, p.f32) * power, p.f32)
+    pivots = [q.rhocPivotRadius for q in p.all]
+    on_axis = p.pick([F.lit(float("nan") if v == 0 else float("inf") if v > 0 else float("-inf")) for v in pivots])
+    q = F.when(F.col("r") > 0, real(p.number(pivots) / F.col("r"), p.f32).cast("double")).otherwise(on_axis)
+    power = real(F.pow(q, p.number(lambda s: s.rhocEtaExponent).cast("double")), p.f32)
+    threshold = real(p.number(lambda s: s.rhoc) * power, p.f32)
     return (out.withColumn("dense", F.coalesce(F.col("rho") >= threshold, F.lit(False)))
-            .withColumn("eff", F.when(F.col("dense"), number(p.seedingDistance, p.f32))
-                        .otherwise(number(p.outlierDistance, p.f32)))
+            .withColumn("eff", F.when(F.col("dense"), p.number(lambda s: s.seedingDistance))
+                        .otherwise(p.number(lambda s: s.outlierDistance)))
             .drop("near"))
 
 
@@ -53,7 +60,7 @@ def higher() -> Column:
     return (F.col("rho2") > F.col("rho")) | same
 
 
-def nearest_higher(ws: Workspace, dens: DataFrame, p: Params, radii: list[float] | None = None,
+def nearest_higher(ws: Workspace, dens: DataFrame, p: Params | Lanes, radii: list | None = None,
                    hot_cell: int = HOT_CELL) -> DataFrame:
     """``dens`` with parent: the nearest higher point within eff, ties to the higher rho, then the higher tag, then
     the lower index; -1 if there is none.
@@ -66,6 +73,7 @@ def nearest_higher(ws: Workspace, dens: DataFrame, p: Params, radii: list[float]
         return (dens.groupBy(*place).agg(F.max(F.struct("rho", "tag", (-F.col("idx")).alias("neg"))).alias("b"))
                 .select(*place, F.col("b.rho").alias("rho"), F.col("b.tag").alias("tag"), (-F.col("b.neg")).alias("idx")))
 
+    p = Lanes.of(p)
     places = ws.save(tops(PLACE), "places")
     spots = ws.save(tops(SPOT), "spots")
     cand = dens.select(*PLACE, "idx", "rho", "tag", "eff").join(
@@ -83,28 +91,30 @@ def nearest_higher(ws: Workspace, dens: DataFrame, p: Params, radii: list[float]
                .groupBy(*KEYS, *one)
                .agg(top(F.col("idx2"), -F.col("d"), F.col("rho2"), F.col("tag2"), -F.col("idx2")).alias("parent")))
         links.append(ws.save(hit, "links"))
-        if radius >= p.reach:
+        if all(r >= reach for r, reach in zip(p.values(radius), p.reach)):
             break
-        search = ws.save(search.filter(F.col("eff") > radius).join(links[-1], [*KEYS, *one], "left_anti"), "search")
+        search = ws.save(search.filter(F.col("eff") > p.each(radius)).join(links[-1], [*KEYS, *one], "left_anti"), "search")
     linked = reduce(DataFrame.unionByName, links).withColumnRenamed("idx", "idx2")
     others = (level.select(*KEYS, "idx2", "sig", "eff", "idx").join(linked, [*KEYS, "idx2", "sig", "eff"], "left")
               .select(*KEYS, "idx", F.coalesce("parent", F.lit(-1)).alias("parent")))
     return dens.join(below.unionByName(others), [*KEYS, "idx"])
 
 
-def search_radii(places: DataFrame, p: Params, hot_cell: int = HOT_CELL) -> list[float]:
+def search_radii(places: DataFrame, p: Params | Lanes, hot_cell: int = HOT_CELL) -> list:
     """Radii of the nearest-higher search: the full reach alone where cells are thinly filled; otherwise it starts at a
-    radius whose fullest cell holds few places and doubles from there."""
-    radii = [p.reach]
+    radius whose fullest cell holds few places and doubles from there. With several lanes each radius is a list."""
+    p = Lanes.of(p)
+    halvings = 0
     if fullest_cell(places, p, p.reach) > hot_cell:
-        while fullest_cell(places, p, radii[0]) > max(hot_cell // 32, 1) and radii[0] > p.reach / 2**20:
-            radii.insert(0, radii[0] / 2)
-    return radii
+        while halvings < 20 and fullest_cell(places, p, [r / 2**halvings for r in p.reach]) > max(hot_cell // 32, 1):
+            halvings += 1
+    steps = [[r / 2**k for r in p.reach] for k in range(halvings, -1, -1)]
+    return [s[0] if len(s) == 1 else s for s in steps]
 
 
-def fullest_cell(places: DataFrame, p: Params, radius: float) -> int:
+def fullest_cell(places: DataFrame, p: Lanes, radius) -> int:
     """Largest number of places in one cell of twice ``radius``: one aggregate, one row back."""
-    width = radius * 2
+    width = p.each([r * 2 for r in p.values(radius)])
     cells = places.groupBy(*KEYS, "sig", F.floor(F.col("X") / (width * F.col("rel"))).alias("cx"),
                            F.floor(F.col("Y") / (width * F.col("rel"))).alias("cy"),
                            F.floor(F.col("Z") / width).alias("cz")).count()
@@ -119,29 +129,46 @@ def seeds_and_roots(ws: Workspace, linked: DataFrame) -> tuple[DataFrame, DataFr
             roots(ws, written.select(*KEYS, "idx", "parent"), KEYS))
 
 
-def number_clusters(ws: Workspace, seeds: DataFrame, rooted: DataFrame, p: Params, drop_small: bool) -> DataFrame:
+def number_clusters(ws: Workspace, seeds: DataFrame, rooted: DataFrame, p: Lanes, drop_small: bool) -> DataFrame:
     """Label of every seed: its rank on its side, side 1 continuing after all seeds of side 0, or -1 if its cluster is
     smaller than the cut. Numbers are given before the cut, so final labels have gaps."""
     ranked = ordinals(seeds, KEYS, "idx", "rank")
-    before = (seeds.filter(F.col("side") == 0).groupBy(EV).agg(F.count("*").alias("shift"))
-              .withColumn("side", F.lit(1).cast(seeds.schema["side"].dataType)))
+    before = (seeds.filter(F.pmod(F.col("side"), F.lit(2)) == 0).groupBy(*KEYS).agg(F.count("*").alias("shift"))
+              .withColumn("side", (F.col("side") + 1).cast(seeds.schema["side"].dataType)))
     label = F.col("rank") + F.coalesce("shift", F.lit(0))
     out = ranked.join(before, KEYS, "left").select(*KEYS, F.col("idx").alias("root"), label.alias("label"))
     if drop_small:
         sizes = rooted.groupBy(*KEYS, "root").agg(F.count("*").alias("size"))
         out = (out.join(sizes, [*KEYS, "root"])
-               .select(*KEYS, "root", F.when(F.col("size") < p.minNumLayerCluster, -1).otherwise(F.col("label"))
+               .select(*KEYS, "root", F.when(F.col("size") < p.each(lambda s: s.minNumLayerCluster), -1).otherwise(F.col("label"))
                        .alias("label")))
     return ws.save(out, "cluster_labels")
 
 
-def cluster(ws: Workspace, pts: DataFrame, p: Params = DEFAULT, drop_small: bool = True,
-            hot_cell: int = HOT_CELL) -> DataFrame:
-    """Label of every point of the level: event_id, idx, label (-1: not active, outlier, or in a dropped cluster)."""
-    coords = ws.save(coordinates(pts, p), "coordinates")
+def _labels(ws: Workspace, pts: DataFrame, p: Lanes, drop_small: bool, hot_cell: int) -> DataFrame:
+    coords = ws.save(p.coordinates(pts), "coordinates")
     dens = ws.save(densities(ws, coords, p), "densities")
     linked = nearest_higher(ws, dens, p, hot_cell=hot_cell)
     seeds, rooted = seeds_and_roots(ws, linked)
-    labels = rooted.join(number_clusters(ws, seeds, rooted, p, drop_small), [*KEYS, "root"], "left")
+    return rooted.join(number_clusters(ws, seeds, rooted, p, drop_small), [*KEYS, "root"], "left")
+
+
+def cluster_all(ws: Workspace, pts: DataFrame, settings: dict[str, Params], drop_small: bool = True,
+                hot_cell: int = HOT_CELL) -> DataFrame:
+    """(setting, event_id, idx, label) of the points that have a cluster, for all named settings in one pass (one for each
+    working precision)."""
+    parts = []
+    for f32 in sorted({p.f32 for p in settings.values()}):
+        names = [n for n, p in settings.items() if p.f32 == f32]
+        found = _labels(ws, pts, Lanes([settings[n] for n in names]), drop_small, hot_cell).filter(F.col("label") >= 0)
+        name = F.element_at(F.array(*[F.lit(n) for n in names]), lane() + 1)
+        parts.append(found.select(name.alias("setting"), EV, "idx", "label"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cluster(ws: Workspace, pts: DataFrame, p: Params = DEFAULT, drop_small: bool = True,
+            hot_cell: int = HOT_CELL) -> DataFrame:
+    """Label of every point of the level: event_id, idx, label (-1: not active, outlier, or in a dropped cluster)."""
+    labels = _labels(ws, pts, Lanes.of(p), drop_small, hot_cell)
     return (pts.select(EV, "idx").join(labels.select(EV, "idx", "label"), [EV, "idx"], "left")
             .select(EV, "idx", F.coalesce("label", F.lit(-1)).alias("label")))

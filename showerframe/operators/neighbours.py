@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from showerframe.functions.scalars import number, real
+from showerframe.operators.lanes import Lanes
 from showerframe.params import Params
 from showerframe.workspace import Workspace
 
@@ -17,7 +18,7 @@ GRID = [EV, "side", "pair", "cx", "cy", "cz"]
 HOT_CELL = 4096  # probes of one cell that one task handles; a fuller cell is split
 
 
-def distance(p: Params) -> Column:
+def distance(p: Params | Lanes) -> Column:
     """Metric distance of the columns X, Y, Z, rel and X2, Y2, Z2, rel2, rounded as the working precision does."""
     dx, dy = F.col("X") - F.col("X2"), F.col("Y") - F.col("Y2")
     flat = real(F.sqrt(dx * dx + dy * dy), p.f32) * number(2.0, p.f32)
@@ -25,69 +26,61 @@ def distance(p: Params) -> Column:
     return F.greatest(across, F.abs(F.col("Z") - F.col("Z2")))
 
 
-def _sigmas(p: Params) -> list[float]:
-    smallest = min(p.sigmaT)
-    return [s / smallest for s in sorted(set(p.sigmaT))]
+def _widths(rel: list[float], radius: float) -> list[list[float]]:
+    """Cell width per (sigma, sigma), with a margin for rounding."""
+    return [[2 * (radius * (a + b) / 2 * (1 + 1e-5) + 1e-6) for b in rel] for a in rel]
 
 
-def _widths(p: Params, radius: float) -> tuple[list[list[float]], float]:
-    """Cell width per (sigma, sigma), with a margin for rounding, and the cell height."""
-    rel = _sigmas(p)
-    reach = [[radius * (a + b) / 2 * (1 + 1e-5) + 1e-6 for b in rel] for a in rel]
-    return [[2 * r for r in row] for row in reach], 2 * (radius * (1 + 1e-5) + 1e-6)
+def _heights(p: Lanes, radius) -> Column:
+    return p.each([2 * (r * (1 + 1e-5) + 1e-6) for r in p.values(radius)])
 
 
 def _cell(c: Column, width: Column) -> Column:
     return F.floor(c.cast("double") / width)
 
 
-def _choices(p: Params, radius: float, side: str) -> Column:
-    """Array of (pair, width): the grids a row takes part in, chosen by its ``sig``."""
-    widths, _ = _widths(p, radius)
-    n = len(widths)
-
-    def of(s: int) -> Column:
+def _choices(p: Lanes, radius, side: str) -> Column:
+    """Array of (pair, width): the grids a row takes part in, chosen by its lane and ``sig``."""
+    def of(widths: list[list[float]], s: int) -> Column:
+        n = len(widths)
         pairs = [(s * n + o if side == "probe" else o * n + s, widths[s][o]) for o in range(n)]
         return F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(w).alias("w")) for k, w in pairs])
 
-    out = F.when(F.col("sig") == 0, of(0))
-    for s in range(1, n):
-        out = out.when(F.col("sig") == s, of(s))
-    return out
+    lanes = [_widths(rel, r) for rel, r in zip(p.sigmas, p.values(radius))]
+    return F.element_at(p.pick([F.array(*[of(w, s) for s in range(len(w))]) for w in lanes]), F.col("sig") + 1)
 
 
-def on_grid(df: DataFrame, p: Params, radius: float) -> DataFrame:
+def on_grid(df: DataFrame, p: Lanes, radius) -> DataFrame:
     """Every row once per grid it is searched in, at its own cell."""
-    _, height = _widths(p, radius)
     return (df.withColumn("g", F.explode(_choices(p, radius, "place")))
             .withColumns({"pair": F.col("g.pair"), "cx": _cell(F.col("X"), F.col("g.w")),
-                          "cy": _cell(F.col("Y"), F.col("g.w")), "cz": _cell(F.col("Z"), F.lit(height))})
+                          "cy": _cell(F.col("Y"), F.col("g.w")), "cz": _cell(F.col("Z"), _heights(p, radius))})
             .drop("g"))
 
 
-def around_grid(df: DataFrame, p: Params, radius: float) -> DataFrame:
+def around_grid(df: DataFrame, p: Lanes, radius) -> DataFrame:
     """Every row once per cell that its search box touches."""
-    _, height = _widths(p, radius)
 
     def span(c: str, width: Column) -> Column:
         half = width / 2
         return F.sequence(_cell(F.col(c).cast("double") - half, width), _cell(F.col(c).cast("double") + half, width))
 
     out = df.withColumn("g", F.explode(_choices(p, radius, "probe")))
-    for axis, name, width in (("X", "cx", F.col("g.w")), ("Y", "cy", F.col("g.w")), ("Z", "cz", F.lit(height))):
+    for axis, name, width in (("X", "cx", F.col("g.w")), ("Y", "cy", F.col("g.w")), ("Z", "cz", _heights(p, radius))):
         out = out.withColumn(name, F.explode(span(axis, width)))
     return out.withColumn("pair", F.col("g.pair")).drop("g")
 
 
-def range_join(ws: Workspace, probes: DataFrame, places: DataFrame, p: Params, radius: float,
+def range_join(ws: Workspace, probes: DataFrame, places: DataFrame, p: Params | Lanes, radius,
                hot_cell: int = HOT_CELL) -> DataFrame:
-    """Pairs of probe and place rows at most ``radius`` apart, with their distance ``d``; a probe also meets the place
+    """Pairs of probe and place rows at most ``radius`` (one, or one per lane) apart, with their distance ``d``; a probe also meets the place
     it lies on. ``probes`` need X, Y, Z, rel, sig; ``places`` the same plus any columns, all of which come out with
     a trailing 2. Nothing is collected or shuffled by pair: callers aggregate the pairs in the join's own stage.
 
     The work of a cell is probes x places, which adaptive execution cannot see in byte sizes. Cells holding more
     than ``hot_cell`` probes are therefore counted first; the probes of a cell are dealt out over as many salts as it
     takes, one for all thin cells, and its places are repeated once per salt."""
+    p = Lanes.of(p)
     probes = around_grid(probes, p, radius)
     places = on_grid(places, p, radius).select(
         EV, "side", "pair", "cx", "cy", "cz",
@@ -100,7 +93,7 @@ def range_join(ws: Workspace, probes: DataFrame, places: DataFrame, p: Params, r
               .withColumn("salt", F.pmod(F.xxhash64("X", "Y", "Z", "idx"), count).cast("int")).drop("salts"))
     places = (places.join(hot, GRID, "left")
               .withColumn("salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("salts"))
-    pairs = probes.join(places, keys).withColumn("d", distance(p)).filter(F.col("d") <= number(radius, p.f32))
+    pairs = probes.join(places, keys).withColumn("d", distance(p)).filter(F.col("d") <= p.number(radius))
     return pairs.drop("pair", "cx", "cy", "cz", "salt")
 
 

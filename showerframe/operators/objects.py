@@ -27,10 +27,12 @@ def member_level(level: str) -> str:
 
 
 def from_labels(labels: DataFrame, level: str) -> Objects:
-    """One object per non-negative label; the label itself is the object key. ``labels``: event_id, idx, label."""
+    """One object per non-negative label; the label itself is the object key. ``labels``: event_id, idx, label, and
+    ``setting`` if they are those of several settings."""
+    by = [c for c in ("setting",) if c in labels.columns]
     held = labels.filter(F.col("label") >= 0)
-    weights = held.select("event_id", F.col("label").alias("obj"), F.col("idx").alias("member"), F.lit(1.0).alias("w"))
-    return Objects(weights, weights.select("event_id", "obj").distinct(), member_level(level))
+    weights = held.select("event_id", *by, F.col("label").alias("obj"), F.col("idx").alias("member"), F.lit(1.0).alias("w"))
+    return Objects(weights, weights.select("event_id", *by, "obj").distinct(), member_level(level))
 
 
 def from_tracksters(trackster_lc: DataFrame, collection: str) -> Objects:

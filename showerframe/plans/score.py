@@ -40,14 +40,14 @@ class Truth:
         members = own.select(EV, F.col("rh" if level == "rh" else "lc").alias("member"))
         return ledger.dominant(self.ledger("rh" if level == "rh" else "lc"), members)
 
-    def evaluate(self, objs: objects.Objects, events: DataFrame | None = None) -> scoring.Scored:
+    def evaluate(self, objs: objects.Objects, events: DataFrame | None = None, settings: tuple = ()) -> scoring.Scored:
         return scoring.evaluate(self.ws, objs, self.ledger(objs.level), self.targets.targets,
-                                self.tables.event if events is None else events)
+                                self.tables.event if events is None else events, settings)
 
-    def score_labels(self, labels: DataFrame, level: str) -> scoring.Scored:
-        """``labels`` should be a stored or written table: their join with the ledger then starts from a shuffle on
+    def score_labels(self, labels: DataFrame, level: str, settings: tuple = ()) -> scoring.Scored:
+        """With the names of ``settings``, those of column ``setting`` of the labels. ``labels`` should be a stored or written table: their join with the ledger then starts from a shuffle on
         both sides, which adaptive execution can split at a hot member."""
-        return self.evaluate(objects.from_labels(labels, level))
+        return self.evaluate(objects.from_labels(labels, level), settings=settings)
 
     def score_collection(self, collection: str) -> scoring.Scored:
         """Only the events that store the collection count, with their targets; there may be none."""
@@ -64,17 +64,21 @@ def score(ws: Workspace, tables: EventTables, settings: list[dict], level: str =
           collection: str | None = None, truth: Truth | None = None) -> DataFrame:
     """Long summary (setting, metric, value): every setting clustered at ``level``, the ideal clustering at both
     levels as ideal_rh and ideal_lc, and a stored collection as stored:<name>. A later setting of the same name
-    replaces an earlier one."""
+    replaces an earlier one. All settings are clustered and scored in the jobs of one (``lanes``)."""
     truth = truth or Truth(ws, tables)
-    runs: dict[str, scoring.Scored] = {}
-    pts = points(tables, level)
-    for setting in settings:
+    named = {s.get("name", "setting"): Params.from_setting(s) for s in settings}
+    labels: dict[str, list[DataFrame]] = {"rh": [], "lc": []}
+    names: dict[str, list[str]] = {"rh": [], "lc": []}
+    if named:
         with ws.child() as tmp:
-            labels = ws.save(density.cluster(tmp, pts, Params.from_setting(setting)), "labels")
-        runs[setting.get("name", "setting")] = truth.score_labels(labels, level)
+            labels[objects.member_level(level)].append(ws.save(density.cluster_all(tmp, points(tables, level), named), "labels"))
+        names[objects.member_level(level)] += named
     for lv in ("rh", "lc"):
-        runs[f"ideal_{lv}"] = truth.score_labels(ws.save(truth.ideal_labels(lv), "labels"), lv)
+        if f"ideal_{lv}" in named:
+            raise ValueError(f"ideal_{lv} is the name of a reference, not of a setting")
+        labels[lv].append(ws.save(truth.ideal_labels(lv).withColumn("setting", F.lit(f"ideal_{lv}")), "labels"))
+        names[lv].append(f"ideal_{lv}")
+    runs = [truth.score_labels(reduce(lambda a, b: a.unionByName(b), labels[lv]), lv, tuple(names[lv])).sums() for lv in ("rh", "lc")]
     if collection:
-        runs[f"stored:{collection}"] = truth.score_collection(collection)
-    sums = reduce(DataFrame.unionByName, [r.sums().withColumn("setting", F.lit(n)) for n, r in runs.items()])
-    return summary.summary(sums, by=("setting",))
+        runs.append(truth.score_collection(collection).sums().withColumn("setting", F.lit(f"stored:{collection}")))
+    return summary.summary(reduce(DataFrame.unionByName, runs), by=("setting",))
