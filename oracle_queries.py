@@ -4,6 +4,9 @@ Every expression is written from the definitions, for an engine that runs on one
 aggregate, pair joins within an event where they use grid cells, and a fixed number of merging rounds."""
 from __future__ import annotations
 
+import functools
+import re
+
 NOISE = 2_000_000_000_000
 EMPTY = 3_000_000_000_000
 SUMS = ("k_num k_den k_floor e_num e_den f_c f_cn lost_other lost_none n_targets n_targets_obj n_obj pu_sig pu_den "
@@ -23,20 +26,17 @@ def render(select: str, *names: str) -> str:
     wanted, todo = set(), [select, *names]
     while todo:
         text = todo.pop()
-        if text in CTES:
-            text = CTES[text]
-        for name, sql in CTES.items():
-            if name not in wanted and _mentions(text, name):
-                wanted.add(name)
-                todo.append(sql)
+        new = _mentioned(CTES.get(text, text)) - wanted
+        wanted |= new
+        todo += [CTES[name] for name in new]
     head = ",\n".join(f"{n} AS ({s})" for n, s in CTES.items() if n in wanted)
     return f"WITH RECURSIVE {head}\n{select}"
 
 
-def _mentions(text: str, name: str) -> bool:
-    import re
-
-    return re.search(rf"(?<![\w.]){name}\b", text) is not None
+@functools.cache
+def _mentioned(text: str) -> frozenset[str]:
+    """Names of the expressions that a text mentions."""
+    return frozenset(re.findall(r"(?<![\w.])\w+", text)) & CTES.keys()
 
 
 # The sample
@@ -231,7 +231,7 @@ for _s, _k in (("c", "rh"), ("l", "lc"), ("s", "ts")):
 
 def merging_ctes(p: str, cells: str, bases: str, keys: str, rounds: int, use_pref: bool) -> None:
     """``rounds`` rounds of the merging of ``cells`` (event_id, keys, base, E) with ``bases`` (event_id, base, grp, pref).
-    Leaves {p}_m (members), {p}_o (objects) and {p}_it (rounds per event)."""
+    Fails if more rounds are needed. Leaves {p}_m (members), {p}_o (objects) and {p}_it (rounds per event)."""
     cte(f"{p}_m0", f"""SELECT b.event_id, b.base, b.base AS obj, grp, pref, coalesce(e.E, 0) AS Eb, false AS flag,
       -1 AS merged_at, -1::BIGINT AS partner FROM {bases} b
       LEFT JOIN (SELECT event_id, base, sum(E) AS E FROM {cells} GROUP BY ALL) e USING (event_id, base)""")
@@ -272,7 +272,10 @@ def merging_ctes(p: str, cells: str, bases: str, keys: str, rounds: int, use_pre
           FROM {m} m LEFT JOIN {p}_e{k} e ON e.event_id = m.event_id AND e.obj = m.obj
           LEFT JOIN {p}_y{k} y ON y.event_id = m.event_id AND y.obj = m.obj
           LEFT JOIN {p}_o{k} o ON o.event_id = m.event_id AND o.obj = e.nxt""")
-    cte(f"{p}_m", f"SELECT * FROM {p}_m{rounds}")
+    # an object that still has something to join would make the unrolled rounds too few: that is an error, not an answer
+    cte(f"{p}_more", f"SELECT count(nxt) AS n FROM {p}_e{rounds}")
+    cte(f"{p}_m", f"""SELECT * REPLACE (CASE WHEN (SELECT n FROM {p}_more) > 0 THEN error('more rounds are needed')
+      ELSE obj END AS obj) FROM {p}_m{rounds}""")
     cte(f"{p}_o", f"SELECT *, flag AS unreachable FROM {p}_o{rounds}")
     failing = " UNION ALL ".join(f"SELECT event_id, {k + 1} AS it FROM {p}_f{k}" for k in range(rounds))
     cte(f"{p}_it", f"SELECT event_id, coalesce(max(it), 0) AS n_iterations FROM q_event LEFT JOIN ({failing}) USING (event_id) GROUP BY ALL")
@@ -303,6 +306,10 @@ cte("i_lc", """SELECT event_id, lc AS idx, coalesce(target, -1) AS label FROM q_
 
 # Density clustering
 
+#: Settings of ``score_many_settings`` besides the default and the wide one: radii, thresholds and the size cut.
+MANY = (dict(dc=0.8), dict(dc=1.5), dict(rhoc=1.2), dict(outlier=2.0), dict(seeding=2.2, outlier=3.2), dict(minimum=3))
+
+
 def clustering_ctes(p: str, points: str, dc: float = 1.0, rhoc: float = 0.8, outlier: float = 2.8, seeding: float = 2.8,
                     minimum: int = 2) -> None:
     """Labels {p}_raw and {p}_final of ``points`` (event_id, idx, E, x, y, z, layer, side, det, tag, active)."""
@@ -358,6 +365,8 @@ cte("pts_rh", """SELECT event_id, rh AS idx, E, x, y, z, layer, CASE WHEN z > 0
 for _p, _t in (("ec", "e_pts"), ("kl", "pts_lc"), ("ka", "pts_lc_all"), ("kr", "pts_rh")):
     clustering_ctes(_p, _t)
 clustering_ctes("kw", "pts_lc", dc=1.5, outlier=4.0, seeding=3.5)
+for _k, _changes in enumerate(MANY):
+    clustering_ctes(f"km{_k}", "pts_lc", **_changes)
 
 # Partitions
 
@@ -392,7 +401,8 @@ compare_ctes("xf", "kl_final", "q_wide", "pts_lc")
 
 # Full scoring
 
-for _s, _lab, _cells in (("d", "kl_final", True), ("w", "kw_final", True), ("ir", "i_rh", False), ("il", "i_lc", True)):
+for _s, _lab, _cells in (("d", "kl_final", True), ("w", "kw_final", True), ("ir", "i_rh", False), ("il", "i_lc", True),
+                         *((f"m{_k}", f"km{_k}_final", True) for _k in range(len(MANY)))):
     if _cells:
         cte(f"w_{_s}", f"""SELECT a.event_id, label AS obj, rh, sum(frac) AS w FROM {_lab} a JOIN q_lch m
           ON m.event_id = a.event_id AND m.lc = a.idx WHERE label >= 0 GROUP BY ALL""")
@@ -535,6 +545,8 @@ def oracles() -> dict[str, str]:
           ELSE -1 END AS label FROM q_lab_lc""",
         "partition_compare": "SELECT * FROM xs_ev", "closure_agg": "SELECT * FROM xs_all",
         "closure_raw": "SELECT * FROM xr_all", "closure_final": "SELECT * FROM xf_all",
+        "score_many_settings": _settings({"default": "fd", "wide": "fw"} | {f"many{k}": f"fm{k}" for k in range(len(MANY))}
+                                         | {"ideal_rh": "fir", "ideal_lc": "fil"}),
         "score_settings": _settings({"default": "fd", "wide": "fw", "ideal_rh": "fir", "ideal_lc": "fil",
                                      "stored:main": "vs"}),
     }

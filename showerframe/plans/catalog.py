@@ -26,6 +26,7 @@ from showerframe.sources import derived, files, settings
 from showerframe.workspace import Workspace
 
 EV = "event_id"
+TWO = [{"name": "default"}, {"name": "wide", "dc": 1.5, "outlierDistance": 4.0, "seedingDistance": 3.5}]
 
 
 class Written:
@@ -608,10 +609,19 @@ def absent_collection(c):
     return summary.summary(scored.sums())
 
 
+@query
+def score_many_settings(c):
+    """Eight settings of a tuning round and both ideal references, in the jobs of one setting."""
+    many = [{"dc": 0.8}, {"dc": 1.5}, {"rhoc": 1.2}, {"outlierDistance": 2.0}, {"seedingDistance": 2.2, "outlierDistance": 3.2},
+            {"minNumLayerCluster": 3}]
+    listed = TWO + [{"name": f"many{k}", **changes} for k, changes in enumerate(many)]
+    return score(c.ws, c.stored, listed, "lc", truth=Truth(c.ws, c.stored, built=c.merged))
+
+
 @query
 def score_settings(c):
     """Two settings, both ideal references and the stored collection against merged targets."""
-    listed = [{"name": "default"}, {"name": "wide", "dc": 1.5, "outlierDistance": 4.0, "seedingDistance": 3.5}]
+    listed = TWO
     return score(c.ws, c.stored, listed, "lc", derived.MAIN, Truth(c.ws, c.stored, built=c.merged))
 
 
