@@ -24,7 +24,7 @@ from showerframe.llm.common import Slice, table
 TRAIN_PAGES = 200
 PATHS, WORDS = 512, 1024
 PATH_SIZE, WORD_SIZE, NUMBERS, HIDDEN = 12, 6, 4, 12
-BATCH = 64
+BATCH, CELLS = 64, 40_000
 EPOCHS, RATE = 16, 0.02
 #: Characters of html that are labelled together.
 PIECE_CHARS = 4_000_000
@@ -49,9 +49,10 @@ FOREIGN_WORDS = frozenset("ad ads adv advert advertisement advertising banner pr
                           "pagination tags copyright legal".split())
 ARTICLE_WORDS = frozenset("article content main post entry story body text".split())
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|select)\b.*?(?:</\1\s*>|\Z)",
-                  re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)")
+_RAW = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:svg|math)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+                  r"|<(script|style|noscript|template|iframe|svg|math|textarea|select)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# As in the standard, a quote opens a value only directly behind an equals sign; elsewhere it is a character of a name or value.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -283,8 +284,13 @@ def probabilities(model: dict, f: Features) -> np.ndarray:
     out = np.zeros(len(inputs))
     first = np.r_[0, np.cumsum(f.sizes)].astype(int)
     order = [p for p in sorted(range(len(f.sizes)), key=lambda p: f.sizes[p]) if f.sizes[p]]
-    for k in range(0, len(order), BATCH):
-        pages = order[k:k + BATCH]
+    k = 0
+    while k < len(order):
+        n = 1  # the longest page of a batch says how long all are: a long page is alone
+        while n < BATCH and k + n < len(order) and (n + 1) * f.sizes[order[k + n]] <= CELLS:
+            n += 1
+        pages = order[k:k + n]
+        k += n
         sizes = [f.sizes[p] for p in pages]
         x, mask, back, flip = _batch(np.concatenate([inputs[first[p]:first[p + 1]] for p in pages]), sizes)
         forward, _ = _lstm(x, mask, model["wf"], model["cf"], False)

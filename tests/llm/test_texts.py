@@ -284,3 +284,28 @@ def test_rule_precedence(spark):
     # of two rules of the same length the one with the longer host wins
     assert got == {1: ("b.com/x", "allow"), 2: ("b.com/x", "allow"), 3: ("b.com/x/y", "block"), 4: ("a.b.com", "allow"),
                    5: ("com/xy/", "block")}
+
+
+@pytest.mark.parametrize("page,texts", [
+    ("<article><p data-x=it's>hello world</p><p>two it's three</p><p>four</p></article>", ["hello world", "two it's three", "four"]),
+    ("<p title='a > b' class=x>one</p><p title=\"c > 'd'\">two</p>", ["one", "two"]),
+    ("<p>one</p><!-- gone --!><p>two</p><!--><p>three</p><!---><p>four</p>", ["one", "two", "three", "four"]),
+    ("<p>one</p><svg class='i' title='a>b'/><p>two</p><svg><text>gone</text></svg><p>three</p>", ["one", "two", "three"]),
+    ("<p class=\"open>one</p><p>two</p>", ["one", "two"]), ("<p a = 'x>y' b c=d/>one<p '>two", ["one", "two"]),
+    ("<script>if (a < b) '</p>'</script><p>5 < 6 &amp; 7</p>", ["5 < 6 & 7"]), (None, []), ("", []), ("<p " + "a= " * 3000, [])])
+def test_quotes_and_comments_lose_no_text(page, texts):
+    assert [b.text for b in html_text.blocks_of(page)] == texts
+
+
+def test_a_page_of_many_blocks_is_labelled_alone(spark):
+    """A page of 20,000 blocks among short ones: batches are cut by padded cells, so no array holds more than one long page."""
+    long = "<article>" + "".join(f"<p>w{i} and some words</p>" for i in range(20_000)) + "</article>"
+    pages = [html_text.blocks_of(p) for p in [long] + ["<article><p>short text of a page</p></article>"] * 70]
+    model = html_text.train(spark.createDataFrame([(1, "<article><p>one two</p></article><nav>x</nav>")] * 3, "page_id long, html string"))
+    seen = []
+    plain, html_text._batch = html_text._batch, lambda x, sizes: seen.append(len(sizes) * max(sizes)) or plain(x, sizes)
+    try:
+        assert len(html_text.probabilities(model, html_text.features(pages))) == 20_070
+    finally:
+        html_text._batch = plain
+    assert max(seen) == 20_000
