@@ -1,8 +1,8 @@
 """Connected components of an undirected graph by alternating large-star and small-star steps.
 
 Every step replaces edges by edges to smaller nodes and keeps the components; the loop ends when every node is linked
-with the smallest node of its component only. A step is one aggregate with map-side combine and one join, which adaptive
-execution can split at a hot node."""
+with the smallest node of its component only. A step is one aggregate with map-side combine, which is written, and one join
+with it: both sides of the join are then plain shuffles of written tables, so adaptive execution can split it at a hot node."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -15,16 +15,20 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(ws: Workspace, edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _smallest(both).select("u", F.least("u", "m").alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = ws.save(_smallest(both).select("u", F.least("u", "m").alias("m")), "low")
+    out = ws.save(both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    ws.release(low)
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = _smallest(edges)
+def _small_star(ws: Workspace, edges: DataFrame) -> DataFrame:
+    low = ws.save(_smallest(edges), "low")
     rest = edges.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(low.select("u", F.col("m").alias("v")))
+    out = ws.save(rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    ws.release(low, edges)
+    return out
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
@@ -38,7 +42,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         if print_of == before:
             break
         before = print_of
-        new = ws.save(_small_star(_large_star(star).distinct()).distinct(), "edges")
+        new = _small_star(ws, _large_star(ws, star))
         ws.release(star)
         star = new
     ends = star.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()

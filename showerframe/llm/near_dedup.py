@@ -215,14 +215,16 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     nodes = ws.save(named.groupBy("set_id").agg(F.min("key").alias("low"), F.first("n_shingles").alias("n"),
                                                 F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("set_id", F.explode("bands").alias("band"))
-    shared = (banded.groupBy("band").agg(F.min("set_id").alias("leader"), F.count("*").alias("size"))
-              .filter("size > 1").select("band", "leader"))
+    # aggregates that are joined back on their own key are written first, so that a hot key can be split
+    shared = ws.save(banded.groupBy("band").agg(F.min("set_id").alias("leader"), F.count("*").alias("size"))
+                     .filter("size > 1").select("band", "leader"), "shared")
     stars = banded.join(shared, "band").filter(F.col("set_id") != F.col("leader"))
     clusters = ws.save(components(ws, stars.select(F.col("set_id").alias("a"), F.col("leader").alias("b"))), "clusters")
     links = ws.save(_links(ws, source, nodes, clusters, width, num, den), "links")
     true = components(ws, links)
     classes = ws.save(true.join(nodes.select(F.col("set_id").alias("node"), "low"), "node"), "classes")
-    lows = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
+    ws.release(shared, clusters, links)
+    lows = ws.save(classes.groupBy("comp").agg(F.min("low").alias("component_id")), "lows")
     merged = classes.join(lows, "comp").select(F.col("node").alias("set_id"), "component_id")
     own = nodes.select("set_id", "low").join(merged, "set_id", "left").select(
         "set_id", F.coalesce("component_id", "low").alias("component_id"))
@@ -275,10 +277,12 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     classes = near_groups(numbered, key=row, text=text, width=width, num=num, den=den)
     own = numbered.select(row, F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.col(row).alias("c")).alias("o"))
     joined = ws.save(classes.filter(F.col("component_id").isNotNull()).join(own, row), "rows")
-    best = joined.groupBy("component_id").agg(F.count("*").alias("size"), F.min("o").alias("best")).filter("size > 1")
+    best = ws.save(joined.groupBy("component_id").agg(F.count("*").alias("size"), F.min("o").alias("best")).filter("size > 1"), "best")
     lost = joined.join(best, "component_id").filter(F.col("o") != F.col("best")).select(row)
     return numbered.join(lost, row, "left_anti").drop(row)
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Class of every document at 0.85 on three words. Null, empty and blank texts are alone; repeated rows are one class; a class
+    is named by its smallest id (``near_groups``)."""
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
