@@ -311,11 +311,15 @@ MANY = (dict(dc=0.8), dict(dc=1.5), dict(rhoc=1.2), dict(outlier=2.0), dict(seed
 
 
 def clustering_ctes(p: str, points: str, dc: float = 1.0, rhoc: float = 0.8, outlier: float = 2.8, seeding: float = 2.8,
-                    minimum: int = 2) -> None:
-    """Labels {p}_raw and {p}_final of ``points`` (event_id, idx, E, x, y, z, layer, side, det, tag, active)."""
+                    minimum: int = 2, kind: str = "FLOAT") -> None:
+    """Labels {p}_raw and {p}_final of ``points`` (event_id, idx, E, x, y, z, layer, side, det, tag, active), computed in numbers
+    of ``kind``."""
     def f(v) -> str:
         return f"{v}::FLOAT"
 
+    def cte(name: str, sql: str) -> None:
+        CTES[name] = sql.replace("::FLOAT", f"::{kind}")
+
     cte(f"{p}_a", f"""SELECT event_id, side, idx, tag, E::FLOAT AS E, x::FLOAT AS x, y::FLOAT AS y, {f(1)} / abs(z::FLOAT) AS inv,
       (CASE det WHEN 8 THEN 0.003 WHEN 9 THEN 0.006 ELSE 0.012 END)::FLOAT / {f(0.003)} AS rel,
       (layer - 1 + side * 47)::FLOAT AS zl, CASE WHEN side = 1 THEN {f(2)} * {f(max(dc, outlier))} ELSE {f(0)} END AS gap
@@ -365,6 +369,7 @@ cte("pts_rh", """SELECT event_id, rh AS idx, E, x, y, z, layer, CASE WHEN z > 0
 for _p, _t in (("ec", "e_pts"), ("kl", "pts_lc"), ("ka", "pts_lc_all"), ("kr", "pts_rh")):
     clustering_ctes(_p, _t)
 clustering_ctes("kw", "pts_lc", dc=1.5, outlier=4.0, seeding=3.5)
+clustering_ctes("ed", "e_pts", kind="DOUBLE")
 for _k, _changes in enumerate(MANY):
     clustering_ctes(f"km{_k}", "pts_lc", **_changes)
 
@@ -538,6 +543,7 @@ def oracles() -> dict[str, str]:
         "chain_root": "SELECT event_id, side, idx, root FROM ec_w",
         "cluster_labels": "SELECT event_id, idx, label FROM ec_raw",
         "cluster_labels_final": "SELECT event_id, idx, label FROM ec_final",
+        "cluster_labels_double": "SELECT event_id, idx, label FROM ed_final",
         "cluster_labels_lc": "SELECT event_id, idx, label FROM kl_final",
         "cluster_labels_lc_all": "SELECT event_id, idx, label FROM ka_final",
         "cluster_labels_rh": "SELECT event_id, idx, label FROM kr_final",

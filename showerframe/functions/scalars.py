@@ -1,6 +1,7 @@
 """Column expressions of the model. All of them stay inside whole-stage code generation."""
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,18 +21,25 @@ def number(value: float, f32: bool) -> Column:
     return real(F.lit(float(value)), f32)
 
 
-_UNIT = float(2**40)
+#: Energies are added in units of 2**-60, told in two whole numbers: above and below 2**-10.
+_COARSE, _FINE, MOST_ENERGY = 2**10, 2**50, float(2**43)
 
 
 def units(energy: Column) -> Column:
-    """Energy as a whole number of 2**-40, whose sums are exact in any order. Single-precision values from 2**-16 to 2**13
-    are kept to the last bit, smaller and larger ones to 2**-40 and to 17 digits."""
-    return F.round(energy.cast("double") * _UNIT).try_cast("decimal(28,0)")
+    """Energy as a whole number of 2**-60, whose sums are exact in any order. Double-precision values from 2**-8 and single-precision
+    ones from 2**-37 are kept to the last bit, smaller ones to 2**-60. Values that are no number or reach ``MOST_ENERGY`` are an
+    error rather than a gap in a sum; a null stays null."""
+    x = energy.cast("double") * float(_COARSE)
+    high = F.floor(x)
+    low = F.floor((x - high.cast("double")) * float(_FINE))
+    whole = (high.cast("decimal(16,0)") * F.lit(Decimal(_FINE)) + low.cast("decimal(16,0)")).cast("decimal(32,0)")
+    wrong = F.raise_error(F.concat(F.lit("not an energy that can be added: "), energy.cast("string"))).cast("decimal(32,0)")
+    return F.when(F.abs(energy.cast("double")) < MOST_ENERGY, whole).when(energy.isNotNull(), wrong)
 
 
 def exact(total: Column) -> Column:
     """A sum of ``units`` as a double, rounded once."""
-    return total.cast("double") / _UNIT
+    return total.cast("double") / float(_COARSE * _FINE)
 
 
 def by_detector(det: Column, values) -> Column:

@@ -548,6 +548,12 @@ def cluster_labels(c):
     return density.cluster(c.ws, derived.embedding_points(c.spark, c.sf_dir), drop_small=False)
 
 
+@query
+def cluster_labels_double(c):
+    """The same in double precision."""
+    return density.cluster(c.ws, derived.embedding_points(c.spark, c.sf_dir), DEFAULT.with_(f32=False))
+
+
 @query
 def cluster_labels_final(c):
     return density.cluster(c.ws, derived.embedding_points(c.spark, c.sf_dir))
