@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Fixed values of the data model.
@@ -69,6 +69,11 @@ class EventTables:
     def spark(self) -> SparkSession:
         return self.event.sparkSession
 
+    def filtered(self, condition: Column) -> "EventTables":
+        """The same sample restricted to the rows of every table that meet ``condition``."""
+        return EventTables(**{n: None if getattr(self, n) is None else getattr(self, n).filter(condition)
+                              for n in REQUIRED + OPTIONAL})
+
     def only_events(self, events: DataFrame) -> "EventTables":
         """The same sample restricted to the ``event_id`` values of ``events``."""
         keep = events.select("event_id")

@@ -1,6 +1,10 @@
 """Stored samples: long Parquet tables, and nested records with one row per event."""
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +24,17 @@ GROUPS = {
     "tra": ("rh", "at", "E"),
 }
 ASSIGNMENT = "clue_assignment"
+_COLLECTION = re.compile("collection=")
 BRANCHES = [f"{g}_{f}" for g, fields in GROUPS.items() for f in fields] + ["event"]
 INDEX = {"lc": "lc", "rh": "rh", "at": "atom", "un": "unit"}  # groups whose array position is the key
 RENAMED = {("tra", "at"): "atom"}
 
 # An event is an entry of a file: its id is made of the ordinals of folder, file and entry. The number that an event
-# carries may repeat from file to file and is kept as an attribute only.
-ENTRY_BITS, FILE_BITS = 32, 12
-FOLDER_STEP = 1 << (ENTRY_BITS + FILE_BITS)
+# carries may repeat from file to file and is kept as an attribute only. How many of the bits below FOLDER_BITS tell files
+# and how many tell entries follows from the records.
+FOLDER_BITS = 44
+FOLDER_STEP = 1 << FOLDER_BITS
+FILE_STEP = 4096  # file ordinals of one folder, or the next power of two that holds them
 
 
 def write_tables(tables: EventTables, path: str) -> None:
@@ -39,49 +46,141 @@ def write_tables(tables: EventTables, path: str) -> None:
             writer.parquet(f"{path}/{name}")
 
 
-def read_tables(spark: SparkSession, *paths: str) -> EventTables:
+def read_tables(spark: SparkSession, *paths: str, max_events: int = 0, start: int = 0) -> EventTables:
     """Sample stored by ``write_tables``; several folders make one sample, in the order given. The ids of each folder's
     events move to a range of its own, so events of different folders stay apart whatever ids they were stored with.
-    Optional tables are those that every folder has."""
-    fs_conf = spark._jsparkSession.sessionState().newHadoopConf()
-
-    def exists(path: str) -> bool:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(fs_conf).exists(p)
-
-    def one(name: str, ordinal: int, path: str) -> DataFrame:
-        df = spark.read.parquet(f"{path}/{name}")
-        if len(paths) == 1:
-            return df
-        fits = F.col(EV).between(0, FOLDER_STEP - 1)
-        moved = F.when(fits, F.col(EV) + ordinal * FOLDER_STEP).otherwise(
-            F.raise_error(F.lit(f"event ids of one folder have to lie below {FOLDER_STEP}")).cast("long"))
-        df = df.withColumn(EV, moved)
-        if name == "event":
-            file = F.col("file_ordinal") if "file_ordinal" in df.columns else F.lit(0)
-            df = df.withColumn("file_ordinal", (file + ordinal * (1 << FILE_BITS)).cast("long"))
-        return df
+    Optional tables are those that every folder has; columns are those of the first folder. A table is one scan, however
+    many folders there are (``trackster_lc``: one for each collection).
 
+    With ``max_events`` or ``start`` only that range of events is kept (``take_events``), and folders outside it are not
+    read."""
+    if len(paths) == 1:
+        return take_events(EventTables(**{n: spark.read.parquet(f"{paths[0]}/{n}") for n in REQUIRED + OPTIONAL
+                                          if n in REQUIRED or _subfolders(spark, f"{paths[0]}/{n}") is not None}), max_events, start)
+    listed = manifest(spark, *paths).collect()  # a row for each path of this call
+    step = max([FILE_STEP] + [1 << (r["files"] - 1).bit_length() for r in listed if r["files"] > 0])
+    stop = start + max_events if max_events else float("inf")
+    inside = sorted(((r["ordinal"], r["before"]) for r in listed if r["before"] < stop and r["before"] + r["events"] > start))
+    some = (inside or [(0, 0)]) if max_events or start else [(k, 0) for k in range(len(paths))]
+    kept, skipped = [(k, paths[k]) for k, _ in some], some[0][1]
     found = {}
     for name in REQUIRED + OPTIONAL:
-        if name in OPTIONAL and not all(exists(f"{p}/{name}") for p in paths):
+        parts = {k: _subfolders(spark, f"{path}/{name}") for k, path in enumerate(paths)} if name in OPTIONAL else {}
+        if None in parts.values():
             continue
-        df = one(name, 0, paths[0])
-        for k, path in enumerate(paths[1:], 1):
-            df = df.unionByName(one(name, k, path))
+        if name != "trackster_lc":
+            df = _moved(_scan(spark, [(k, f"{path}/{name}") for k, path in kept], f"{paths[0]}/{name}"), step)
+        else:
+            homes: dict[str, list] = {}
+            for k, path in kept:
+                for part in filter(_COLLECTION.match, parts[k]):
+                    homes.setdefault(part, []).append((k, f"{path}/{name}/{part}"))
+            stored = [_moved(_scan(spark, places, places[0][1]), step).withColumn("collection", F.lit(_unescaped(spark, part)))
+                      for part, places in sorted(homes.items())]
+            df = reduce(DataFrame.unionByName, stored or [spark.createDataFrame([], SCHEMAS[name])])
         found[name] = df
-    return EventTables(**found)
+    return take_events(EventTables(**found), max_events, start - skipped)
+
+
+def manifest(spark: SparkSession, *paths: str) -> DataFrame:
+    """(ordinal, folder, events, files, first_id, last_id, before) of every path, in one scan of the event tables: how many
+    events it stores, one more than its largest file ordinal, its range of stored ids, and the events of all paths before it."""
+    places = [(k, f"{path}/event") for k, path in enumerate(paths)]
+    rows = _scan(spark, places, places[0][1])
+    file = F.col("file_ordinal") if "file_ordinal" in rows.columns else F.lit(0)
+    found = rows.groupBy("_ordinal").agg(F.count("*").alias("events"), (F.max(file) + 1).alias("files"),
+                                         F.min(EV).alias("first_id"), F.max(EV).alias("last_id"))
+    named = _local(spark, _ordinal=list(range(len(paths))), folder=list(paths))
+    all_of = named.join(found, "_ordinal", "left").select(
+        F.col("_ordinal").alias("ordinal"), "folder", F.coalesce("events", F.lit(0)).alias("events"),
+        F.coalesce("files", F.lit(0)).cast("long").alias("files"), "first_id", "last_id")
+    return totals_before(all_of, [], "ordinal", "events", "before")
+
+
+def _scan(spark: SparkSession, places: list[tuple[int, str]], first: str) -> DataFrame:
+    """One scan of Parquet folders, each row with the ordinal of its folder as ``_ordinal``, found by the name of its file.
+    A folder listed twice gives its rows twice. The columns are those of ``first``."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+
+    def address(folder: str) -> str:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return p.getFileSystem(conf).makeQualified(p).toUri().toString().replace("file:///", "file:/", 1)
+
+    homes = [address(folder) for _, folder in places]
+    known = _local(spark, _home=homes, _ordinal=[k for k, _ in places])
+    path, file = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    home = F.substr(path, F.lit(1), F.length(path) - F.length(file) - 1)
+    home = F.when(home.startswith("file:///"), F.concat(F.lit("file:/"), F.substr(home, F.lit(9)))).otherwise(home)
+    rows = spark.read.schema(spark.read.parquet(first).schema).parquet(*dict(zip(homes, [f for _, f in places])).values())
+    columns = rows.columns
+    ordinal = F.coalesce("_ordinal", F.raise_error(F.concat(F.lit("no folder of this sample: "), F.col("_home"))).cast("long"))
+    return rows.select("*", home.alias("_home")).join(known, "_home", "left").select(*columns, ordinal.alias("_ordinal"))
+
+
+def _moved(rows: DataFrame, step: int) -> DataFrame:
+    """Rows of ``_scan`` with the event ids and file ordinals of each folder in a range of its own."""
+    fits = F.col(EV).between(0, FOLDER_STEP - 1)
+    moved = F.when(fits, F.col(EV) + F.col("_ordinal") * FOLDER_STEP).otherwise(
+        F.raise_error(F.lit(f"event ids of one folder have to lie below {FOLDER_STEP}")).cast("long"))
+    rows = rows.withColumn(EV, moved)
+    if "file_ordinal" in rows.columns:
+        rows = rows.withColumn("file_ordinal", (F.col("file_ordinal") + F.col("_ordinal") * step).cast("long"))
+    return rows.drop("_ordinal")
+
+
+def _local(spark: SparkSession, **columns: list) -> DataFrame:
+    """A table of the driver, whose size the planner knows: it is broadcast only below ``autoBroadcastJoinThreshold``."""
+    return spark.createDataFrame(pa.table(columns))
+
+
+def _subfolders(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in a folder, None if it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else None
+
+
+def _unescaped(spark: SparkSession, part: str) -> str:
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(part.split("=", 1)[1])
 
 
 def take_events(tables: EventTables, max_events: int = 0, start: int = 0) -> EventTables:
-    """Events ``start`` to ``start + max_events`` in file order; 0 keeps all. Only the roster is sorted."""
+    """Events ``start`` to ``start + max_events`` in file order (file ordinal, entry, id); 0 keeps all.
+
+    Files are counted first. Those wholly inside are taken as they are; only the first and the last file are sorted. Every
+    table is then read by a range of ids, which prunes files of stored tables; where that range holds other events too,
+    the chosen ones are joined."""
     if not max_events and not start:
         return tables
-    order = [c for c in ("file_ordinal", "entry", EV) if c in tables.event.columns]
-    chosen = tables.event.orderBy(*order)
-    if start:
-        chosen = chosen.offset(start)
-    return tables.only_events(chosen.limit(max_events) if max_events else chosen)
+    event = tables.event
+    file = F.col("file_ordinal") if "file_ordinal" in event.columns else F.lit(0)
+    event = event.withColumn("_file", F.coalesce(file, F.lit(0)).cast("long"))
+    order = [c for c in ("entry", EV) if c in event.columns]
+    counted = totals_before(event.groupBy("_file").agg(F.count("*").alias("n")), [], "_file", "n", "before")
+    touched = counted.filter(F.col("before") + F.col("n") > start)
+    if max_events:
+        touched = touched.filter(F.col("before") < start + max_events)
+    place = F.struct("_file", "before", "n")
+    ends = touched.agg(F.min(place).alias("first"), F.max(place).alias("last")).first()
+    first, last = ends["first"], ends["last"]
+    if first is None:
+        return tables.only_events(event.filter(F.lit(False)))
+    stop = start + max_events if max_events else last["before"] + last["n"]
+    head = event.filter(F.col("_file") == first["_file"]).orderBy(*order)
+    if start > first["before"]:
+        head = head.offset(start - first["before"])
+    if stop < first["before"] + first["n"]:
+        head = head.limit(stop - max(start, first["before"]))
+    chosen = head
+    if last["_file"] != first["_file"]:
+        tail = event.filter(F.col("_file") == last["_file"]).orderBy(*order)
+        if stop < last["before"] + last["n"]:
+            tail = tail.limit(stop - last["before"])
+        chosen = head.union(event.filter((F.col("_file") > first["_file"]) & (F.col("_file") < last["_file"]))).union(tail)
+    ids = chosen.agg(F.min(EV).alias("low"), F.max(EV).alias("high"), F.count("*").alias("n")).first()
+    within = F.col(EV).between(ids["low"], ids["high"])
+    ranged = tables.filtered(within)
+    return ranged if event.filter(within).count() == ids["n"] else ranged.only_events(chosen)
 
 
 def collections_of(record: DataFrame) -> list[str]:
@@ -94,18 +193,23 @@ def from_records(record: DataFrame, collections: list[str] | None = None) -> Eve
     names that are not stored are ignored.
 
     Records are told apart by ``file_ordinal`` and ``entry``; without the latter, by the event number. Two records with
-    the same pair are an error."""
+    the same pair are an error. Any number of files fits, as long as ordinals and entries together need 44 bits."""
     check_columns(record, BRANCHES, "event record")
     if "entry" not in record.columns:
         record = record.withColumn("entry", F.col("event").cast("long"))
     if "file_ordinal" not in record.columns:
         record = record.withColumn("file_ordinal", F.lit(0).cast("long"))
-    place = record.groupBy("file_ordinal", "entry").count().filter("count > 1").first()
-    if place:
-        raise ValueError(f"several records at file_ordinal {place[0]}, entry {place[1]}: give each its own entry")
-    fits = (F.col("entry").between(0, (1 << ENTRY_BITS) - 1) & F.col("file_ordinal").between(0, (1 << FILE_BITS) - 1))
-    record = record.withColumn(EV, F.when(fits, F.col("file_ordinal") * (1 << ENTRY_BITS) + F.col("entry")).otherwise(
-        F.raise_error(F.lit("file_ordinal or entry out of range")).cast("long")))
+    places = record.groupBy("file_ordinal", "entry").count()
+    seen = places.agg(*[f("file_ordinal").alias(f"file_{n}") for n, f in (("low", F.min), ("high", F.max))],
+                      *[f("entry").alias(f"entry_{n}") for n, f in (("low", F.min), ("high", F.max))],
+                      F.max_by(F.struct("file_ordinal", "entry", "count"), "count").alias("most"),
+                      F.count_if(F.col("file_ordinal").isNull() | F.col("entry").isNull()).alias("nulls")).first()
+    if seen["most"] and seen["most"]["count"] > 1:
+        raise ValueError(f"several records at file_ordinal {seen['most'][0]}, entry {seen['most'][1]}: give each its own entry")
+    bits = (seen["entry_high"] or 0).bit_length()
+    if seen["nulls"] or min(seen["file_low"] or 0, seen["entry_low"] or 0) < 0 or (seen["file_high"] or 0) >> (FOLDER_BITS - min(bits, FOLDER_BITS)):
+        raise ValueError(f"file_ordinal and entry must be known, not negative, and together no longer than {FOLDER_BITS} bits")
+    record = record.withColumn(EV, F.col("file_ordinal").cast("long") * (1 << bits) + F.col("entry").cast("long"))
     tables = {"event": record.select(EV, "file_ordinal", "entry", F.col("event").cast("long").alias("number"))}
     for group, fields in GROUPS.items():
         name = {"at": "atom"}.get(group, group)

@@ -123,6 +123,68 @@ def test_event_ranges_follow_file_order(spark, folder):
     assert [r[0] for r in later.event.select("event_id").collect()] == [12] and later.rh.count() == 4
 
 
+def test_many_folders_are_one_scan_per_table(spark, folder):
+    paths = [folder] * 40
+    t = files.read_tables(spark, *paths)
+    assert t.event.count() == t.event.select("event_id").distinct().count() == 80 and t.tra.count() == 40 * 8
+    for df in (t.tra, t.rh, t.assign):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == 1 and "Union" not in plan
+    assert t.trackster_lc.filter("collection = 'b'").count() == 40 * files.read_tables(spark, folder).trackster_lc.filter(
+        "collection = 'b'").count()
+    rows = {r["ordinal"]: r for r in files.manifest(spark, *paths).collect()}
+    assert len(rows) == 40 and (rows[7]["before"], rows[7]["events"], rows[7]["first_id"], rows[7]["last_id"]) == (14, 2, 11, 12)
+
+
+def test_ranges_read_only_their_folders(spark, folder, tmp_path):
+    other = str(tmp_path / "with space")
+    files.write_tables(files.from_records(records(spark, [record(3), record(4), record(5)])), other)
+    full = files.read_tables(spark, folder, other, folder)
+    order = [r[0] for r in full.event.orderBy("file_ordinal", "entry").collect()]
+    assert len(order) == 7 and order == sorted(order)
+    for start, n in ((0, 3), (1, 3), (2, 3), (4, 0), (6, 5), (9, 2)):
+        some = files.read_tables(spark, folder, other, folder, max_events=n, start=start)
+        want = order[start:start + n] if n else order[start:]
+        assert sorted(r[0] for r in some.event.select("event_id").collect()) == want
+        assert some.rh.select("event_id").distinct().count() == len(want)
+        same = files.take_events(full, n, start)
+        assert sorted(r[0] for r in same.event.select("event_id").collect()) == want
+    read = files.read_tables(spark, folder, other, folder, max_events=2, start=3).rh.inputFiles()
+    assert read and all("with%20space" in f for f in read)
+
+
+def test_event_ranges_of_ids_out_of_order(spark):
+    """Ids that do not follow the order of files: a range of ids is not enough."""
+    t = files.from_records(records(spark, [record(k) for k in range(6)]))
+    moved = F.col("event_id")
+    file, entry = (moved % 3).cast("long"), (moved * 5 % 6).cast("long")
+    t = type(t)(**{**t.__dict__, "event": t.event.withColumns({"file_ordinal": file, "entry": entry})})
+    order = sorted(range(6), key=lambda k: (k % 3, k * 5 % 6))
+    for start, n in ((0, 1), (0, 4), (1, 2), (1, 4), (5, 3), (3, 0)):
+        some = files.take_events(t, n, start)
+        want = sorted(order[start:start + n] if n else order[start:])
+        assert sorted(r[0] for r in some.event.select("event_id").collect()) == want
+        assert sorted(r[0] for r in some.rh.select("event_id").distinct().collect()) == want
+    plan = files.take_events(t, 2, 0).rh._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "event_id" in plan
+
+
+def test_more_files_than_twelve_bits_tell(spark):
+    rows = [{**record(7), "file_ordinal": k, "entry": e} for k, e in ((0, 0), (9_999, 3), (70_000, 2))]
+    t = files.from_records(records(spark, rows))
+    assert t.event.select("event_id").distinct().count() == 3 and t.tra.join(t.event, "event_id").count() == 12
+    for bad in ((-1, 0), (1 << 40, 1 << 30)):
+        with pytest.raises(ValueError, match="44 bits"):
+            files.from_records(records(spark, [{**record(7), "file_ordinal": bad[0], "entry": bad[1]}]))
+
+
+def test_file_ordinals_of_large_folders_stay_apart(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    files.write_tables(files.from_records(records(spark, [{**record(7), "file_ordinal": k, "entry": 0} for k in (0, 4_096)])), path)
+    both = files.read_tables(spark, path, path)
+    assert [r[0] for r in both.event.orderBy("event_id").select("file_ordinal").collect()] == [0, 4_096, 8_192, 12_288]
+
+
 def test_settings_files(tmp_path):
     path = tmp_path / "s.json"
     path.write_text(json.dumps([{"name": "a", "dc": 2.0, "sigmaT": [1, 2, 3]}, {}]))
