@@ -527,6 +527,7 @@ def oracles() -> dict[str, str]:
         "sums_counters": "SELECT sum(n_noise_obj)::BIGINT AS n_noise_obj, sum(events)::BIGINT AS events FROM gc_sums",
         "evaluate_sums": f"SELECT event_id, cls, ebin, {sums} FROM gc_sums",
         "combine_sums": f"SELECT cls, ebin, {totals} FROM gc_sums GROUP BY cls, ebin",
+        "stored_sums": f"SELECT cls, ebin, {totals} FROM gc_sums GROUP BY cls, ebin",
         "summary_metrics": metric_sql("gc_sums"),
         "mean_over_samples": f"""SELECT metric, CASE WHEN metric = 'events' THEN sum(value)
             WHEN count(*) FILTER (NOT isnan(value)) > 0 THEN sum(value ORDER BY sample) FILTER (NOT isnan(value)) / count(*) FILTER (NOT isnan(value))

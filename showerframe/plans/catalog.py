@@ -15,6 +15,7 @@ from showerframe.functions.scalars import share_weight
 from showerframe.operators import closure, density, ledger, merging, objects, scoring, summary, targets
 from showerframe.operators.chains import components
 from showerframe.operators.neighbours import pairs
+from showerframe.operators.partials import PartialSums
 from showerframe.operators.points import coordinates, points
 from showerframe.params import DEFAULT
 from showerframe.plans import closure as closure_plan
@@ -485,6 +486,16 @@ def combine_sums(c):
         "cls", "ebin", *SUM_KEYS)
 
 
+@query
+def stored_sums(c):
+    """The same total from stored sums of three samples, the first of them added twice."""
+    sums = c.ws.save(c.scored.sums(by_event=True), "sums")
+    kept = PartialSums(c.spark, f"{c.ws.path}/partials")
+    for k in (0, 1, 2, 0):
+        kept.add(f"sample {k}", "1", lambda k=k: scoring.combine(sums.filter(F.col(EV) % 3 == k)))
+    return kept.total()
+
+
 @query
 def summary_metrics(c):
     return summary.summary(c.scored.sums())

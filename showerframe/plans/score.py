@@ -65,6 +65,12 @@ def score(ws: Workspace, tables: EventTables, settings: list[dict], level: str =
     """Long summary (setting, metric, value): every setting clustered at ``level``, the ideal clustering at both
     levels as ideal_rh and ideal_lc, and a stored collection as stored:<name>. A later setting of the same name
     replaces an earlier one. All settings are clustered and scored in the jobs of one (``lanes``)."""
+    return summary.summary(score_sums(ws, tables, settings, level, collection, truth), by=("setting",))
+
+
+def score_sums(ws: Workspace, tables: EventTables, settings: list[dict], level: str = "lc",
+               collection: str | None = None, truth: Truth | None = None) -> DataFrame:
+    """(setting, cls, ebin, sums) of which ``score`` is the summary."""
     truth = truth or Truth(ws, tables)
     named = {s.get("name", "setting"): Params.from_setting(s) for s in settings}
     labels: dict[str, list[DataFrame]] = {"rh": [], "lc": []}
@@ -81,4 +87,4 @@ def score(ws: Workspace, tables: EventTables, settings: list[dict], level: str =
     runs = [truth.score_labels(reduce(lambda a, b: a.unionByName(b), labels[lv]), lv, tuple(names[lv])).sums() for lv in ("rh", "lc")]
     if collection:
         runs.append(truth.score_collection(collection).sums().withColumn("setting", F.lit(f"stored:{collection}")))
-    return summary.summary(reduce(DataFrame.unionByName, runs), by=("setting",))
+    return reduce(DataFrame.unionByName, runs)

@@ -1,6 +1,7 @@
 """Stored samples: long Parquet tables, and nested records with one row per event."""
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
@@ -100,13 +101,7 @@ def manifest(spark: SparkSession, *paths: str) -> DataFrame:
 def _scan(spark: SparkSession, places: list[tuple[int, str]], first: str) -> DataFrame:
     """One scan of Parquet folders, each row with the ordinal of its folder as ``_ordinal``, found by the name of its file.
     A folder listed twice gives its rows twice. The columns are those of ``first``."""
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-
-    def address(folder: str) -> str:
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        return p.getFileSystem(conf).makeQualified(p).toUri().toString().replace("file:///", "file:/", 1)
-
-    homes = [address(folder) for _, folder in places]
+    homes = [_uri(spark, folder) for _, folder in places]
     known = _local(spark, _home=homes, _ordinal=[k for k, _ in places])
     path, file = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     home = F.substr(path, F.lit(1), F.length(path) - F.length(file) - 1)
@@ -117,6 +112,32 @@ def _scan(spark: SparkSession, places: list[tuple[int, str]], first: str) -> Dat
     return rows.select("*", home.alias("_home")).join(known, "_home", "left").select(*columns, ordinal.alias("_ordinal"))
 
 
+def _full(spark: SparkSession, folder: str):
+    """(file system, full path) of a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs, fs.makeQualified(p)
+
+
+def _uri(spark: SparkSession, folder: str) -> str:
+    return _full(spark, folder)[1].toUri().toString().replace("file:///", "file:/", 1)
+
+
+def address(spark: SparkSession, folder: str) -> str:
+    """One name for each folder, however it was written."""
+    return _full(spark, folder)[1].toString()
+
+
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Changes with any file of a folder: names, lengths and times of its files."""
+    fs, p = _full(spark, folder)
+    found, listed = [], fs.listFiles(p, True)
+    while listed.hasNext():
+        f = listed.next()
+        found.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def _moved(rows: DataFrame, step: int) -> DataFrame:
     """Rows of ``_scan`` with the event ids and file ordinals of each folder in a range of its own."""
     fits = F.col(EV).between(0, FOLDER_STEP - 1)

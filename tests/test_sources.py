@@ -242,3 +242,52 @@ def test_workspace_folder_and_cleanup(spark, tmp_path):
         ws.release(a)
         assert not list((tmp_path / "shared").glob("*/0001-a"))
     assert not list((tmp_path / "shared").iterdir())
+
+
+def test_new_folders_alone_are_scored(spark, folder, tmp_path, ws, monkeypatch):
+    from showerframe.plans import increments
+    from showerframe.plans.score import score
+
+    other, state = str(tmp_path / "other"), str(tmp_path / "state")
+    files.write_tables(files.from_records(records(spark, [record(3)])), other)
+    seen = []
+    read = files.read_tables
+    monkeypatch.setattr(increments.files, "read_tables", lambda spark, *paths: seen.append(paths) or read(spark, *paths))
+    conf = [{"name": "near"}]
+
+    def values(df):
+        return {(r["setting"], r["metric"]): r["value"] for r in df.collect()}
+
+    first, done = increments.score_folders(spark, state, [folder], conf, collection="b")
+    first = values(first)
+    assert len(done) == 1 and first[("near", "events")] == 2
+    again, done = increments.score_folders(spark, state, [folder, f"{folder}/"], conf, collection="b")
+    assert not done and values(again) == pytest.approx(first, nan_ok=True)
+    both, done = increments.score_folders(spark, state, [folder, other], conf, collection="b")
+    assert [d.rsplit("/", 1)[1] for d in done] == ["other"] and len(seen) == 2
+    whole = values(score(ws, read(spark, folder, other), conf, collection="b"))
+    assert whole[("near", "events")] == 3 and values(both) == pytest.approx(whole, nan_ok=True)
+
+
+def test_stored_sums_survive_interruption_and_change(spark, tmp_path):
+    from showerframe.operators.partials import PartialSums
+    from showerframe.schema import SUM_KEYS
+
+    kept = PartialSums(spark, str(tmp_path / "s"))
+    assert kept.total() is None and kept.samples() == []
+
+    def sums(n):
+        return lambda: spark.range(1).select(F.lit(0).alias("cls"), F.lit(0).alias("ebin"), *[F.lit(float(n)).alias(k) for k in SUM_KEYS])
+
+    def total():
+        return kept.total().first()["events"]
+
+    assert kept.add("a", "1", sums(1)) and kept.add("b", "1", sums(10)) and not kept.add("b", "1", sums(99))
+    assert total() == 11 and kept.samples() == ["a", "b"]
+    assert kept.add("a", "2", sums(2)) and total() == 12  # a changed sample takes the place of its former self
+    done = list((tmp_path / "s").glob("*/*/*/_SUCCESS"))
+    done[0].unlink()
+    assert total() in (2, 10) and len(kept.samples()) == 1  # what was not written to the end does not count
+    assert kept.add("a", "2", sums(2)) != kept.add("b", "1", sums(10)) and total() == 12
+    other = PartialSums(spark, str(tmp_path / "s"), "something else")
+    assert other.total() is None and other.add("a", "2", sums(5)) and total() == 12
