@@ -110,16 +110,16 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def _cut_text(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copied, lows, highs = (batch.column(c).to_pylist() for c in ("copied", "lows", "highs"))
-            texts, sizes = [], []
-            for piece in slices(batch.column("text")):
+            copied, lows, highs = (batch.column(c) for c in ("copied", "lows", "highs"))
+            for piece in slices(batch.column("text")):  # what comes out is no larger than a slice either
+                texts, sizes = [], []
                 for i in range(len(piece)):
                     k = piece.first + i
                     data = piece.text(i)
-                    if copied[k] and (len(data) >= RULE.length or len(data.split()) > WORDS and rule.length < RULE.length):
+                    if copied[k].as_py() and (len(data) >= RULE.length or len(data.split()) > WORDS and rule.length < RULE.length):
                         spans = [(0, len(data))]
-                    elif lows[k]:
-                        found = long_runs(rule, data, lows[k], highs[k])
+                    elif low := lows[k].as_py():
+                        found = long_runs(rule, data, low, highs[k].as_py())
                         spans = repeats.whole_characters(data, repeats.merged(rule, *zip(*found))) if found else []
                     else:
                         spans = []
@@ -130,28 +130,31 @@ def _cut_text(rule: Rule):
                     else:
                         texts.append(None)
                         sizes.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())],
-                                             ["row", "new_text", "new_size"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").slice(piece.first, len(piece)), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())],
+                    ["row", "new_text", "new_size"])
     return run
 
 
 def _reported(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copied, lows, highs = (batch.column(c).to_pylist() for c in ("copied", "lows", "highs"))
-            out: dict[str, list] = {c: [] for c in ("n", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for piece in slices(batch.column("text")):
+            copied, lows, highs = (batch.column(c) for c in ("copied", "lows", "highs"))
+            for piece in slices(batch.column("text")):  # what comes out is no larger than a slice either
+                out: dict[str, list] = {c: [] for c in ("n", "n_removed", "n_spans", "kept_sha256", "kept")}
                 for i in range(len(piece)):
                     k, data = piece.first + i, piece.text(i)
-                    if copied[k] and len(data) >= rule.length:
+                    low = lows[k].as_py()
+                    if copied[k].as_py() and len(data) >= rule.length:
                         spans = [(0, len(data))]
                     else:
-                        spans = repeats.merged(rule, lows[k], highs[k]) if lows[k] else []
+                        spans = repeats.merged(rule, low, highs[k].as_py()) if low else []
                     left, gone = repeats.kept_bytes(rule, piece, i, spans)
                     shown = repeats.kept_bytes(rule, piece, i, repeats.whole_characters(data, spans))[0] if spans else data
                     for c, value in zip(out, (len(data), gone, len(spans), hashlib.sha256(left).hexdigest(), shown.decode("utf-8", "replace"))):
                         out[c].append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(v) for v in out.values())], ["key", *out])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(piece.first, len(piece)), *(pa.array(v) for v in out.values())],
+                                                 ["key", *out])
     return run
 
 

@@ -140,3 +140,24 @@ def test_removal_keeps_rows_columns_and_characters(spark, edge, empty):
     shared = "é" * 300  # a repeat that starts inside a character leaves the character
     cut = spark.createDataFrame([(1, "é" + shared + "a"), (2, "\u0129" + shared + "b")], "doc_id long, text string")
     assert {r.text for r in suffix_array.remove_repeats(cut).collect()} <= {"éa", "a", "\u0129b", "ééa"}
+
+
+def test_reported_texts_leave_in_slices():
+    """A batch of many texts comes back in parts of about a slice, in order, not as one batch of all that is kept."""
+    import pyarrow as pa
+
+    from showerframe.llm.common import SLICE_BYTES
+    from showerframe.llm.suffix_array import RULE, _cut_text, _reported
+
+    texts = [f"{k} " * 30_000 for k in range(40)]
+    rows = pa.RecordBatch.from_pydict({
+        "key": pa.array(range(40), pa.int64()), "row": pa.array([{"doc_id": k} for k in range(40)]), "text": texts,
+        "copied": [k == 7 for k in range(40)], "lows": pa.array([[0] if k == 3 else None for k in range(40)], pa.list_(pa.int64())),
+        "highs": pa.array([[10] if k == 3 else None for k in range(40)], pa.list_(pa.int64()))})
+    for run, column in ((_reported(RULE), "kept"), (_cut_text(RULE), "new_text")):
+        out = list(run(iter([rows])))
+        assert max(b.nbytes for b in out) < 2 * SLICE_BYTES + max(map(len, texts))
+        keys = [k for b in out for k in (b.column("key").to_pylist() if column == "kept" else [r["doc_id"] for r in b.column("row").to_pylist()])]
+        kept = [t for b in out for t in b.column(column).to_pylist()]
+        assert keys == list(range(40)) and kept[7] == "" and kept[3] == texts[3][10 + RULE.length:]
+        assert kept[0] == (texts[0] if column == "kept" else None)
