@@ -26,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showerframe.llm.common import Slice, byte_symbols, mix64, prefix_hash, ranges_hash, scratch, slices, sum_prefix, sums_hash
+from showerframe.llm.common import (Slice, byte_symbols, mix64, prefix_hash, ranges_hash, scratch, slices, small_batches, sum_prefix,
+                                    sums_hash)
 from showerframe.workspace import Workspace
 
 #: Members of a core that are compared in one group; larger cores are counted window by window.
@@ -263,6 +264,7 @@ class Found:
 
 def find(ws: Workspace, rule: Rule, resolver: Resolver, docs: DataFrame) -> Found:
     """Repeated windows of ``docs`` (key, text)."""
+    small_batches(ws.spark)
     # rows without a key still need a value to be told apart by
     docs = docs.select(F.coalesce("key", F.lit(-2**63)).alias("key"), "text")
     scanned = ws.save(docs.mapInArrow(_scan(rule), _SCAN), "scanned")

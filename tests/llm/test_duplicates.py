@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from showerframe.llm import near_dedup, repeats, suffix_array, suffix_tree
+from showerframe.llm.common import BATCH_BYTES
 from showerframe.llm.graph import components
 
 from . import brute
@@ -161,3 +162,20 @@ def test_reported_texts_leave_in_slices():
         kept = [t for b in out for t in b.column(column).to_pylist()]
         assert keys == list(range(40)) and kept[7] == "" and kept[3] == texts[3][10 + RULE.length:]
         assert kept[0] == (texts[0] if column == "kept" else None)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """The search bounds what reaches a worker at once; 10,000 rows of a few KB were one batch of 40 MB."""
+    own = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        frame = spark.range(6000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 500) AS text").coalesce(1)
+        suffix_array.report(frame.limit(1)).collect()
+
+        def sizes(batches):
+            import pyarrow as pa
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+        assert max(r.n for r in frame.mapInArrow(sizes, "n long").collect()) < 1.1 * BATCH_BYTES
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch") if own is None else spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", own)
