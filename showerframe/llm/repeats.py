@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from showerframe.llm.common import (Slice, byte_symbols, mix64, prefix_hash, ranges_hash, scratch, slices, small_batches, sum_prefix,
@@ -40,11 +40,17 @@ NAME = 16
 
 @dataclass(frozen=True)
 class Rule:
-    """``length`` symbols a window; ``cover`` must be a power of two; a gram has ``gram`` symbols."""
+    """``length`` symbols a window; ``cover`` must be a power of two; a gram has ``gram`` symbols. ``longer`` is the length of
+    further windows that are looked for in the same search; a longer window is sampled where the short one at its start is."""
     words: bool
     length: int
     cover: int
     gram: int
+    longer: int | None = None
+
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        return (self.length,) if self.longer is None else (self.length, self.longer)
 
     @property
     def core(self) -> int:
@@ -156,9 +162,9 @@ def named(rule: Rule, docs: DataFrame) -> DataFrame:
 
 
 def window_hashes(rule: Rule, left: list[bytes], right: list[bytes], low: np.ndarray, high: np.ndarray,
-                  core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every window of the members: member, offset of the core in the window, hash. A member's windows hold the core
-    at the offsets low..high; its left context ends, its right context begins at the core."""
+                  core: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every window of ``length`` of the members: member, offset of the core in the window, hash. A member's windows hold
+    the core at the offsets low..high; its left context ends, its right context begins at the core."""
     size = 8 if rule.words else 1
     text = np.frombuffer(b"".join(x for pair in zip(left, right) for x in pair), np.uint64 if rule.words else np.uint8)
     symbols = text if rule.words else byte_symbols(text)
@@ -166,12 +172,13 @@ def window_hashes(rule: Rule, left: list[bytes], right: list[bytes], low: np.nda
     n_left = np.array([len(x) for x in left], np.int64) // size
     n_right = np.array([len(x) for x in right], np.int64) // size
     middle = np.cumsum(n_left + n_right) - n_right  # where a member's right context starts
-    count = high - low + 1
+    low = np.maximum(low, length - rule.core - n_right)  # the text may end before a longer window does
+    count = np.maximum(high - low + 1, 0)
     member = np.repeat(np.arange(len(low)), count)
     offset = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count) + low[member]
     at = middle[member]
     before = ranges_hash(prefix, at - offset, at)
-    after = ranges_hash(prefix, at, at + (rule.length - rule.core - offset))
+    after = ranges_hash(prefix, at, at + (length - rule.core - offset))
     return member, offset, mix64(before * np.uint64(0xD1342543DE82EF95) + mix64(after + mix64(core[member])))
 
 
@@ -195,8 +202,9 @@ def _contexts(rule: Rule):
                 raw = symbols if rule.words else piece.data
                 base = first[text] + at
                 left = [raw[b - h:b].tobytes() for b, h in zip(base.tolist(), high.tolist())]
-                reach = rule.length - rule.core - low
-                right = [raw[b:b + r].tobytes() for b, r in zip((base + rule.core).tolist(), reach.tolist())]
+                behind = base + rule.core
+                ends = np.minimum(behind + (rule.lengths[-1] - rule.core - low), first[text + 1])
+                right = [raw[b:e].tobytes() for b, e in zip(behind.tolist(), ends.tolist())]
                 node = np.asarray(batch.column("node").to_numpy(zero_copy_only=False))[piece.first + text]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node), pa.array(found.core[wanted].view(np.int64)), pa.array(at), pa.array(low, pa.int32()),
@@ -226,36 +234,40 @@ def runs(node: np.ndarray, start: np.ndarray) -> pa.Table:
     return pa.table({"node": node[first], "low": start[first], "high": start[last]})
 
 
-Resolver = Callable[[Rule, np.ndarray, np.ndarray, np.ndarray, list, list], tuple[np.ndarray, np.ndarray]]
+Resolver = Callable[[Rule, np.ndarray, np.ndarray, np.ndarray, list, list], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def _resolve(rule: Rule, resolver: Resolver):
-    """A group of cores with all their members: the runs of repeated windows."""
+    """A group of cores with all their members: the runs of repeated windows of each length."""
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         node, core, at, low, high, left, right = _columns(group)
-        member, offset = resolver(rule, core, low, high, left, right)
-        return runs(node[member], at[member] - offset)
+        found = []
+        for length, (member, offset) in zip(rule.lengths, resolver(rule, core, low, high, left, right)):
+            some = runs(node[member], at[member] - offset)
+            found.append(some.append_column("length", pa.array(np.full(len(some), length, np.int32))))
+        return pa.concat_tables(found)
     return run
 
 
 def _spelled(rule: Rule):
-    """Members of crowded cores to one row a window: (node, start, hash)."""
+    """Members of crowded cores to one row a window: (node, start, length, hash)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, core, at, low, high, left, right = _columns(batch)
             for i in range(0, len(node), 5000):
                 cut = slice(i, i + 5000)
-                member, offset, code = window_hashes(rule, left[cut], right[cut], low[cut], high[cut], core[cut])
-                yield pa.RecordBatch.from_pydict({"node": node[cut][member], "start": at[cut][member] - offset,
-                                                  "code": code.view(np.int64)})
+                for length in rule.lengths:
+                    member, offset, code = window_hashes(rule, left[cut], right[cut], low[cut], high[cut], core[cut], length)
+                    yield pa.RecordBatch.from_pydict({"node": node[cut][member], "start": at[cut][member] - offset, "length":
+                                                      np.full(len(member), length, np.int32), "code": code.view(np.int64)})
     return run
 
 
 @dataclass
 class Found:
-    """Written tables. ``scanned``: key, name, n, sha of every row. ``nodes``: name, copies, node. ``runs``: node, low, high of repeated
-    windows. ``texts``: node, name, text of the nodes that have candidates."""
+    """Written tables. ``scanned``: key, name, n, sha of every row. ``nodes``: name, copies, node. ``runs``: node, low, high, length of
+    repeated windows. ``texts``: node, name, text of the nodes that have candidates."""
     scanned: DataFrame
     nodes: DataFrame
     runs: DataFrame
@@ -286,29 +298,37 @@ def find(ws: Workspace, rule: Rule, resolver: Resolver, docs: DataFrame) -> Foun
     groups = int(total // GROUP) + 1
     members = ws.save(texts.mapInArrow(_contexts(rule), _CONTEXT), "members")
     thin = (members.filter("not crowded").withColumn("task", F.pmod(F.xxhash64("core"), F.lit(groups)))
-            .groupBy("task").applyInArrow(_resolve(rule, resolver), "node long, low long, high long"))
-    spelled = members.filter("crowded").mapInArrow(_spelled(rule), "node long, start long, code long")
+            .groupBy("task").applyInArrow(_resolve(rule, resolver), "node long, low long, high long, length int"))
+    spelled = members.filter("crowded").mapInArrow(_spelled(rule), "node long, start long, length int, code long")
     # written, so that both sides of the join are plain shuffles and a window with very many starts can be split
-    again = ws.save(spelled.groupBy("code").agg(F.count("*").alias("c")).filter("c > 1").select("code"), "again")
-    thick = spelled.join(again, "code").select("node", F.col("start").alias("low"), F.col("start").alias("high"))
+    again = ws.save(spelled.groupBy("code", "length").agg(F.count("*").alias("c")).filter("c > 1").select("code", "length"), "again")
+    thick = spelled.join(again, ["code", "length"]).select("node", F.col("start").alias("low"), F.col("start").alias("high"), "length")
     found = ws.save(thin.unionByName(thick), "runs")
     ws.release(members, again)
     return Found(scanned, nodes, found, texts)
 
 
 def spans_by_name(ws: Workspace, rule: Rule, resolver: Resolver, docs: DataFrame) -> DataFrame:
-    """(name, copied, lows, highs), written: the texts of ``docs`` (key, text) that occur several times or have repeated windows."""
+    """(name, copied, lows, highs), written: the texts of ``docs`` (key, text) that occur several times or have repeated windows.
+    With windows of two lengths also ``low_longs`` and ``high_longs``."""
     found = find(ws, rule, resolver, docs)
     copied = F.col("copies") > 1
-    out = ws.save(found.nodes.join(spans_of(found), "node", "left").filter(copied | F.col("lows").isNotNull())
-                  .select("name", copied.alias("copied"), "lows", "highs"), "special")
+    spans = spans_of(found, *rule.lengths)
+    out = ws.save(found.nodes.join(spans, "node", "left").filter(copied | F.col("lows").isNotNull())
+                  .select("name", copied.alias("copied"), *[c for c in spans.columns if c != "node"]), "special")
     ws.release(found.scanned, found.nodes, found.runs, found.texts)
     return out
 
 
-def spans_of(found: Found) -> DataFrame:
-    """(node, lows, highs): the runs of repeated windows of every node that has some."""
-    return found.runs.groupBy("node").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+def spans_of(found: Found, length: int, longer: int | None = None) -> DataFrame:
+    """(node, lows, highs): the runs of repeated windows of ``length`` of every node that has some; with ``longer`` also
+    (low_longs, high_longs). A longer window that repeats holds shorter ones that do."""
+    def runs_of(c: str, size: int) -> Column:
+        return F.collect_list(F.when(F.col("length") == size, F.col(c)))
+    columns = [runs_of("low", length).alias("lows"), runs_of("high", length).alias("highs")]
+    if longer is not None:
+        columns += [runs_of("low", longer).alias("low_longs"), runs_of("high", longer).alias("high_longs")]
+    return found.runs.groupBy("node").agg(*columns)
 
 
 def merged(rule: Rule, lows, highs) -> list[tuple[int, int]]:
@@ -354,7 +374,7 @@ def report(rule: Rule, resolver: Resolver, docs: DataFrame, key: str, text: str)
     ws = scratch(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     found = find(ws, rule, resolver, source)
-    cut = ws.save(found.texts.select("node", "text").join(spans_of(found), "node").mapInArrow(
+    cut = ws.save(found.texts.select("node", "text").join(spans_of(found, rule.length), "node").mapInArrow(
         _cut(rule), "node long, n_removed long, n_spans long, sha string"), "cut")
     ws.release(found.texts, found.runs)
     cut = cut.withColumnRenamed("sha", "cut_sha")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,12 @@ from showerframe.llm.common import byte_symbols, mix64, prefix_hash, ranges_hash
 from showerframe.llm.repeats import Rule
 
 RULE = Rule(words=False, length=400, cover=128, gram=24)
+#: The same, and strings of 200 bytes, which passages of over WORDS words have unless their words are very short.
+BOTH = Rule(words=False, length=200, cover=128, gram=24, longer=RULE.length)
 #: Finds every passage of over WORDS words: with the blanks between, 51 words of one letter have 101 bytes.
 PASSAGES, WORDS = Rule(words=False, length=100, cover=64, gram=16), 50
+#: Suffixes that are compared with their neighbours at once.
+ROWS = 4_096
 
 
 def order_of(core: np.ndarray, right: list[bytes], unit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,31 +35,40 @@ def order_of(core: np.ndarray, right: list[bytes], unit: int) -> tuple[np.ndarra
     order = np.array(sorted(range(len(names)), key=lambda i: (names[i], right[i])), np.int64)
     width = max((len(x) for x in right), default=0)
     size = np.array([len(right[i]) for i in order], np.int64)
-    flat = np.zeros((len(order), width + 1), np.uint8)
-    if width:
-        inside = np.arange(width + 1) < size[:, None]
-        flat[inside] = np.frombuffer(b"".join(right[i] for i in order), np.uint8)
     common = np.full(len(order), -1, np.int64)
-    if len(order) > 1:
+    for first in range(0, len(order) - 1, ROWS):  # every suffix with the next one
+        some = order[first:first + ROWS + 1]
+        length = size[first:first + ROWS + 1]
+        flat = np.zeros((len(some), width + 1), np.uint8)
+        if width:
+            flat[np.arange(width + 1) < length[:, None]] = np.frombuffer(b"".join(right[i] for i in some), np.uint8)
         differs = flat[1:] != flat[:-1]
         differs[:, -1] = True
-        shared = np.minimum(differs.argmax(1), np.minimum(size[1:], size[:-1])) // unit
-        same = core[order][1:] == core[order][:-1]
-        common[1:] = np.where(same, shared, -1)
+        shared = np.minimum(differs.argmax(1), np.minimum(length[1:], length[:-1])) // unit
+        common[first + 1:first + len(some)] = np.where(core[some][1:] == core[some][:-1], shared, -1)
     return order, common
 
 
 def merge_suffixes(rule: Rule, core: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes],
-                   right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(member, offset) of every repeated window of some cores' members."""
+                   right: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(member, offset) of every repeated window of some cores' members, for each length of the rule."""
     order, common = order_of(core, right, 1)
     low, high = low[order], high[order]
     size = np.array([len(left[i]) for i in order], np.int64)
+    reach = np.array([len(right[i]) for i in order], np.int64)
     prefix = prefix_hash(byte_symbols(np.frombuffer(b"".join(left[i] for i in order), np.uint8)))
     ends = np.cumsum(size)
+    # the text may end before a longer window does
+    return [_merged(order, common, np.maximum(low, length - rule.core - reach), high, prefix, ends, length - rule.core)
+            for length in rule.lengths]
+
+
+def _merged(order: np.ndarray, common: np.ndarray, low: np.ndarray, high: np.ndarray, prefix: np.ndarray, ends: np.ndarray,
+            around: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, offset) of the repeated windows that hold ``around`` bytes beside the core."""
     members, offsets = [], []
     for offset in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
-        name = np.cumsum(common < rule.length - rule.core - offset)
+        name = np.cumsum(common < around - offset)
         at = np.flatnonzero((low <= offset) & (offset <= high))
         before = ranges_hash(prefix, ends[at] - offset, ends[at])
         value = mix64(before + mix64(name[at].astype(np.uint64)))
@@ -68,16 +82,21 @@ def merge_suffixes(rule: Rule, core: np.ndarray, low: np.ndarray, high: np.ndarr
     return np.concatenate(members), np.concatenate(offsets)
 
 
-def long_runs(rule: Rule, data: bytes, lows, highs) -> list[tuple[int, int]]:
-    """The runs, as (first, last start), that belong to a stretch of consecutive repeated windows of at least ``RULE.length``
-    bytes or over ``WORDS`` words, those cut at its ends included."""
+def stretches(lows, highs) -> list[tuple[int, int]]:
+    """Runs of windows, as (first, last start), that follow one another as one."""
     out: list[list[int]] = []
     for low, high in sorted(zip(lows, highs)):
         if out and low <= out[-1][1] + 1:
             out[-1][1] = max(out[-1][1], high)
         else:
             out.append([low, high])
-    return [(a, b) for a, b in out
+    return [(a, b) for a, b in out]
+
+
+def long_runs(rule: Rule, data: bytes, lows, highs) -> list[tuple[int, int]]:
+    """The runs, as (first, last start), that belong to a stretch of consecutive repeated windows of at least ``RULE.length``
+    bytes or over ``WORDS`` words, those cut at its ends included."""
+    return [(a, b) for a, b in stretches(lows, highs)
             if b + rule.length - a >= RULE.length or len(data[a:b + rule.length].split()) > WORDS]
 
 
@@ -137,30 +156,40 @@ def _cut_text(rule: Rule):
 
 
 def _reported(rule: Rule):
+    last = replace(rule, length=rule.lengths[-1], longer=None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             copied, lows, highs = (batch.column(c) for c in ("copied", "lows", "highs"))
+            low_longs, high_longs = (batch.column(c) for c in ("low_longs", "high_longs")) if rule.longer else (lows, highs)
             for piece in slices(batch.column("text")):  # what comes out is no larger than a slice either
-                out: dict[str, list] = {c: [] for c in ("n", "n_removed", "n_spans", "kept_sha256", "kept")}
+                out: dict[str, list] = {c: [] for c in ("n", "n_removed", "n_spans", "kept_sha256", "kept", "n_passages")}
                 for i in range(len(piece)):
                     k, data = piece.first + i, piece.text(i)
-                    low = lows[k].as_py()
-                    if copied[k].as_py() and len(data) >= rule.length:
+                    low = low_longs[k].as_py()
+                    if copied[k].as_py() and len(data) >= last.length:
                         spans = [(0, len(data))]
                     else:
-                        spans = repeats.merged(rule, low, highs[k].as_py()) if low else []
+                        spans = repeats.merged(last, low, high_longs[k].as_py()) if low else []
+                    if copied[k].as_py():
+                        passages = int(len(data) >= rule.length and len(data.split()) > WORDS)
+                    else:
+                        passages = sum(len(data[a:b + rule.length].split()) > WORDS
+                                       for a, b in stretches(lows[k].as_py() or (), highs[k].as_py() or ()))
                     left, gone = repeats.kept_bytes(rule, piece, i, spans)
                     shown = repeats.kept_bytes(rule, piece, i, repeats.whole_characters(data, spans))[0] if spans else data
-                    for c, value in zip(out, (len(data), gone, len(spans), hashlib.sha256(left).hexdigest(), shown.decode("utf-8", "replace"))):
+                    for c, value in zip(out, (len(data), gone, len(spans), hashlib.sha256(left).hexdigest(), shown.decode("utf-8", "replace"),
+                                              passages)):
                         out[c].append(value)
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(piece.first, len(piece)), *(pa.array(v) for v in out.values())],
                                                  ["key", *out])
     return run
 
 
-def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
-    """(key, n, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``: bytes, bytes under repeated strings, their
-    maximal runs, digest of the bytes that remain, and these as text, where a character that is covered in part is shown.
+def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = BOTH) -> DataFrame:
+    """(key, n, n_removed, n_spans, kept_sha256, kept, n_passages) for every row of ``docs``: bytes, bytes under repeated strings,
+    their maximal runs, digest of the bytes that remain, and these as text, where a character that is covered in part is shown.
+    ``n_passages``: stretches of over ``WORDS`` words that consecutive repeated strings of the rule's shorter length cover.
 
     A null text is empty; null keys are carried; repeated rows and equal texts repeat each other, so all of them go if they are
     long enough; there are no ties, since strings are judged on the input; an empty table gives no rows; other columns are not
@@ -169,13 +198,14 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Ru
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     special = repeats.spans_by_name(ws, rule, merge_suffixes, source)
     joined = repeats.named(rule, source).join(special.withColumnRenamed("name", "special"), F.col("name") == F.col("special"), "left")
-    out = joined.select("key", "text", "copied", "lows", "highs").mapInArrow(
-        _reported(rule), "key long, n long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = joined.drop("name", "special").mapInArrow(
+        _reported(rule), "key long, n long, n_removed long, n_spans long, kept_sha256 string, kept string, n_passages long")
     return out.withColumnRenamed("key", key)
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated strings of 400 bytes, in numbers, as a digest and as text. Null and
-    empty texts have zeros; equal texts of 400 bytes or more, repeated rows included, are removed whole."""
+    """What is left of every document without its repeated strings of 400 bytes, in numbers, as a digest and as text, and how many
+    repeated passages of over 50 words it has. Null and empty texts have zeros; equal texts of 400 bytes or more, repeated rows
+    included, are removed whole."""
     out = report(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
+    return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"), "n_passages")

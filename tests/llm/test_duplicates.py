@@ -1,11 +1,12 @@
 """Near duplicates and repeated passages against plain versions, on edge rows and on a whole small table."""
+import hashlib
 import re
 
 import numpy as np
 import pytest
 
 from showerframe.llm import near_dedup, repeats, suffix_array, suffix_tree
-from showerframe.llm.common import BATCH_BYTES
+from showerframe.llm.common import BATCH_BYTES, scratch
 from showerframe.llm.graph import components
 
 from . import brute
@@ -164,6 +165,31 @@ def test_reported_texts_leave_in_slices():
         assert kept[0] == (texts[0] if column == "kept" else None)
 
 
+@pytest.mark.parametrize("crowd", [50_000, 1])
+def test_passages_of_over_fifty_words_are_told(spark, monkeypatch, crowd):
+    """A passage of 51 words, far below 400 bytes, stands in two texts, at the end of one of them: nothing is removed, and both
+    say so. Windows of both lengths equal the plain ones, those that end with their text included."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    passage = " ".join(f"w{i:03}" for i in range(51))
+    words = lambda c, n: " ".join(f"{c}{i * i % 9973}" for i in range(n))
+    texts = [f"{words('a', 90)} {passage}", f"{words('b', 70)} {passage} {words('c', 200)}", words("d", 300), f"{words('e', 9)} {words('d', 120)}",
+             " ".join(passage.split()[:50]) + " x", "short", None, words("f", 60), words("f", 60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_array.report(frame).collect()}
+    assert [got[k].n_passages for k in range(9)] == [1, 1, 1, 1, 0, 0, 0, 1, 1]
+    for (k, t), w in zip(enumerate(texts), expected(texts, False)):
+        assert (got[k].n, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == w
+    spans = repeats.spans_by_name(scratch(spark), suffix_array.BOTH, suffix_array.merge_suffixes, frame.withColumnRenamed("doc_id", "key"))
+    short = {bytes(r.name): r for r in spans.collect()}
+    flags = brute.covered([(t or "").encode() for t in texts], 200)
+    for t, f in zip(texts[:6], flags):
+        r = short.get(hashlib.sha256(t.encode()).digest()[:repeats.NAME])
+        covered = [False] * len(f)
+        for a, b in repeats.merged(suffix_array.BOTH, r.lows, r.highs) if r and r.lows else []:
+            covered[a:b] = [True] * (b - a)
+        assert covered == list(map(bool, f))
+
+
 def test_arrow_batches_are_bounded_by_bytes(spark):
     """The search bounds what reaches a worker at once; 10,000 rows of a few KB were one batch of 40 MB."""
     own = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
