@@ -3,13 +3,15 @@
 The model reads the ids before a token in windows of ``LENGTH`` that overlap by ``LENGTH - STEP``; the last ``STEP`` positions of
 a window are scored, so each token is scored once with at least ``LENGTH - STEP`` ids of context (or all there are). One
 attention layer with a bias for every distance gives the state from which the class of the next id is predicted; the id
-follows within its class by its frequency in all texts to learn from. Classes and weights are learnt from a bounded sample.
-
-Whole texts are read once, in blocks of about ``SLICE`` bytes, in the task that reads them. A block gives, for each text, the
-attention's part of its score and the numbers of its words in the block's list of distinct words, and for the list the hash,
-count and ids of each word. Texts go no further. Counts of words are summed in parts of the hash range, counts of ids by id, and
-each block gets the totals of its own words back, in the same order. So a word costs one number per block, whatever its
-frequency, and neither the vocabulary nor a frequent word ever meets in one place."""
+follows within its class by its frequency. Frequencies, classes and weights are learnt from all texts to learn from: classes by the
+neighbours of every id, weights in one pass over every window, in which the tasks start from common weights, go through their own
+blocks and are averaged by their windows. Only where that pass starts from is found with a few texts.
+
+Whole texts are read once, in blocks of about ``SLICE`` bytes, in the task that reads them. A block is one row: the numbers of
+its texts' words in its list of distinct words, and for the list the hash, count and ids of each word. Texts go no further.
+Counts of words are summed in parts of the hash range, counts of ids by id, and each block gets the totals of its own words
+back, in the same order. So a word costs one number per block, whatever its frequency, and neither the vocabulary nor a frequent
+word ever meets in one place."""
 from __future__ import annotations
 
 import re
@@ -21,18 +23,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from showerframe.llm.common import Slice, fold, scratch, slices, table
+from showerframe.llm.common import Slice, fold, scratch, slices, small_batches, table
 from showerframe.llm.vocabularies import BytePair, loaded, vocabulary_path
 
 #: Word hashes that are summed in one task, about.
 PART = 2_000_000
-#: Texts that the classes and weights are learnt from, about; chosen by a hash of the id.
+#: Texts that the weights start from, about; chosen by a hash of the id.
 TRAIN_TEXTS = 1_000
 LENGTH, STEP = 16, 8
 CLASSES, SPACE, KEY, VALUE = 48, 24, 8, 16
 #: Ids with an embedding of their own; the others share RARE rows.
 FREQUENT, RARE = 8192, 256
 STEPS, BATCH, RATE = 500, 512, 0.01
+#: Windows of a step, and rate, of the pass over all texts.
+PASS_BATCH, PASS_RATE = 2048, 0.002
+#: Embedding rows before and behind an id that are told apart when its neighbours are counted; the others share as many.
+NEAR = 16
+#: Fractions of a weight when weights are added, so that the sum does not depend on the order of tasks.
+FINE = 1 << 20
 #: Bytes of a block, unless one text is longer.
 SLICE = 3_000_000
 VOCABULARY = 50_257
@@ -71,12 +79,23 @@ class Block:
         self.first_word = words.first
         parts = [data[s:e].decode("utf-8", "surrogatepass") for s, e in zip(words.start[at].tolist(), words.end[at].tolist())]
         self.flat, self.first_id = word_ids(path, parts)
-        size = np.diff(self.first_id)[self.number]
-        total = np.r_[0, np.cumsum(size)]
-        ids = self.flat[np.repeat(self.first_id[self.number] - total[:-1], size) + np.arange(total[-1])]
-        ends = total[words.first[1:]]
-        self.ids = np.insert(ids, ends, END)
-        self.first = np.r_[0, ends + np.arange(1, len(piece) + 1)]
+
+    @property
+    def ids(self) -> np.ndarray:
+        return text_ids(self.number, self.first_word, self.flat, self.first_id)[0]
+
+    @property
+    def first(self) -> np.ndarray:
+        return text_ids(self.number, self.first_word, self.flat, self.first_id)[1]
+
+
+def text_ids(number: np.ndarray, first_word: np.ndarray, flat: np.ndarray, first_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a block, each text closed by END, and where each text's begin."""
+    size = np.diff(first_id)[number]
+    total = np.r_[0, np.cumsum(size)]
+    ids = flat[np.repeat(first_id[number] - total[:-1], size) + np.arange(total[-1])]
+    ends = total[first_word[1:]]
+    return np.insert(ids, ends, END), np.r_[0, ends + np.arange(1, len(first_word))]
 
 
 # ---------------------------------------------------------------- the model
@@ -106,10 +125,17 @@ _CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(LENGTH - STEP, LENGTH
 _DISTANCE = np.clip(np.arange(LENGTH - STEP, LENGTH)[:, None] - np.arange(LENGTH)[None, :], 0, LENGTH - 1)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last, short axis, kept, by one product."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(*x.shape[:-1], 1)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
+    """In place. Rows without any mass give zeros."""
+    if x.max(initial=0) > 60:  # far from what exp can take in single precision
+        x -= x.max(-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+    x /= np.maximum(_sums(x), np.float32(1e-30))
     return x
 
 
@@ -133,54 +159,83 @@ def forward(m: dict, inputs: np.ndarray, there: np.ndarray):
 
 def _rows_added(shape, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.zeros(shape, np.float32)
-    np.add.at(out, rows.reshape(-1), values.reshape(-1, shape[1]))
+    rows = rows.reshape(-1).astype(np.int16)
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    out[own[at]] = np.add.reduceat(values.reshape(-1, shape[1])[order], at)
     return out
 
 
-def train_model(ids: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-    """The model of some texts' ids; without any it spreads its belief evenly."""
-    rng = np.random.default_rng(11)
-    counts = np.bincount(ids, minlength=VOCABULARY).astype(float)
+def embedding_rows(counts: np.ndarray) -> np.ndarray:
+    """Embedding row of every id: the frequent ids have one of their own, by rank."""
     top = np.argsort(-counts, kind="stable")[:FREQUENT]
     row = FREQUENT + np.arange(VOCABULARY) % RARE
     row[top] = np.arange(FREQUENT)
-    n_rows = FREQUENT + RARE
-    group = _classes(row[ids], first, n_rows, rng)
-    label = group[row]
-    inside = counts + FLOOR
+    return row
+
+
+def _weights(row: np.ndarray, label: np.ndarray, counts: np.ndarray, rng) -> dict[str, np.ndarray]:
+    """Weights to start from."""
+    n_rows, inside = FREQUENT + RARE, counts + FLOOR
     m = {"q": rng.normal(0, 0.3, (n_rows, KEY)), "k": rng.normal(0, 0.3, (n_rows, KEY)), "v": rng.normal(0, 0.3, (n_rows, VALUE)),
          "own": rng.normal(0, 0.1, (n_rows, SPACE)), "distance": np.zeros(LENGTH), "mix": rng.normal(0, 0.25, (VALUE, SPACE)),
          "out": rng.normal(0, 0.2, (SPACE, CLASSES)), "bias": np.log(np.bincount(label, inside, CLASSES) / inside.sum() + 1e-12)}
-    m = {k: v.astype(np.float32) for k, v in m.items()}
+    return {k: v.astype(np.float32) for k, v in m.items()}
+
+
+class Descent:
+    """Weights on their way down the mean loss of windows (Adam)."""
+
+    def __init__(self, m: dict[str, np.ndarray], row: np.ndarray, label: np.ndarray):
+        self.m, self.row, self.label, self.steps = m, row, label, 0
+        self._mean, self._square = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+
+    def step(self, ids: np.ndarray, first: np.ndarray, start: np.ndarray, text: np.ndarray, rate: float) -> None:
+        m, label = self.m, self.label
+        inputs, there, targets, wanted = gathered(ids, first, start, text)
+        inputs = self.row[inputs]
+        o, (own, q, k, v, a, context, z, h) = forward(m, inputs, there)
+        do = _softmax(o)
+        np.put_along_axis(do, label[targets][:, :, None], np.take_along_axis(do, label[targets][:, :, None], 2) - 1, 2)
+        do *= wanted[:, :, None] / np.float32(wanted.sum())
+        do, h = do.reshape(-1, CLASSES), h.reshape(-1, SPACE)
+        dz = do @ m["out"].T
+        dz *= z.reshape(-1, SPACE) > 0
+        dcontext = (dz @ m["mix"].T).reshape(context.shape)
+        da = dcontext @ v.transpose(0, 2, 1)
+        ds = a * (da - _sums(da * a))
+        grads = {"out": h.T @ do, "bias": do.sum(0), "mix": context.reshape(-1, VALUE).T @ dz,
+                 "own": _rows_added(m["own"].shape, own, dz), "q": _rows_added(m["q"].shape, own, ds @ k),
+                 "k": _rows_added(m["k"].shape, inputs, ds.transpose(0, 2, 1) @ q),
+                 "v": _rows_added(m["v"].shape, inputs, a.transpose(0, 2, 1) @ dcontext),
+                 "distance": np.bincount(_DISTANCE.reshape(-1), ds.sum(0).reshape(-1), LENGTH).astype(np.float32)}
+        self.steps += 1
+        for key, grad in grads.items():
+            mean, square = self._mean[key], self._square[key]
+            mean += 0.1 * (grad - mean)
+            square += 0.01 * (grad * grad - square)
+            m[key] -= np.float32(rate) * (mean / np.float32(1 - 0.9 ** self.steps)) / (
+                np.sqrt(square / np.float32(1 - 0.99 ** self.steps)) + np.float32(1e-8))
+
+
+def _begun(row: np.ndarray, label: np.ndarray, counts: np.ndarray, ids: np.ndarray, first: np.ndarray, rng) -> dict[str, np.ndarray]:
+    """Weights after STEPS steps over windows of the given texts."""
+    descent = Descent(_weights(row, label, counts, rng), row, label)
     start, text = _positions(first)
-    if len(start) and counts.sum() > len(first):
-        mean, square = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    if len(ids) > len(first) - 1:
         for step in range(1, STEPS + 1):
             chosen = rng.integers(len(start), size=BATCH)
-            inputs, there, targets, wanted = gathered(ids, first, start[chosen], text[chosen])
-            inputs = row[inputs]
-            o, (own, q, k, v, a, context, z, h) = forward(m, inputs, there)
-            do = _softmax(o)
-            np.put_along_axis(do, label[targets][:, :, None],
-                              np.take_along_axis(do, label[targets][:, :, None], 2) - 1, 2)
-            do *= wanted[:, :, None] / np.float32(wanted.sum())
-            dz = (do @ m["out"].T) * (z > 0)
-            dcontext = dz @ m["mix"].T
-            da = dcontext @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(-1, keepdims=True))
-            grads = {"out": np.tensordot(h, do, ((0, 1), (0, 1))), "bias": do.sum((0, 1)),
-                     "mix": np.tensordot(context, dz, ((0, 1), (0, 1))), "own": _rows_added(m["own"].shape, own, dz),
-                     "q": _rows_added(m["q"].shape, own, ds @ k),
-                     "k": _rows_added(m["k"].shape, inputs, ds.transpose(0, 2, 1) @ q),
-                     "v": _rows_added(m["v"].shape, inputs, a.transpose(0, 2, 1) @ dcontext),
-                     "distance": np.bincount(_DISTANCE.reshape(-1), ds.sum(0).reshape(-1), LENGTH).astype(np.float32)}
-            rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
-            for key, grad in grads.items():
-                mean[key] += 0.1 * (grad - mean[key])
-                square[key] += 0.01 * (grad * grad - square[key])
-                m[key] -= np.float32(rate) * (mean[key] / np.float32(1 - 0.9 ** step)) / (
-                    np.sqrt(square[key] / np.float32(1 - 0.99 ** step)) + np.float32(1e-8))
-    return m | {"row": row.astype(np.int32), "label": label.astype(np.int32)}
+            descent.step(ids, first, start[chosen], text[chosen], RATE * min(1.0, 2 * (1 - step / (STEPS + 1))))
+    return descent.m
+
+
+def train_model(ids: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """The model of some texts' ids; without any it spreads its belief evenly."""
+    counts = np.bincount(ids, minlength=VOCABULARY).astype(float)
+    row = embedding_rows(counts)
+    label = classes(neighbours(row, ids, first), row, counts)[row]
+    return _begun(row, label, counts, ids, first, np.random.default_rng(11)) | {"row": row.astype(np.int32), "label": label.astype(np.int32)}
 
 
 def frequencies(label: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -189,20 +244,22 @@ def frequencies(label: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.log(inside / np.bincount(label, inside, CLASSES)[label])
 
 
-def _classes(rows: np.ndarray, first: np.ndarray, n_rows: int, rng) -> np.ndarray:
-    """Class of every embedding row: k-means over the ids before and behind it, seen through a random projection."""
-    if len(rows) < 2:
-        return np.arange(n_rows) % CLASSES
-    look = rng.normal(0, 1, (2, n_rows, 16)).astype(np.float32)
-    inner = np.ones(len(rows) - 1, bool)
-    inner[first[1:-1] - 1] = False
-    a, b = rows[:-1][inner], rows[1:][inner]
-    seen = np.zeros((n_rows, 32), np.float32)
-    for k in range(16):
-        seen[:, k] = np.bincount(b, look[0][a, k], n_rows)
-        seen[:, 16 + k] = np.bincount(a, look[1][b, k], n_rows)
-    weight = np.bincount(rows, minlength=n_rows).astype(np.float32)
-    seen /= np.maximum(weight, 1)[:, None] ** 0.75
+def neighbours(row: np.ndarray, ids: np.ndarray, first: np.ndarray, learn: np.ndarray | None = None) -> np.ndarray:
+    """How often rows stand before and behind every embedding row in the texts where ``learn``: (rows, 4 * NEAR) counts."""
+    n_rows, wide = FREQUENT + RARE, 2 * NEAR
+    rows = row[ids]
+    inner = np.repeat(np.ones(len(first) - 1, bool) if learn is None else learn, np.diff(first))
+    inner[first[1:] - 1] = False
+    a, b = rows[:-1][inner[:-1]], rows[1:][inner[:-1]]
+    seen = [np.bincount(x * wide + np.where(y < NEAR, y, NEAR + y % NEAR), minlength=n_rows * wide).reshape(n_rows, wide)
+            for x, y in ((b, a), (a, b))]
+    return np.concatenate(seen, 1)
+
+
+def classes(seen: np.ndarray, row: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Class of every embedding row: k-means over the counts of its neighbours."""
+    weight = np.bincount(row, counts, len(seen)).astype(np.float32)
+    seen = (seen / np.maximum(weight, 1)[:, None] ** 0.75).astype(np.float32)
     order = np.argsort(-weight, kind="stable")
     centre = seen[order[:CLASSES]].copy()
     for _ in range(12):
@@ -232,37 +289,9 @@ def log10_classes(m: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total / np.log(10)
 
 
-def _fit_group(path: str):
-    def run(group: pa.Table) -> pa.Table:
-        texts = pa.array(sorted(group.column("text").to_pylist()), pa.large_string())
-        ids, first = [], [np.zeros(1, np.int64)]
-        for piece in slices(texts, SLICE):
-            block = Block(piece, path)
-            ids.append(block.ids)
-            first.append(first[-1][-1] + block.first[1:])
-        m = train_model(np.concatenate(ids), np.concatenate(first))
-        return pa.table({"name": list(m), "kind": [str(v.dtype) for v in m.values()], "shape": pa.array([list(v.shape) for v in m.values()], pa.list_(pa.int32())),
-                         "data": pa.array([v.tobytes() for v in m.values()], pa.binary())})
-    return run
-
-
-def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rows: int = TRAIN_TEXTS,
-          path: str | None = None) -> dict[str, np.ndarray]:
-    """A model of about ``rows`` texts, trained in one task."""
-    known = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    n = known.count()
-    if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * (rows / n)))
-    found = known.select("text", F.lit(0).alias("all")).groupBy("all").applyInArrow(
-        _fit_group(path or vocabulary_path()), "name string, kind string, shape array<int>, data binary").collect()
-    if not found:
-        return train_model(np.zeros(0, np.int64), np.zeros(1, np.int64))
-    return {r["name"]: np.frombuffer(bytes(r["data"]), r["kind"]).reshape(r["shape"]) for r in found}
-
-
 # ---------------------------------------------------------------- words of the corpus
 
-_SCAN = ("key long, learn boolean, block long, n_tokens long, classes double, words binary, codes binary, counts binary, "
+_SCAN = ("block long, keys array<long>, learn array<boolean>, lengths binary, numbers binary, codes binary, counts binary, "
          "ids binary, sizes binary, texts long")
 
 
@@ -280,10 +309,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, _KINDS[raw[0]], offset=1)
 
 
-def _scan(model, path: str, limit: int):
-    """(key, learn, text) to one row a text: number of tokens, log10 of its classes, and the numbers of its words in the list of the
-    block. The first row of a block has the list: hashes, counts in texts to learn from, ids and how many each word has, and
-    the number of texts to learn from."""
+def _listed(column) -> pa.Array:
+    return pa.ListArray.from_arrays([0, len(column)], column)
+
+
+def _scan(path: str, limit: int):
+    """(key, learn, text) to one row a block: keys, whether to learn from them, and number of words of its texts, the numbers of
+    their words in the list of the block, and the list: hashes, counts in texts to learn from, ids and how many each word has.
+    At last the number of texts to learn from."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -291,21 +324,35 @@ def _scan(model, path: str, limit: int):
             for piece in slices(batch.column("text"), limit):
                 block, n = Block(piece, path), len(piece)
                 learn = learns[piece.first:piece.first + n].astype(bool)
-                own = np.repeat(learn, np.diff(block.first_word))
-                counts = np.bincount(block.number, own, len(block.names)).astype(np.int64)
-                at = block.first_word
-                lists = (block.names.tobytes(), _packed(counts), block.flat.astype("<u2").tobytes(), _packed(np.diff(block.first_id)))
-                none = [None] * (n - 1)
+                size = np.diff(block.first_word)
+                counts = np.bincount(block.number, np.repeat(learn, size), len(block.names)).astype(np.int64)
+                packed = (_packed(size), _packed(block.number), block.names.tobytes(), _packed(counts),
+                          block.flat.astype("<u2").tobytes(), _packed(np.diff(block.first_id)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(piece.first, n), pa.array(learn), pa.array(np.full(n, number)),
-                     pa.array(np.diff(at) + 1, pa.int64()), pa.array(log10_classes(model.value, block.ids, block.first)),
-                     pa.array([_packed(block.number[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary()),
-                     *(pa.array([x, *none], pa.binary()) for x in lists), pa.array([int(learn.sum()), *none], pa.int64())],
+                    [pa.array([number]), _listed(batch.column("key").slice(piece.first, n)), _listed(pa.array(learn)),
+                     *(pa.array([x], pa.binary()) for x in packed), pa.array([int(learn.sum())], pa.int64())],
                     [c.split()[0] for c in _SCAN.split(", ")])
                 number += 1
     return run
 
 
+def _first(sizes: bytes) -> np.ndarray:
+    return np.r_[0, np.cumsum(_unpacked(sizes), dtype=np.int64)]
+
+
+_READ = ("keys", "learn", "lengths", "numbers", "ids", "sizes")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Keys, learn, ids of the texts and where they begin, for each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            keys, learn = (batch.column(c)[i].values for c in ("keys", "learn"))
+            lengths, numbers, ids, sizes = (batch.column(c)[i].as_py() for c in _READ[2:])
+            found = text_ids(_unpacked(numbers), _first(lengths), np.frombuffer(ids, "<u2").astype(np.int64), _first(sizes))
+            yield keys, learn.to_numpy(zero_copy_only=False).astype(bool), *found
+
+
 def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists of blocks to (id, n): how often the ids of words stand in texts to learn from."""
     total = np.zeros(VOCABULARY, np.int64)
@@ -346,29 +393,159 @@ def _summed(group: pa.Table) -> pa.Table:
                      "totals": pa.array([*map(_packed, back), _packed(np.array([(total > 0).sum()]))], pa.binary())})
 
 
-def _score(shares, size: int, distinct: int, ends: int):
-    """One block's texts and the totals of its words to results."""
-    def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
+def _score(model, shares, size: int, distinct: int, ends: int):
+    """A block and the totals of its words to results."""
+    def run(blocks: pa.Table, totals: pa.Table) -> pa.Table:
         totals = totals.sort_by("part")
         c = [_unpacked(x) for x in totals.column("totals").to_pylist()]
         count = np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)
         log = np.log10((count + 1) / (size + distinct + 1))
         end = np.log10((ends + 1) / (size + distinct + 1))
-        ids, sizes = (next(x for x in texts.column(c).to_pylist() if x is not None) for c in ("ids", "sizes"))
-        share, sizes = shares.value[np.frombuffer(ids, "<u2")], _unpacked(sizes)
-        inside = np.diff(np.r_[0, np.cumsum(share)][np.r_[0, np.cumsum(sizes)]])
-        known, base, score = [], [], []
-        for raw, classes in zip(texts.column("words").to_pylist(), texts.column("classes").to_pylist()):
-            words = _unpacked(raw)
-            known.append(int((count[words] > 0).sum()) + int(ends > 0))
-            base.append(float(log[words].sum() + end))
-            score.append(float(classes + inside[words].sum() + shares.value[END]))
-        return pa.table({"key": texts.column("key"), "learn": texts.column("learn"), "n_tokens": texts.column("n_tokens"),
-                         "n_known": pa.array(known, pa.int64()), "train_tokens": np.full(texts.num_rows, size),
-                         "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        (keys, learn, ids, first), = _read(blocks.combine_chunks().to_batches())
+        numbers = _unpacked(blocks.column("numbers")[0].as_py())
+        first_word = _first(blocks.column("lengths")[0].as_py())
+        n = np.diff(first_word)
+        text = np.repeat(np.arange(len(n)), n)
+        inside = np.add.reduceat(shares.value[ids], first[:-1])
+        return pa.table({"key": keys, "learn": pa.array(learn), "n_tokens": pa.array(n + 1, pa.int64()),
+                         "n_known": pa.array(np.bincount(text, count[numbers] > 0, len(n)).astype(np.int64) + int(ends > 0)),
+                         "train_tokens": np.full(len(n), size),
+                         "base_score": pa.array(np.bincount(text, log[numbers], len(n)) + end, pa.float64()),
+                         "score": pa.array(log10_classes(model.value, ids, first) + inside, pa.float64())})
+    return run
+
+
+def scan(docs: DataFrame, learn, *, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = SLICE) -> DataFrame:
+    """The blocks of ``docs``, written once: what ``learnt`` and ``scored`` read instead of texts."""
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("text"))
+    return scratch(docs.sparkSession).save(source.mapInArrow(_scan(path or vocabulary_path(), limit), _SCAN), "scanned")
+
+
+def _counted(blocks: DataFrame) -> np.ndarray:
+    """How often every id stands in the texts to learn from."""
+    counts = np.zeros(VOCABULARY)
+    for r in blocks.select("ids", "sizes", "counts").mapInArrow(_id_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r["id"]] = r["n"]  # one row for each id of the vocabulary at most
+    counts[END] += blocks.agg(F.sum("texts")).first()[0] or 0
+    return counts
+
+
+# ---------------------------------------------------------------- learning from all texts
+
+_SUMS = "name string, part int, data binary"
+#: Numbers of an array that travel in one row.
+NUMBERS = 1 << 16
+
+
+def _rows(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for name, values in sums.items():
+        values = values.reshape(-1).astype(np.int64)
+        for part, at in enumerate(range(0, len(values), NUMBERS)):
+            yield pa.RecordBatch.from_pydict({"name": [name], "part": pa.array([part], pa.int32()), "data": [values[at:at + NUMBERS].tobytes()]})
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one name and part to their sum, one batch at a time."""
+    total: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for name, part, data in zip(*(batch.column(c).to_pylist() for c in ("name", "part", "data"))):
+            values = np.frombuffer(data, np.int64)
+            total[name, part] = total[name, part] + values if (name, part) in total else values
+    for (name, part), values in total.items():
+        yield pa.RecordBatch.from_pydict({"name": [name], "part": pa.array([part], pa.int32()), "data": [values.tobytes()]})
+
+
+def _total(blocks: DataFrame, run) -> dict[str, np.ndarray]:
+    """Sums over all tasks of what ``run`` makes of their blocks. Arrays are as large as the model, whatever the corpus; their parts
+    are added in tasks."""
+    added = blocks.select(*_READ).mapInArrow(run, _SUMS).repartition("name", "part").mapInArrow(_add, _SUMS).collect()
+    found: dict[str, list] = {}
+    for r in sorted(added, key=lambda r: (r["name"], r["part"])):
+        found.setdefault(r["name"], []).append(np.frombuffer(bytes(r["data"]), np.int64))
+    return {name: np.concatenate(parts) for name, parts in found.items()}
+
+
+def _neighbours(row):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for _, learn, ids, first in _read(batches):
+            total = total + neighbours(row.value, ids, first, learn)
+        if not np.isscalar(total):
+            yield from _rows({"seen": total})
     return run
 
 
+def _some(share: float):
+    """The ids of about a share of the texts to learn from, by a hash of the key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, learn, ids, first in _read(batches):
+            code = keys.fill_null(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+            chosen = np.flatnonzero(learn & (code < share * 2.0 ** 32))
+            yield pa.RecordBatch.from_pydict({
+                "all": pa.array(np.zeros(len(chosen)), pa.int32()),
+                "ids": pa.array([ids[first[i]:first[i + 1]].astype("<u2").tobytes() for i in chosen], pa.binary())})
+    return run
+
+
+def _begin(known):
+    def run(group: pa.Table) -> pa.Table:
+        row, label, counts = known.value
+        texts = [np.frombuffer(x, "<u2").astype(np.int64) for x in sorted(group.column("ids").to_pylist())]
+        m = _begun(row, label, counts, np.concatenate(texts), np.r_[0, np.cumsum([len(x) for x in texts])], np.random.default_rng(11))
+        return pa.table({"name": list(m), "data": pa.array([v.tobytes() for v in m.values()], pa.binary())})
+    return run
+
+
+def _descend(known, begun):
+    """One pass over the windows of all texts to learn from: by how much the weights moved, times the windows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, label, _ = known.value
+        descent, seen = Descent({k: v.copy() for k, v in begun.value.items()}, row, label), 0
+        for _, learn, ids, first in _read(batches):
+            start, text = _positions(first)
+            order = np.random.default_rng(11).permutation(np.flatnonzero(learn[text]))
+            for at in range(0, len(order), PASS_BATCH):
+                chosen = order[at:at + PASS_BATCH]
+                descent.step(ids, first, start[chosen], text[chosen], PASS_RATE)
+            seen += len(order)
+        if seen:
+            moved = {k: np.rint((v.astype(float) - begun.value[k]) * FINE) * seen for k, v in descent.m.items()}
+            yield from _rows(moved | {"windows": np.array([seen])})
+    return run
+
+
+def learnt(blocks: DataFrame, rows: int = TRAIN_TEXTS) -> dict[str, np.ndarray]:
+    """The model of all texts to learn from of ``blocks``."""
+    send = blocks.sparkSession.sparkContext.broadcast
+    counts = _counted(blocks)
+    n = counts[END]
+    if not n:
+        return train_model(np.zeros(0, np.int64), np.zeros(1, np.int64))
+    row = embedding_rows(counts)
+    seen = _total(blocks, _neighbours(send(row)))["seen"].reshape(FREQUENT + RARE, -1)
+    label = classes(seen, row, counts)[row]
+    known = send((row, label, counts))
+    begun = {k: v.shape for k, v in _weights(row, label, counts, np.random.default_rng(11)).items()}
+    some = blocks.select(*_READ).mapInArrow(_some(rows / n), "all int, ids binary")
+    found = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(begun[r["name"]])
+             for r in some.groupBy("all").applyInArrow(_begin(known), "name string, data binary").collect()}
+    begun = found or _weights(row, label, counts, np.random.default_rng(11))
+    moved = _total(blocks, _descend(known, send(begun)))
+    windows = float(moved.pop("windows")[0])
+    m = {k: (v + (moved[k] / (FINE * windows)).reshape(v.shape)).astype(np.float32) for k, v in begun.items()}
+    return m | {"row": row.astype(np.int32), "label": label.astype(np.int32)}
+
+
+def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rows: int = TRAIN_TEXTS,
+          path: str | None = None) -> dict[str, np.ndarray]:
+    """A model of all texts; its weights start from about ``rows`` of them."""
+    return learnt(scan(docs, F.lit(True), key=key, text=text, path=path), rows)
+
+
+# ---------------------------------------------------------------- scores
+
 def score(docs: DataFrame, model: dict[str, np.ndarray], learn, *, key: str = "doc_id", text: str = "text",
           path: str | None = None, limit: int = SLICE) -> DataFrame:
     """(key, learn, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
@@ -376,30 +553,27 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], learn, *, key: str = "d
     Tokens are words in lower case A-Z and one end per text; counts come from the rows where the column expression ``learn``
     is true (null: false). Null texts are empty, null keys carried, repeated rows scored and counted one by one; an empty
     table has no rows; other columns are not read; texts are read whole."""
-    spark = docs.sparkSession
-    ws = scratch(spark)
-    source = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("text"))
-    model = spark.sparkContext.broadcast(model)
-    scanned = ws.save(source.mapInArrow(_scan(model, path or vocabulary_path(), limit), _SCAN), "scanned")
-    blocks = scanned.filter(F.col("codes").isNotNull())
+    return scored(scan(docs, learn, key=key, text=text, path=path, limit=limit), model, key)
+
+
+def scored(blocks: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id") -> DataFrame:
+    """``score`` of the texts of ``blocks``."""
+    spark = blocks.sparkSession
     held = blocks.agg(F.sum(F.length("codes")).alias("bytes"), F.sum("texts").alias("texts")).first()
     ends = held["texts"] or 0
-    counts = np.zeros(VOCABULARY)
-    for r in blocks.select("ids", "sizes", "counts").mapInArrow(_id_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]  # one row for each id of the vocabulary at most
-    counts[END] += ends
-    shares = spark.sparkContext.broadcast(frequencies(model.value["label"], counts) / np.log(10))
+    model = spark.sparkContext.broadcast(model)
+    shares = spark.sparkContext.broadcast(frequencies(model.value["label"], _counted(blocks)) / np.log(10))
     parts = int((held["bytes"] or 0) // (8 * PART)) + 1
-    totals = ws.save(blocks.select("block", "codes", "counts").mapInArrow(_split(parts), "part long, block long, codes binary, counts binary")
-                     .groupBy("part").applyInArrow(_summed, "block long, part long, totals binary"), "totals")
+    totals = scratch(spark).save(
+        blocks.select("block", "codes", "counts").mapInArrow(_split(parts), "part long, block long, codes binary, counts binary")
+        .groupBy("part").applyInArrow(_summed, "block long, part long, totals binary"), "totals")
     words = blocks.select("counts").mapInArrow(_sum_of("counts"), "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
     distinct = totals.filter("block = -1").select("totals").mapInArrow(_sum_of("totals"), "n long").agg(
         F.sum("n").alias("n")).first()["n"] or 0
-    texts = scanned.select("key", "learn", "block", "n_tokens", "classes", "words", "ids", "sizes")
-    scored = texts.groupBy("block").cogroup(totals.filter("block >= 0").groupBy("block")).applyInArrow(
-        _score(shares, int(words + ends), int(distinct + (ends > 0)), int(ends)),
+    out = blocks.select("block", *_READ).groupBy("block").cogroup(totals.filter("block >= 0").groupBy("block")).applyInArrow(
+        _score(model, shares, int(words + ends), int(distinct + (ends > 0)), int(ends)),
         "key long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumnRenamed("key", key)
+    return out.withColumnRenamed("key", key)
 
 
 def _sum_of(column: str):
@@ -413,7 +587,6 @@ def _sum_of(column: str):
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document. A null or empty text has one token, its end; repeated rows count and are scored
     each; an empty table gives no rows."""
-    docs = table(spark, sf_dir, "documents")
-    learn = fold("doc_id", 7) != 2
-    out = score(docs, train(docs.filter(learn)), learn)
+    blocks = scan(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    out = scored(blocks, learnt(blocks))
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
