@@ -34,6 +34,8 @@ from showerframe.workspace import Workspace
 CROWD = 50_000
 #: Members that one group of cores holds, about.
 GROUP = 20_000
+#: Members of crowded cores whose windows, up to ``cover`` each, are written down at once.
+SPELLED = 1_000
 #: Bytes of the name of a text, the first ones of the SHA-256 of its symbols.
 NAME = 16
 
@@ -222,19 +224,19 @@ def _columns(batch) -> tuple:
             batch.column("left").to_pylist(), batch.column("right").to_pylist())
 
 
-def runs(node: np.ndarray, start: np.ndarray) -> pa.Table:
-    """Runs of consecutive window starts per node, as (node, low, high) with ``high`` the last start."""
-    order = np.lexsort((start, node))
-    node, start = node[order], start[order]
+def runs(node: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
+    """Runs of consecutive window starts per node, as (node, low, high) with ``high`` the last start, from disjoint ones."""
+    order = np.lexsort((low, node))
+    node, low, high = node[order], low[order], high[order]
     if not len(node):
         return pa.table({c: pa.array([], pa.int64()) for c in ("node", "low", "high")})
-    new = np.r_[True, (node[1:] != node[:-1]) | (start[1:] > start[:-1] + 1)]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (low[1:] > high[:-1] + 1)])
     last = np.r_[first[1:], len(node)] - 1
-    return pa.table({"node": node[first], "low": start[first], "high": start[last]})
+    return pa.table({"node": node[first], "low": low[first], "high": high[last]})
 
 
-Resolver = Callable[[Rule, np.ndarray, np.ndarray, np.ndarray, list, list], list[tuple[np.ndarray, np.ndarray]]]
+#: Runs of repeated windows for each length: member, first and last offset of the core in them.
+Resolver = Callable[[Rule, np.ndarray, np.ndarray, np.ndarray, list, list], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def _resolve(rule: Rule, resolver: Resolver):
@@ -243,8 +245,8 @@ def _resolve(rule: Rule, resolver: Resolver):
         group = group.combine_chunks()
         node, core, at, low, high, left, right = _columns(group)
         found = []
-        for length, (member, offset) in zip(rule.lengths, resolver(rule, core, low, high, left, right)):
-            some = runs(node[member], at[member] - offset)
+        for length, (member, first, last) in zip(rule.lengths, resolver(rule, core, low, high, left, right)):
+            some = runs(node[member], at[member] - last, at[member] - first)
             found.append(some.append_column("length", pa.array(np.full(len(some), length, np.int32))))
         return pa.concat_tables(found)
     return run
@@ -255,8 +257,8 @@ def _spelled(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, core, at, low, high, left, right = _columns(batch)
-            for i in range(0, len(node), 5000):
-                cut = slice(i, i + 5000)
+            for i in range(0, len(node), SPELLED):
+                cut = slice(i, i + SPELLED)
                 for length in rule.lengths:
                     member, offset, code = window_hashes(rule, left[cut], right[cut], low[cut], high[cut], core[cut], length)
                     yield pa.RecordBatch.from_pydict({"node": node[cut][member], "start": at[cut][member] - offset, "length":

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showerframe.llm import repeats
-from showerframe.llm.common import byte_symbols, mix64, prefix_hash, ranges_hash, scratch, slices, table
+from showerframe.llm.common import byte_symbols, longer_hash, mix64, mixed, scratch, slices, table
 from showerframe.llm.repeats import Rule
 
 RULE = Rule(words=False, length=400, cover=128, gram=24)
@@ -50,36 +50,42 @@ def order_of(core: np.ndarray, right: list[bytes], unit: int) -> tuple[np.ndarra
 
 
 def merge_suffixes(rule: Rule, core: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes],
-                   right: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(member, offset) of every repeated window of some cores' members, for each length of the rule."""
+                   right: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(member, first offset, last offset) of every run of repeated windows of some cores' members, for each length of the rule.
+    All members go through the offsets in step, one bit for a window: a core of thousands has millions of windows."""
     order, common = order_of(core, right, 1)
-    low, high = low[order], high[order]
+    high = high[order]
     size = np.array([len(left[i]) for i in order], np.int64)
     reach = np.array([len(right[i]) for i in order], np.int64)
-    prefix = prefix_hash(byte_symbols(np.frombuffer(b"".join(left[i] for i in order), np.uint8)))
-    ends = np.cumsum(size)
     # the text may end before a longer window does
-    return [_merged(order, common, np.maximum(low, length - rule.core - reach), high, prefix, ends, length - rule.core)
-            for length in rule.lengths]
-
-
-def _merged(order: np.ndarray, common: np.ndarray, low: np.ndarray, high: np.ndarray, prefix: np.ndarray, ends: np.ndarray,
-            around: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, offset) of the repeated windows that hold ``around`` bytes beside the core."""
-    members, offsets = [], []
-    for offset in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
-        name = np.cumsum(common < around - offset)
-        at = np.flatnonzero((low <= offset) & (offset <= high))
-        before = ranges_hash(prefix, ends[at] - offset, ends[at])
-        value = mix64(before + mix64(name[at].astype(np.uint64)))
-        sort = np.argsort(value, kind="stable")
-        equal = value[sort][1:] == value[sort][:-1]
-        hit = at[sort[np.r_[False, equal] | np.r_[equal, False]]] if len(at) else at
-        members.append(order[hit])
-        offsets.append(np.full(len(hit), offset))
-    if not members:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(members), np.concatenate(offsets)
+    lows = [np.maximum(low[order], length - rule.core - reach) for length in rule.lengths]
+    hits = [np.zeros((len(order), rule.cover), bool) for _ in rule.lengths]
+    data = np.frombuffer(b"".join(left[i] for i in order), np.uint8)
+    ends = np.cumsum(size)
+    before = np.zeros((2, len(order)), np.uint64)  # of the bytes between a window's start and the core
+    for offset in range(int(high.max(initial=-1)) + 1):
+        code = mixed(before)
+        for length, least, hit in zip(rule.lengths, lows, hits):
+            name = np.cumsum(common < length - rule.core - offset)
+            at = np.flatnonzero((least <= offset) & (offset <= high))
+            value = mix64(code[at] + mix64(name[at].astype(np.uint64)))
+            sort = np.argsort(value, kind="stable")
+            equal = value[sort][1:] == value[sort][:-1]
+            if len(at):
+                hit[at[sort[np.r_[False, equal] | np.r_[equal, False]]], offset] = True
+        more = np.flatnonzero(size > offset)
+        before[:, more] = longer_hash(before[:, more], byte_symbols(data[ends[more] - offset - 1]))
+    return [_runs_of(order, hit) for hit in hits]
+
+
+def _runs_of(order: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, first, last) of the runs in each row."""
+    inner = np.zeros_like(hit)
+    inner[:, 1:] = hit[:, 1:] & hit[:, :-1]
+    row, first = np.nonzero(hit & ~inner)
+    inner[:, :-1] = inner[:, 1:]
+    inner[:, -1:] = False
+    return order[row], first, np.nonzero(hit & ~inner)[1]
 
 
 def stretches(lows, highs) -> list[tuple[int, int]]:

@@ -34,8 +34,8 @@ def internal_nodes(common: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def tree_repeats(rule: Rule, core: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes],
-                 right: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(member, offset) of every repeated window of some partitions' suffixes, in a list of one length."""
+                 right: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(member, offset, same offset) of every repeated window of some partitions' suffixes, in a list of one length."""
     order, common = order_of(core, right, 8)
     most = rule.length - rule.core
     low, high, order = low.tolist(), high.tolist(), order.tolist()
@@ -53,7 +53,8 @@ def tree_repeats(rule: Rule, core: np.ndarray, low: np.ndarray, high: np.ndarray
                 if len(group) > 1:
                     members += group
                     offsets += [offset] * len(group)
-    return [(np.array(members, np.int64), np.array(offsets, np.int64))]
+    at = np.array(offsets, np.int64)
+    return [(np.array(members, np.int64), at, at)]
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
