@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from showerframe.llm.common import Slice, fold, scratch, slices, small_batches, table
+from showerframe.llm.common import SLICE_BYTES, Slice, fold, scratch, slices, small_batches, table
 from showerframe.llm.vocabularies import BytePair, loaded, vocabulary_path
 
-#: Word hashes that are summed in one task, about.
-PART = 2_000_000
+#: Word hashes that are summed in one task, and at once in it, about.
+PART, SUMMED = 2_000_000, 200_000
 #: Texts that the weights start from, about; chosen by a hash of the id.
 TRAIN_TEXTS = 1_000
 LENGTH, STEP = 16, 8
@@ -37,12 +37,14 @@ FREQUENT, RARE = 8192, 256
 STEPS, BATCH, RATE = 500, 512, 0.01
 #: Windows of a step, and rate, of the pass over all texts.
 PASS_BATCH, PASS_RATE = 2048, 0.002
+#: Windows that are scored at once.
+SCORED = 1024
 #: Embedding rows before and behind an id that are told apart when its neighbours are counted; the others share as many.
 NEAR = 16
 #: Fractions of a weight when weights are added, so that the sum does not depend on the order of tasks.
 FINE = 1 << 20
-#: Bytes of a block, unless one text is longer.
-SLICE = 3_000_000
+#: Bytes of a block, unless one text is longer, and distinct words that are encoded at once.
+SLICE, ENCODED = 3_000_000, 20_000
 VOCABULARY = 50_257
 END = VOCABULARY - 1  # id of the end of a text, also read before its first id
 #: Added to the count of every id before frequencies are taken.
@@ -68,17 +70,35 @@ def word_ids(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.r_[0, np.cumsum([len(f) for f in found])]
 
 
+def _words(piece: Slice) -> tuple[np.ndarray, ...]:
+    """Distinct words of a slice (hash, where one of them starts and ends), the number of each word, and each text's first word.
+    Words are hashed about ``SLICE_BYTES`` at a time, since that takes many times the bytes of the texts."""
+    codes, starts, ends, first, at = [], [], [], [np.zeros(1, np.int64)], 0
+    while at < len(piece):
+        to = int(np.searchsorted(piece.offsets, piece.offsets[at] + SLICE_BYTES, "right")) - 1
+        to = min(max(to, at + 1), len(piece))
+        base = piece.offsets[at]
+        words = Slice(at, piece.data[base:piece.offsets[to]], piece.offsets[at:to + 1] - base).words(lower=True)
+        codes.append(words.code)
+        starts.append(words.start + base)
+        ends.append(words.end + base)
+        first.append(words.first[1:] + first[-1][-1])
+        at = to
+    names, one, number = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
+    return names, np.concatenate(starts)[one], np.concatenate(ends)[one], number, np.concatenate(first)
+
+
 class Block:
     """The words and ids of some texts (lower case A-Z, each word behind a blank, each text closed by END)."""
 
     def __init__(self, piece: Slice, path: str):
-        words = piece.words(lower=True)
+        self.names, start, end, self.number, self.first_word = _words(piece)
         data = piece.data
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8).tobytes()
-        self.names, at, self.number = np.unique(words.code, return_index=True, return_inverse=True)
-        self.first_word = words.first
-        parts = [data[s:e].decode("utf-8", "surrogatepass") for s, e in zip(words.start[at].tolist(), words.end[at].tolist())]
-        self.flat, self.first_id = word_ids(path, parts)
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).tobytes()
+        parts = [data[s:e].decode("utf-8", "surrogatepass") for s, e in zip(start.tolist(), end.tolist())]
+        found = [word_ids(path, parts[i:i + ENCODED]) for i in range(0, len(parts), ENCODED)] or [word_ids(path, [])]
+        self.flat = np.concatenate([ids for ids, _ in found])
+        self.first_id = np.r_[0, np.cumsum(np.concatenate([np.diff(first) for _, first in found]))]
 
     @property
     def ids(self) -> np.ndarray:
@@ -276,8 +296,8 @@ def log10_classes(m: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     start, text = _positions(first)
     total = np.zeros(len(first) - 1)
     ones = np.ones(CLASSES, np.float32)
-    for i in range(0, len(start), 8192):
-        inputs, there, targets, wanted = gathered(ids, first, start[i:i + 8192], text[i:i + 8192])
+    for i in range(0, len(start), SCORED):
+        inputs, there, targets, wanted = gathered(ids, first, start[i:i + SCORED], text[i:i + SCORED])
         o, _ = forward(m, m["row"][inputs], there)
         if o.max(initial=0) > 60:  # far from what exp can take in single precision
             o -= o.max(-1, keepdims=True)
@@ -285,7 +305,7 @@ def log10_classes(m: dict, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         label = m["label"][targets]
         chosen = np.take_along_axis(o, label[:, :, None], 2)[:, :, 0]
         log = np.log(np.maximum(chosen, 1e-30)) - np.log(o.reshape(-1, CLASSES) @ ones).reshape(label.shape)
-        total += np.bincount(text[i:i + 8192], np.where(wanted, log, 0).sum(1), len(total))
+        total += np.bincount(text[i:i + SCORED], np.where(wanted, log, 0).sum(1), len(total))
     return total / np.log(10)
 
 
@@ -381,16 +401,28 @@ def _split(parts: int):
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    """Totals of one part of the hash range, dealt back to the blocks; distinct words with a count in the row of block -1."""
+    """Totals of one part of the hash range, dealt back to the blocks; distinct words with a count in the row of block -1. Each
+    block's hashes ascend, so the part is summed in smaller ranges, whose arrays are small."""
     blocks, part = group.column("block").to_pylist(), group.column("part")[0].as_py()
     codes = [np.frombuffer(x, np.uint64) for x in group.column("codes").to_pylist()]
     counts = [_unpacked(x) for x in group.column("counts").to_pylist()]
-    names, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(counts), len(names)).astype(np.int64)
-    ends = np.cumsum([len(c) for c in codes])
-    back = [total[inverse[e - len(c):e]] for c, e in zip(codes, ends)]
+    low, high = int(min(c[0] for c in codes)), int(max(c[-1] for c in codes)) + 1
+    ranges = sum(map(len, codes)) // SUMMED + 1
+    bounds = np.array([low + (high - low) * k // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(c, bounds), len(c)] for c in codes]
+    back, distinct = [[] for _ in codes], 0
+    for k in range(ranges):
+        some = [slice(cut[k], cut[k + 1]) for cut in cuts]
+        names, inverse = np.unique(np.concatenate([c[s] for c, s in zip(codes, some)]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([n[s] for n, s in zip(counts, some)]), len(names)).astype(np.int64)
+        distinct += int((total > 0).sum())
+        at = 0
+        for own, s in zip(back, some):
+            own.append(_packed(total[inverse[at:at + s.stop - s.start]]))
+            at += s.stop - s.start
     return pa.table({"block": pa.array([*blocks, -1], pa.int64()), "part": pa.array([part] * (len(blocks) + 1), pa.int64()),
-                     "totals": pa.array([*map(_packed, back), _packed(np.array([(total > 0).sum()]))], pa.binary())})
+                     "totals": pa.array([*(_packed(np.concatenate([*map(_unpacked, own)])) for own in back),
+                                         _packed(np.array([distinct]))], pa.binary())})
 
 
 def _score(model, shares, size: int, distinct: int, ends: int):

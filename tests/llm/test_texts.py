@@ -331,3 +331,39 @@ def test_model_learns_from_every_text(spark):
     own = [lm_score.log10_classes(m, ids, first).sum() + lm_score.frequencies(m["label"], np.bincount(
         ids, minlength=lm_score.VOCABULARY))[ids].sum() / np.log(10) for m in (model, again, few)]
     assert own[0] > own[2] and own[1] > own[2]
+
+
+def test_blocks_and_sums_work_in_stretches(monkeypatch):
+    """A block's words are hashed, and those of a part summed, a stretch at a time: the same results in far less memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from showerframe.llm.common import slices
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"W{n}é" for n in rng.integers(0, 3000, int(rng.integers(0, 900)))) for _ in range(300)] + [None, "", " one\x0b "]
+    piece = next(slices(pa.array(texts), 10**9))
+    whole = lm_score.Block(piece, vocabulary_path())
+    with monkeypatch.context() as few:
+        few.setattr(lm_score, "SLICE_BYTES", 20_000)
+        few.setattr(lm_score, "ENCODED", 100)
+        cut = lm_score.Block(piece, vocabulary_path())
+    for name in ("names", "number", "first_word", "flat", "first_id", "ids", "first"):
+        assert np.array_equal(getattr(whole, name), getattr(cut, name)), name
+
+    names = np.unique(rng.integers(0, 2**64, 400_000, dtype=np.uint64))
+    codes = [np.sort(rng.choice(names, 100_000, replace=False)) for _ in range(15)]
+    counts = [rng.integers(0, 400 if k % 2 else 200, 100_000) for k in range(15)]
+    group = pa.table({"part": [3] * 15, "block": list(range(15)), "codes": pa.array([c.tobytes() for c in codes], pa.binary()),
+                      "counts": pa.array([lm_score._packed(n) for n in counts], pa.binary())})
+    tracemalloc.start()
+    out = lm_score._summed(group).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = [np.searchsorted(names, c) for c in codes]
+    total = sum(np.bincount(a, n, len(names)) for a, n in zip(at, counts))
+    assert [(r["part"], r["block"]) for r in out] == [(3, k) for k in (*range(15), -1)]
+    for r, a in zip(out, at):
+        assert np.array_equal(lm_score._unpacked(r["totals"]), total[a])
+    assert lm_score._unpacked(out[-1]["totals"]).tolist() == [(total > 0).sum()]
+    assert peak < 50e6
